@@ -8,19 +8,76 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.common import table
 from lectern.llm.decontam import decontaminate
+from lectern.llm.html_text import extract_text
+from lectern.llm.langid import language_id
+from lectern.llm.line_templates import dedup_lines
+from lectern.llm.media import media_columns
+from lectern.llm.packing import pack
+from lectern.llm.quality import quality_scores
+from lectern.llm.sharding import shard
 from lectern.llm.simhash import simhash_groups
+from lectern.llm.substring import repeated_passages
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op2_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op3_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op6_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_output_code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op5_winnowing_decontamination, op8_simhash_near_dedup)
+    found = (
+        op1_paragraph_minhash,
+        op2_site_template_removal,
+        op3_fourier_quality,
+        op4_line_template_dedup,
+        op5_winnowing_decontamination,
+        op6_iso_media,
+        op7_jump_sharding,
+        op8_simhash_near_dedup,
+        op9_output_code_language,
+        op10_best_fit_packing,
+    )
     return {f.__name__: f for f in found}
 
 
