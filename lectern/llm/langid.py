@@ -120,7 +120,8 @@ def fit(docs: DataFrame, held_out: F.Column, per_language: int = 500) -> Model |
             for lang, text in zip(batch["lang"], batch["text"]):
                 f = features(text).astype(float)
                 total[lang] = total.get(lang, 0.0) + f / max(1.0, np.sqrt(f.sum()))
-        yield pd.DataFrame({"lang": list(total), "counts": [x.tolist() for x in total.values()]}, columns=["lang", "counts"])
+        if total:
+            yield pd.DataFrame({"lang": list(total), "counts": [x.tolist() for x in total.values()]}, columns=["lang", "counts"])
 
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("counts", T.ArrayType(T.DoubleType()))])
     parts = picked.mapInPandas(count, schema).select("lang", F.posexplode_outer("counts").alias("pos", "c"))

@@ -30,11 +30,9 @@ _MUL = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) +
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not hasattr(_powers, "kept"):
-        n = RUN + 8
-        _powers.kept = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (_BASE, _INVERSE))
-    return _powers.kept
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base, inverse = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (_BASE, _INVERSE))
+    return base, inverse
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +77,7 @@ def paragraphs(text: str | None) -> list[tuple[int, int, int, int, list[int]]]:
         start, end = edge[::2], edge[1::2]
         if not len(start):
             continue
-        power, inverse = _powers()
+        power, inverse = _powers(len(b))
         total = np.r_[np.uint64(0), np.cumsum(b.astype(np.uint64) * power[: len(b)], dtype=np.uint64)]
         words = _mix((total[end] - total[start]) * inverse[start])
         line = np.searchsorted(np.flatnonzero(b == 10), start)
