@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.common import Stash
 
@@ -17,30 +20,29 @@ def _masked(line: F.Column) -> F.Column:
     return F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD)
 
 
-def line_keys(docs: DataFrame, lead: int = 2, min_half: int = 4) -> DataFrame:
-    """``doc_id, text_key, line_keys``: for each line that isn't blank, its number and its templates.
+def with_line_keys(docs: DataFrame, lead: int = 2, min_half: int = 4) -> DataFrame:
+    """Adds ``_keys``: ``(line, key, whole)`` for each template of each line that isn't blank.
 
     The tree's first level is the token count, the next ``lead`` levels are the leading tokens. A leaf's
     templates of a line are the whole masked line, and, where a half of the line has ``min_half`` tokens
     or more, the line with its other half generalised too (below the leading tokens, which are kept).
     """
-    lines = F.split(F.col("text"), "\n", -1)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), _masked(x).alias("masked")))
+    numbered = F.transform(F.split(F.col("text"), "\n", -1), lambda x, i: F.struct(i.alias("line"), _masked(x).alias("masked")))
     kept = F.filter(numbered, lambda x: x["masked"] != "")
-    tokens = F.transform(kept, lambda x: F.struct(x["line_no"].alias("line_no"), x["masked"].alias("masked"), F.split(x["masked"], " ", -1).alias("t")))
+    tokens = F.transform(kept, lambda x: F.struct(x["line"].alias("line"), x["masked"].alias("masked"), F.split(x["masked"], " ", -1).alias("t")))
 
     def keys(x: F.Column) -> F.Column:
         t, n = x["t"], F.size(x["t"])
         half = F.floor(n / 2).cast("int")
+        whole = F.xxhash64(F.lit("whole"), n, x["masked"])
         front = F.when(half >= min_half, F.xxhash64(F.lit("front"), n, F.concat_ws(" ", F.slice(t, 1, F.greatest(half, F.lit(lead))))))
         back = F.when(
             half >= min_half,
             F.xxhash64(F.lit("back"), n, F.concat_ws(" ", F.slice(t, 1, lead)), F.concat_ws(" ", F.slice(t, half + 1, n - half))),
         )
-        whole = F.xxhash64(F.lit("whole"), n, x["masked"])
-        return F.struct(x["line_no"].alias("line_no"), F.array_compact(F.array(whole, front, back)).alias("keys"), whole.alias("whole"))
+        return F.transform(F.array_compact(F.array(whole, front, back)), lambda k: F.struct(x["line"].alias("line"), k.alias("key"), whole.alias("whole")))
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(tokens, keys).alias("line_keys"))
+    return docs.withColumn("_keys", F.flatten(F.transform(tokens, keys)))
 
 
 def recurring_templates(keyed: DataFrame, min_docs: int = 10, min_share: float = 0.5) -> DataFrame:
@@ -52,12 +54,9 @@ def recurring_templates(keyed: DataFrame, min_docs: int = 10, min_share: float =
     least ``min_share`` of the documents: lines shared because whole documents are copies don't recur.
     Documents are counted over the whole input, with partial sums before each shuffle.
     """
-    wholes = F.transform("line_keys", lambda x: x["whole"])
-    low, high = F.array_min("wholes"), F.array_max("wholes")
-    flat = F.flatten(F.transform("line_keys", lambda x: F.transform(x["keys"], lambda k: F.struct(k.alias("key"), x["whole"].alias("whole")))))
+    pairs = F.array_distinct(F.transform("_keys", lambda x: F.struct(x["key"].alias("key"), x["whole"].alias("whole"))))
     rows = (
-        keyed.select(wholes.alias("wholes"), F.array_distinct(flat).alias("flat"))
-        .select(low.alias("low"), high.alias("high"), F.explode_outer("flat").alias("x"))
+        keyed.select(F.array_min("_keys.whole").alias("low"), F.array_max("_keys.whole").alias("high"), F.explode_outer(pairs).alias("x"))
         .where("x is not null")
         .select(
             F.col("x.key").alias("key"),
@@ -69,30 +68,51 @@ def recurring_templates(keyed: DataFrame, min_docs: int = 10, min_share: float =
     return per_key.where((F.col("n_sigs") >= min_docs) & (F.col("n_sigs") >= F.col("n_docs") * min_share)).select("key")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_share: float = 0.5, lead: int = 2, min_half: int = 4) -> DataFrame:
+def _marked_by_lookup(keyed: DataFrame, recurring: DataFrame) -> DataFrame:
+    """Adds ``_gone``, the lines to drop, by a sorted array of the recurring keys that every task gets."""
+    held = keyed.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in recurring.collect()], np.int64)))
+
+    def gone(lines: pd.Series, keys: pd.Series) -> pd.Series:
+        known, out = held.value, []
+        for at, key in zip(lines, keys):
+            if key is None or not len(key) or not len(known):
+                out.append([])
+                continue
+            where = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            out.append(np.unique(np.asarray(at)[known[where] == key]).tolist())
+        return pd.Series(out)
+
+    return keyed.withColumn("_gone", F.pandas_udf(gone, T.ArrayType(T.IntegerType()))(F.col("_keys.line"), F.col("_keys.key")))
+
+
+def _marked_by_join(keyed: DataFrame, recurring: DataFrame, stash: Stash) -> DataFrame:
+    """The same by joins, for any number of recurring keys."""
+    numbered = stash.put(keyed.withColumn("_row", F.monotonically_increasing_id()))
+    each = numbered.select("_row", F.explode_outer("_keys").alias("x")).where("x is not null").select("_row", F.col("x.line").alias("line"), F.col("x.key").alias("key"))
+    gone = stash.put(each.join(recurring, "key", "left_semi").groupBy("_row").agg(F.collect_set("line").alias("_gone")))
+    return numbered.join(gone, "_row", "left").drop("_row")
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_share: float = 0.5, lead: int = 2, min_half: int = 4, lookup_keys: int = 1_000_000) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from ``text``; adds ``n_lines, n_dropped``.
 
     All other columns stay. Lines are divided by \\n; blank ones are never dropped. A null text stays
     null, with 0 lines; an empty text has one blank line. Repeated rows are documents of their own, with
     one signature. Null ids are fine. No document is dropped: one whose every line recurs keeps an empty
-    text. An empty table gives an empty table.
+    text. An empty table gives an empty table. Up to ``lookup_keys`` recurring keys (8 bytes each) are
+    sent to the tasks, and texts aren't shuffled; more are joined.
     """
     stash = Stash(docs.sparkSession, "lines")
-    keyed = stash.put(line_keys(docs, lead, min_half))
+    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    keyed = stash.put(with_line_keys(docs.select(*own, "text"), lead, min_half))
     recurring = stash.put(recurring_templates(keyed, min_docs, min_share))
-    lines = keyed.select("doc_id", "text_key", F.explode_outer("line_keys").alias("x")).where("x is not null")
-    each = lines.select("doc_id", "text_key", F.col("x.line_no").alias("line_no"), F.explode_outer("x.keys").alias("key"))
-    gone = each.join(recurring, "key", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone"))
-    gone = stash.put(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone"))
-    own = [c for c in docs.columns if c != "text"]
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"]), "left")
-    lines = F.split(docs["text"], "\n", -1)
-    left = F.when(gone["gone"].isNull(), docs["text"]).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone["gone"], i)), "\n")
-    )
-    return joined.select(
-        *[docs[c] for c in own if c not in ("n_lines", "n_dropped")],
+    small = recurring.count() <= lookup_keys
+    marked = _marked_by_lookup(keyed, recurring) if small else _marked_by_join(keyed, recurring, stash)
+    lines, gone = F.split("text", "\n", -1), F.coalesce("_gone", F.array().cast("array<int>"))
+    left = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    return marked.select(
+        *own,
         left.alias("text"),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(gone["gone"]), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size(gone).cast("long").alias("n_dropped"),
     )
