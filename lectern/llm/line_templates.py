@@ -104,14 +104,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_share: float = 0.5, lea
     """
     stash = Stash(docs.sparkSession, "lines")
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    keyed = stash.put(with_line_keys(docs.select(*own, "text"), lead, min_half))
+    keyed = stash.put(with_line_keys(docs.select(F.struct(*own).alias("_own"), "text"), lead, min_half))  # apart, as names may clash
     recurring = stash.put(recurring_templates(keyed, min_docs, min_share))
     small = recurring.count() <= lookup_keys
     marked = _marked_by_lookup(keyed, recurring) if small else _marked_by_join(keyed, recurring, stash)
     lines, gone = F.split("text", "\n", -1), F.coalesce("_gone", F.array().cast("array<int>"))
     left = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
     return marked.select(
-        *own,
+        "_own.*",
         left.alias("text"),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_dropped"),
