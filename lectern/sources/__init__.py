@@ -1,0 +1,7 @@
+"""Sources and sinks. Their Python functions travel to the executors by value."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

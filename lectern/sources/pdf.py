@@ -1,0 +1,209 @@
+"""Native PDF files as tables of text runs and drawing operators, with the standard library alone.
+
+Reads plain and Flate-compressed streams, object streams, and simple one-byte fonts; encrypted files and
+other filters give a row with an error, never a failed job.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+_TOKEN = re.compile(rb"\s*(?:%[^\r\n]*\s*)*(<<|>>|\[|\]|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|/[^\s()<>\[\]{}/%]*|[+-]?(?:\d+\.?\d*|\.\d+)|[^\s()<>\[\]{}/%]+)", re.S)
+_REF = re.compile(rb"(\d+)\s+\d+\s+R\b")
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _string(raw: bytes) -> str:
+    if raw[:1] == b"<":
+        digits = re.sub(rb"\s", b"", raw[1:-1]).decode()
+        out = bytes.fromhex(digits + "0" * (len(digits) % 2))
+    else:
+        out = re.sub(rb"\\(\d{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else b"" if m[1][-1:] == b"\n" else _ESCAPES.get(m[1], m[1]), raw[1:-1], flags=re.S)
+    return out.decode("utf-16-be", "replace")[1:] if out[:2] == b"\xfe\xff" else out.decode("cp1252", "replace")
+
+
+class Pdf:
+    """The objects of a file by number, and its pages in order."""
+
+    def __init__(self, raw: bytes):
+        if not raw.lstrip().startswith(b"%PDF"):
+            raise ValueError("not a PDF")
+        if re.search(rb"/Encrypt\b", raw):
+            raise ValueError("encrypted")
+        self.objects: dict[int, tuple[bytes, bytes | None]] = {}
+        for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)endobj", raw, re.S):
+            head, sep, rest = m[2].partition(b"stream")
+            body = None
+            if sep and b"<<" in head:
+                rest = rest[2:] if rest[:2] == b"\r\n" else rest[1:]
+                n = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", head)
+                body = rest[: int(n[1])] if n else re.sub(rb"\r?\n?endstream\s*\Z", b"", rest)
+            self.objects[int(m[1])] = (head if sep and body is not None else m[2], body)
+        for head, body in list(self.objects.values()):
+            if body is not None and re.search(rb"/Type\s*/ObjStm", head):
+                data, first = self.decode(head, body), int(re.search(rb"/First\s+(\d+)", head)[1])
+                numbers = list(map(int, data[:first].split()))
+                ends = [*numbers[3::2], len(data) - first]
+                for n, at, end in zip(numbers[::2], numbers[1::2], ends):
+                    self.objects.setdefault(n, (data[first + at : first + end], None))
+        self.pages = [n for n, (head, _) in self.objects.items() if re.search(rb"/Type\s*/Page\b(?!s)", head)]
+        order = {n: i for i, n in enumerate(self._kids())}
+        self.pages.sort(key=lambda n: (order.get(n, len(order)), n))
+
+    def decode(self, head: bytes, body: bytes) -> bytes:
+        filters = re.search(rb"/Filter\s*\[?((?:\s*/\w+)+)", head)
+        for f in re.findall(rb"/(\w+)", filters[1]) if filters else []:
+            if f != b"FlateDecode":
+                raise ValueError(f"filter {f.decode()}")
+            body = zlib.decompressobj().decompress(body)
+        return body
+
+    def _kids(self) -> list[int]:
+        roots = [h for h, _ in self.objects.values() if re.search(rb"/Type\s*/Pages\b", h) and not re.search(rb"/Parent\b", h)]
+        out, stack = [], list(reversed([int(x[0]) for r in roots[:1] for x in _REF.finditer(self._array(r, b"Kids")) for x in [x.groups()]]))
+        while stack and len(out) < len(self.objects):
+            n = stack.pop()
+            head = self.objects.get(n, (b"", None))[0]
+            kids = [int(m[1]) for m in _REF.finditer(self._array(head, b"Kids"))]
+            if kids:
+                stack += reversed(kids)
+            else:
+                out.append(n)
+        return out
+
+    @staticmethod
+    def _array(head: bytes, name: bytes) -> bytes:
+        m = re.search(rb"/" + name + rb"\s*\[(.*?)\]", head, re.S)
+        return m[1] if m else b""
+
+    def content(self, page: int) -> bytes:
+        head = self.objects[page][0]
+        refs = [int(m[1]) for m in _REF.finditer(self._array(head, b"Contents"))] or [int(m[1]) for m in re.finditer(rb"/Contents\s+(\d+)\s+\d+\s+R", head)]
+        return b"\n".join(self.decode(*self.objects[r]) for r in refs if r in self.objects and self.objects[r][1] is not None)
+
+    def height(self, page: int) -> float:
+        box = [float(x) for x in self._array(self.objects[page][0], b"MediaBox").split()]
+        for head, _ in self.objects.values() if len(box) != 4 else ():
+            if len(box := [float(x) for x in self._array(head, b"MediaBox").split()]) == 4:
+                break
+        return box[3] - box[1] if len(box) == 4 else 842.0
+
+
+def _multiply(m: list[float], n: list[float]) -> list[float]:
+    a, b, c, d, e, f = m
+    return [a * n[0] + b * n[2], a * n[1] + b * n[3], c * n[0] + d * n[2], c * n[1] + d * n[3], e * n[0] + f * n[2] + n[4], e * n[1] + f * n[3] + n[5]]
+
+
+def operations(content: bytes, height: float) -> tuple[list[tuple], list[tuple]]:
+    """``(runs, ops)`` of a page: text runs (text, font, size, x, y, width, height), y down; ops (fn, args)."""
+    runs, ops, args, path = [], [], [], []
+    ctm, stack = [1.0, 0, 0, 1.0, 0, 0], []
+    tm, line, font, size, lead = [1.0, 0, 0, 1.0, 0, 0], [1.0, 0, 0, 1.0, 0, 0], "", 0.0, 0.0
+    number = lambda x: float(x)
+
+    def show(text: str) -> None:
+        nonlocal tm
+        m = _multiply(tm, ctm)
+        scale = math.hypot(m[2], m[3])
+        width = 0.5 * size * len(text)
+        tall = size * scale
+        runs.append((text, font, tall, m[4], height - m[5] - tall, width * math.hypot(m[0], m[1]), tall))
+        tm = _multiply([1, 0, 0, 1, width, 0], tm)
+
+    def move(x: float, y: float) -> None:
+        nonlocal tm, line
+        line = tm = _multiply([1, 0, 0, 1, x, y], line)
+
+    for m in _TOKEN.finditer(content):
+        t = m[1]
+        if t[:1] in b"(<[]/" and t not in (b"<<", b">>") or re.fullmatch(rb"[+-]?(?:\d+\.?\d*|\.\d+)", t):
+            args.append(t)
+            continue
+        nums = [number(x) for x in args if re.fullmatch(rb"[+-]?(?:\d+\.?\d*|\.\d+)", x)]
+        if t == b"q":
+            stack.append(ctm)
+            ops.append(("save", []))
+        elif t == b"Q":
+            ctm = stack.pop() if stack else [1.0, 0, 0, 1.0, 0, 0]
+            ops.append(("restore", []))
+        elif t == b"cm" and len(nums) == 6:
+            ctm = _multiply(nums, ctm)
+            ops.append(("transform", nums))
+        elif t == b"BT":
+            tm = line = [1.0, 0, 0, 1.0, 0, 0]
+        elif t == b"Tf" and nums:
+            font, size = args[0][1:].decode("latin-1"), nums[-1]
+        elif t == b"TL" and nums:
+            lead = nums[0]
+        elif t in (b"Td", b"TD") and len(nums) == 2:
+            lead = -nums[1] if t == b"TD" else lead
+            move(*nums)
+        elif t == b"Tm" and len(nums) == 6:
+            tm = line = nums
+        elif t == b"T*":
+            move(0, -lead)
+        elif t in (b"Tj", b"'", b'"', b"TJ"):
+            if t in (b"'", b'"'):
+                move(0, -lead)
+            show("".join(_string(x) for x in args if x[:1] in b"(<" and x[:2] != b"<<"))
+        elif t == b"re" and len(nums) == 4:
+            path += [(nums[0], nums[1]), (nums[0] + nums[2], nums[1] + nums[3])]
+        elif t in (b"m", b"l", b"c", b"v", b"y") and nums:
+            path += list(zip(nums[::2], nums[1::2]))
+        elif t in (b"S", b"s", b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*", b"n") and path:
+            xs, ys = zip(*path)
+            ops.append(("constructPath", [min(xs), min(ys), max(xs), max(ys)]))
+            path = []
+        elif t == b"Do":
+            ops.append(("paintImageXObject", []))
+        args = []
+    return runs, ops
+
+
+PAGES = "resource_id string, page int, height double, runs array<struct<text:string,font_family:string,font_size:double,x:double,y:double,width:double,height:double>>, ops array<struct<fn:string,args:array<double>>>, error string"
+
+
+def read_pdfs(files: DataFrame) -> DataFrame:
+    """``path, content`` -> one row per page as in ``PAGES``; ``resource_id`` is the file's name without ending.
+
+    A file that can't be read gives one row with page 0 and its error.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["resource_id", "page", "height", "runs", "ops", "error"]
+        for batch in batches:
+            rows = []
+            for path, raw in zip(batch["path"], batch["content"]):
+                stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                try:
+                    pdf = Pdf(bytes(raw))
+                    for i, n in enumerate(pdf.pages, 1):
+                        height = pdf.height(n)
+                        runs, ops = operations(pdf.content(n), height)
+                        keys = ("text", "font_family", "font_size", "x", "y", "width", "height")
+                        rows.append((stem, i, height, [dict(zip(keys, r)) for r in runs], [{"fn": f, "args": [float(x) for x in a]} for f, a in ops], None))
+                except Exception as wrong:  # one bad file is one bad row
+                    rows.append((stem, 0, None, None, None, str(wrong) or type(wrong).__name__))
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.select("path", "content").mapInPandas(run, PAGES)
+
+
+def scan(spark: SparkSession, folder: str) -> DataFrame:
+    return read_pdfs(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder))
+
+
+def text_elements(pages: DataFrame) -> DataFrame:
+    """``resource_id, page, ord, id, text, font_family, font_size, x, y, width, height`` of all runs."""
+    return pages.selectExpr("resource_id", "page", "posexplode(runs) as (ord, r)").selectExpr("resource_id", "page", "ord", "concat_ws('-', page, ord) as id", "r.*")
+
+
+def operation_list(pages: DataFrame) -> DataFrame:
+    """``resource_id, page, op_idx, fn, args``, as the geometry operators take it."""
+    return pages.selectExpr("resource_id", "page", "posexplode(ops) as (op_idx, o)").selectExpr("resource_id", "page", "op_idx", "o.fn", "o.args")
