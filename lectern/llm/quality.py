@@ -100,8 +100,9 @@ def _stats_of(text: str) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, features: int = 256, width: float = 4.0, ridge: float = 1e-2, seed: int = 11) -> Model | None:
     """A model from at most ``sample_rows`` labelled documents, those of least doc_id hash.
 
-    Labels with a null id or quality don't teach; of labels that repeat an id the greatest counts. Each of ``PARTS`` tasks sums its share of the normal equations, and the driver adds
-    these up, solves them, and calibrates on the sample's own raw scores. None without both labels.
+    Labels with a null id or quality don't teach; of labels that repeat an id the greatest counts. Each of
+    ``PARTS`` tasks at most sums its share of the normal equations, and the driver adds these up, solves
+    them, and calibrates on the sample's own raw scores. None without both labels.
     """
     stash = Stash(docs.sparkSession, "quality")
     known = labels.where("doc_id is not null and quality is not null")
@@ -119,11 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, features: i
             z = model.expand(np.stack(batch["x"].to_numpy()))
             a += z.T @ z
             b += z.T @ batch["y"].to_numpy(float)
-        yield pd.DataFrame({"a": [a.ravel().tolist()], "b": [b.tolist()]})
+        yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
 
-    parts = rows.repartition(PARTS, "doc_id").mapInPandas(partial, "a array<double>, b array<double>").collect()
-    a = sum(np.array(p["a"]) for p in parts).reshape(features + 1, -1)
-    b = sum(np.array(p["b"]) for p in parts)
+    parts = rows.coalesce(PARTS).mapInPandas(partial, "a binary, b binary").collect()  # half a MB each
+    a = sum(np.frombuffer(p["a"]) for p in parts).reshape(features + 1, -1)
+    b = sum(np.frombuffer(p["b"]) for p in parts)
     count = float(a[-1, -1])
     penalty = np.eye(features + 1) * ridge * count / features
     penalty[-1, -1] = 0
