@@ -34,13 +34,13 @@ def with_line_keys(docs: DataFrame, lead: int = 2, min_half: int = 4) -> DataFra
     def keys(x: F.Column) -> F.Column:
         t, n = x["t"], F.size(x["t"])
         half = F.floor(n / 2).cast("int")
-        whole = F.xxhash64(F.lit("whole"), n, x["masked"])
+        whole = F.conv(F.substring(F.md5(x["masked"].cast("binary")), 1, 15), 16, 10).cast("long")  # a hash that SQL has too
         front = F.when(half >= min_half, F.xxhash64(F.lit("front"), n, F.concat_ws(" ", F.slice(t, 1, F.greatest(half, F.lit(lead))))))
         back = F.when(
             half >= min_half,
             F.xxhash64(F.lit("back"), n, F.concat_ws(" ", F.slice(t, 1, lead)), F.concat_ws(" ", F.slice(t, half + 1, n - half))),
         )
-        return F.transform(F.array_compact(F.array(whole, front, back)), lambda k: F.struct(x["line"].alias("line"), k.alias("key"), whole.alias("whole")))
+        return F.transform(F.array_compact(F.array(F.xxhash64(F.lit("whole"), x["masked"]), front, back)), lambda k: F.struct(x["line"].alias("line"), k.alias("key"), whole.alias("whole")))
 
     return docs.withColumn("_keys", F.flatten(F.transform(tokens, keys)))
 

@@ -107,5 +107,27 @@ FROM doc d LEFT JOIN words n ON d.text = n.text LEFT JOIN ids i ON d.text = i.te
 """
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+ln AS (SELECT rid, line - 1 AS line, ls[line] AS raw FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS line FROM d WHERE text IS NOT NULL)),
+tk AS (SELECT rid, line, list_filter(string_split_regex(raw, '[ \t\r\x0B\f]+'), lambda x: x <> '') AS t FROM ln),
+wh AS (
+  SELECT rid, line, t, len(t) AS n, len(t) // 2 AS half, CAST('0x' || substr(md5(array_to_string(t, ' ')), 1, 15) AS BIGINT) AS whole
+  FROM (SELECT rid, line, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM tk WHERE len(t) > 0)),
+ky AS (
+  SELECT rid, line, whole, 'w ' || array_to_string(t, ' ') AS key FROM wh
+  UNION ALL SELECT rid, line, whole, 'f ' || n || ' ' || array_to_string(t[1:greatest(half, 2)], ' ') FROM wh WHERE half >= 4
+  UNION ALL SELECT rid, line, whole, 'b ' || n || ' ' || array_to_string(t[1:2], ' ') || chr(10) || array_to_string(t[half + 1:n], ' ') FROM wh WHERE half >= 4),
+sg AS (SELECT rid, min(whole) AS lo, max(whole) AS hi FROM wh GROUP BY rid),
+oc AS (SELECT key, CASE WHEN lo <> whole THEN lo WHEN hi <> whole THEN hi ELSE 0 END AS sig FROM (SELECT DISTINCT rid, key, whole FROM ky) JOIN sg USING (rid)),
+rec AS (SELECT key FROM oc GROUP BY key HAVING count(DISTINCT sig) >= 10 AND count(DISTINCT sig) >= 0.5 * count(*)),
+gone AS (SELECT DISTINCT rid, line FROM ky SEMI JOIN rec USING (key)),
+kept AS (SELECT rid, string_agg(raw, chr(10) ORDER BY line) AS text FROM ln ANTI JOIN gone USING (rid, line) GROUP BY rid),
+num AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(num.n, 0) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN num USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_winnowing_decontamination": OP5_SQL}
+    return {"op4_line_template_dedup": OP4_SQL, "op5_winnowing_decontamination": OP5_SQL}
