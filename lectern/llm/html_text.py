@@ -32,6 +32,8 @@ ASIDE_WORDS = frozenset(
     "toolbar topbar widget widgets".split()
 )
 
+ASIDE_ARTICLE = frozenset("ad ads advert advertisement comment comments promo promoted related reply sponsored".split())
+
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -43,20 +45,28 @@ def host_of(url: str | None) -> str | None:
     return found[1].lower() if found else None
 
 
-def _is_aside(name: str, attrs: str, in_main: bool) -> bool:
+def _aside(name: str, attrs: str, in_main: bool) -> int:
+    """2 for what isn't article by its element, 1 by its class, id or role, else 0.
+
+    Names such as has-sidebar tell of a wrapper, and don't count; an article is set apart by few words only.
+    """
     if name in ASIDE or name == "header" and not in_main:
-        return True
+        return 2
+    if name in ("html", "body", "main"):
+        return 0
+    known = ASIDE_ARTICLE if name == "article" else ASIDE_WORDS
     for a in _ATTR.finditer(attrs):
-        words = re.split(r"[^a-z0-9]+", html.unescape(a[2] or a[3] or a[4] or "").lower())
-        if not ASIDE_WORDS.isdisjoint(words) and name not in ("html", "body", "article", "main"):
-            return True
-    return False
+        for label in html.unescape(a[2] or a[3] or a[4] or "").lower().split():
+            words = re.split(r"[^a-z0-9]+", label)
+            if words[0] not in ("has", "with", "no", "without") and not known.isdisjoint(words):
+                return 1
+    return 0
 
 
 class _Open:
     __slots__ = ("name", "hash", "aside", "main", "region", "node")
 
-    def __init__(self, name: str, attrs: str, aside: bool, main: bool, region: int):
+    def __init__(self, name: str, attrs: str, aside: int, main: bool, region: int):
         self.name, self.aside, self.main, self.region = name, aside, main, region
         self.hash, self.node = xxhash.xxh3_64(f"{name} {' '.join(attrs.split())}".encode()), None
 
@@ -75,6 +85,7 @@ class Page:
         self._stack: list[_Open] = []
         self._text: list[str] = []
         self._around: list[_Open] = []
+        self._found = False  # whether an article or main element has begun
         if source:
             self._parse(source)
         best = max((r for _, _, r in self.blocks), default=0)
@@ -109,7 +120,7 @@ class Page:
     def _add(self, raw: str) -> None:
         if not self._stack:
             if raw.strip():
-                self._stack.append(_Open("body", "", False, False, 0))
+                self._stack.append(_Open("body", "", 0, False, 0))
             else:
                 return
         top = self._stack[-1]
@@ -177,7 +188,12 @@ class Page:
             up = stack[-1] if stack else None
             main = bool(up and up.main) or name in ("article", "main") or 'role="main"' in attrs
             region = max(up.region if up else 0, 2 if name == "article" else 1 if main else 0)
-            aside = bool(up and up.aside) or _is_aside(name, attrs, bool(up and up.main))
+            own, above = _aside(name, attrs, bool(up and up.main)), up.aside if up else 0
+            if name in ("article", "main"):
+                if above == 1 and not own and not self._found:
+                    above = 0  # the first article lies in no aside: a wrapper's name misled
+                self._found = True
+            aside = max(own, above)
             stack.append(_Open(name, attrs, aside, main, region))
         self._close(0)
         self._flush()

@@ -88,6 +88,11 @@ def test_html_structure(spark):
     assert [got[i] for i in (2, 3, 5, 6)] == ["", "", "b", "x\ny"] and got[4].startswith("just")
 
 
+def test_html_wrappers_and_comments(spark):
+    page = '<body><div class="page has-sidebar"><div class="widget-area"><article class="post"><p>Text</p></article></div><div class="comments"><article><p>x</p></article></div><article class="comment"><p>y</p></article></div></body>'
+    assert text_of(spark, (1, "http://a", page)) == {1: "Text"}
+
+
 def test_html_templates(spark):
     rng = random.Random(2)
     body = lambda i: f"<body><div><p>Welcome to our site, dear reader</p></div><div><p>Story {i} {rng.random()} of some length, longer than all else on it</p></div><p>same</p></body>"
