@@ -97,16 +97,15 @@ class Model:
 
 
 def fit(docs: DataFrame, held_out: F.Column, per_language: int = 500) -> Model | None:
-    """A model from at most ``per_language`` labelled documents of each language, whole texts.
+    """A model from about ``per_language`` labelled documents of each language, whole texts.
 
-    ``per_language`` bounds the sample: of each language the documents of least doc_id hash are taken,
-    so it doesn't depend on the order of rows. Rows with a null text, language or doc_id don't teach.
-    None if there is nothing to learn from. The driver gets one row of counts for each language and task.
+    ``per_language`` bounds the sample: of a language with n documents those are taken whose doc_id hash
+    lies in its first ``per_language / n``, so the sample doesn't depend on the order of rows. Rows with a
+    null text, language or doc_id don't teach. None if there is nothing to learn from. The driver gets
+    one number for each language and feature, however large the input.
     """
     able = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    slim = able.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    # The per_language-th least hash of each language, from a mergeable summary of bounded size.
-    sizes = {r["lang"]: r["n"] for r in slim.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     share = F.lit(0.0)
@@ -125,12 +124,12 @@ def fit(docs: DataFrame, held_out: F.Column, per_language: int = 500) -> Model |
 
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("counts", T.ArrayType(T.DoubleType()))])
     parts = picked.mapInPandas(count, schema).select("lang", F.posexplode_outer("counts").alias("pos", "c"))
-    merged = parts.where("c > 0").groupBy("lang", "pos").agg(F.sum("c").alias("c")).groupBy("lang").agg(F.collect_list(F.struct("pos", "c")).alias("cs"))
-    langs, rows = sorted(sizes), {r["lang"]: r["cs"] for r in merged.collect()}
+    merged = parts.where("c > 0").groupBy("lang", "pos").agg(F.sum("c").alias("c")).toArrow()  # languages times WIDTH numbers
+    langs = sorted(sizes)
     counts = np.zeros((len(langs), WIDTH))
-    for i, lang in enumerate(langs):
-        for x in rows.get(lang, []):
-            counts[i, x["pos"]] = round(x["c"], 6)  # sums in any order agree to this
+    place = {lang: i for i, lang in enumerate(langs)}
+    at = [place[x] for x in merged.column("lang").to_pylist()], merged.column("pos").to_numpy()
+    counts[at] = merged.column("c").to_numpy().round(6)  # sums in any order agree to this
     return Model(langs, counts)
 
 

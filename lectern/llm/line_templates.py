@@ -70,7 +70,7 @@ def recurring_templates(keyed: DataFrame, min_docs: int = 10, min_share: float =
 
 def _marked_by_lookup(keyed: DataFrame, recurring: DataFrame) -> DataFrame:
     """Adds ``_gone``, the lines to drop, by a sorted array of the recurring keys that every task gets."""
-    held = keyed.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in recurring.collect()], np.int64)))
+    held = keyed.sparkSession.sparkContext.broadcast(np.sort(recurring.toArrow().column("key").to_numpy()))
 
     def gone(lines: pd.Series, keys: pd.Series) -> pd.Series:
         known, out = held.value, []
