@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +17,16 @@ from lectern.llm.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 4, 3
-#: A paragraph is cut after a word pair whose hash has these bits zero, in at least LEAST words.
-CUT_MASK, LEAST = np.uint64(7), 8
-#: Bytes of text worked on at once; a longer one is cut at white space.
+#: A line is cut after a word pair whose hash has these bits zero, in at least LEAST words.
+CUT_MASK, LEAST = np.uint64(3), 5
+#: Lines of so many words are compared as paragraphs; shorter ones are no passage by themselves.
+PARAGRAPH = 20
+#: Hashes sent to the tasks at once; more are joined.
+LOOKUP = 2_000_000
+#: Bytes of text worked on at once; a longer text is cut at white space.
 RUN = 1 << 20
+#: Hashes that a task remembers, so as to keep one text of each.
+SEEN = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -59,21 +66,54 @@ def _runs(raw: bytes) -> Iterator[tuple[int, bytes]]:
     yield at, raw[at:]
 
 
-def paragraphs(text: str | None) -> list[tuple[int, int, int, int, list[int]]]:
-    """``(first byte, end byte, words, hash, band keys)`` of each paragraph of a text, in order.
-
-    A line is a paragraph; a long line is cut further where the words themselves say so (a hash of two
-    words), so a passage pasted into another line is cut as in its own. Words are lower-cased runs of
-    letters, digits and non-ASCII characters. The hash is that of the words; band keys are MinHash
-    bands over the five-word shingles (the whole, if there are fewer words).
+def _blocks(texts: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int], list[int]]]:
+    """Texts joined by line breaks into blocks of about RUN bytes: the block, and of each text in it its
+    place in the block, its number, and the place in its text."""
+    parts, starts, numbers, bases, size = [], [], [], [], 0
+    for i, text in enumerate(texts):
+        for base, run in _runs(text):
+            if size and size + len(run) > RUN:
+                yield b"\n".join(parts), starts, numbers, bases
+                parts, starts, numbers, bases, size = [], [], [], [], 0
+            parts.append(run)
+            starts.append(size)
+            numbers.append(i)
+            bases.append(base)
+            size += len(run) + 1
+    if parts:
+        yield b"\n".join(parts), starts, numbers, bases
+
+
+def _cuts(hinted: list[int], ends_line: np.ndarray) -> np.ndarray:
+    """Ends of paragraphs, in words: at each line's end, and at hints LEAST words or more from the last end.
+
+    What is left of a line after a hint, if it is under three words, belongs to what comes before it.
+    """
+    out, last, begin = [], 0, 0
+    for i, is_end in zip(hinted, ends_line[hinted].tolist()):
+        n = i + 1 - last
+        if is_end:
+            if n < 3 and last > begin:
+                out.pop()
+            out.append(i + 1)
+            last = begin = i + 1
+        elif n >= LEAST:
+            out.append(last := i + 1)
+    return np.array(out)
+
+
+def paragraphs(texts: list[bytes]) -> Iterator[dict]:
+    """Blocks of paragraphs of UTF-8 texts: ``level, text`` (number), ``first, end`` (bytes), ``words, hash``.
+
+    A line of PARAGRAPH words or more is a paragraph (level 1), and has ``band0...``, keys of MinHash bands
+    over its five-word shingles. Every line is also cut where its words themselves say so (a hash of two
+    words), so a passage pasted into another line is cut as in its own. These cuts (level 0) are compared
+    by the hash of their words alone: of five to some twelve words, different ones hardly ever share four
+    fifths of their shingles. Words are lower-cased runs of letters, digits and non-ASCII characters.
     """
-    out: list[tuple[int, int, int, int, list[int]]] = []
-    for base, raw in _runs((text or "").encode()):
+    for raw, starts, numbers, bases in _blocks(texts):
         b = np.frombuffer(raw.lower(), np.uint8)
-        if not len(b):
-            continue
-        keep = _KEEP[b]
-        edge = np.flatnonzero(np.diff(np.r_[False, keep, False].astype(np.int8)))
+        edge = np.flatnonzero(np.diff(np.r_[False, _KEEP[b], False].astype(np.int8)))
         start, end = edge[::2], edge[1::2]
         if not len(start):
             continue
@@ -83,36 +123,40 @@ def paragraphs(text: str | None) -> list[tuple[int, int, int, int, list[int]]]:
         line = np.searchsorted(np.flatnonzero(b == 10), start)
         ends_line = np.r_[line[1:] != line[:-1], True]
         pair = _mix(words + np.r_[np.uint64(0), words[:-1]] * np.uint64(3))
-        hinted = np.flatnonzero(ends_line | ((pair & CUT_MASK) == 0))
-        cuts, last = [], 0  # ends of paragraphs, in words
-        for i in hinted.tolist():
-            if ends_line[i]:
-                if i + 1 - last < LEAST // 2 and cuts and cuts[-1] == last and last and line[last - 1] == line[i]:
-                    cuts.pop()  # the rest of a line that is a few words long belongs to what comes before
-                cuts.append(last := i + 1)
-            elif i + 1 - last >= LEAST:
-                cuts.append(last := i + 1)
-        stop = np.array(cuts)
-        first = np.r_[0, stop[:-1]]
+        cuts = _cuts(np.flatnonzero(ends_line | ((pair & CUT_MASK) == 0)).tolist(), ends_line)
+        ends = np.flatnonzero(ends_line) + 1
         sums = np.r_[np.uint64(0), np.cumsum(words * power[: len(words)], dtype=np.uint64)]
-        whole = _mix((sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64))
-        shingle = _shingles(words)
-        used = np.ones(len(words), bool)  # a paragraph's shingles begin at its words but the last four
-        for i in range(1, SHINGLE):
-            at = stop - i
-            used[at[at > first]] = False
-        short = stop - first < SHINGLE
-        shingle[first[short]] = whole[short]
-        mins = np.empty((BANDS * ROWS, len(stop)), np.uint64)
-        for k in range(BANDS * ROWS):
-            mins[k] = np.minimum.reduceat(np.where(used, shingle * _MUL[k] + _ADD[k], np.uint64(0xFFFFFFFFFFFFFFFF)), first)
-        band = [_mix(sum((_mix(mins[i * ROWS + j]) * np.uint64(2 * j + 1) for j in range(ROWS)), np.zeros(len(stop), np.uint64)) + np.uint64(i)).view(np.int64) for i in range(BANDS)]
-        out += zip((base + start[first]).tolist(), (base + end[stop - 1]).tolist(), (stop - first).tolist(), whole.view(np.int64).tolist(), np.stack(band, 1).tolist())
-    return out
+        shingles = _shingles(words)
+        sizes = np.diff(np.r_[0, ends])
+        long = sizes >= PARAGRAPH
+        for level, stop, first in ((0, cuts, np.r_[0, cuts[:-1]]), (1, ends[long], (ends - sizes)[long])):
+            if not len(stop):
+                continue
+            whole = _mix((sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64))
+            where = np.searchsorted(starts, start[first], "right") - 1
+            shift = (np.array(bases) - np.array(starts))[where]
+            out = {"level": level, "text": np.array(numbers)[where], "first": start[first] + shift, "end": end[stop - 1] + shift, "words": stop - first, "hash": whole.view(np.int64)}
+            if level:
+                used = np.zeros(len(words) + 1, np.int8)  # a paragraph's shingles begin at its words but the last four
+                used[first] += 1
+                used[stop - SHINGLE + 1] -= 1
+                own = shingles[np.cumsum(used[:-1]).astype(bool)]
+                heads = np.cumsum(stop - first - SHINGLE + 1) - (stop - first - SHINGLE + 1)
+                mins = [_mix(np.minimum.reduceat(own * _MUL[k] + _ADD[k], heads)) for k in range(BANDS * ROWS)]
+                for i in range(BANDS):
+                    key = np.full(len(stop), i, np.uint64)
+                    for j in range(ROWS):
+                        key += mins[i * ROWS + j] * np.uint64(2 * j + 1)
+                    out[f"band{i}"] = _mix(key).view(np.int64)
+            yield out
+
+
+def words_in(raw: bytes) -> list[bytes]:
+    return bytes(c if _KEEP[c] else 32 for c in raw.lower()).split()
 
 
 def shingle_set(text: str) -> frozenset:
-    words = bytes(c if _KEEP[c] else 32 for c in text.encode().lower()).split()
+    words = words_in(text.encode())
     n = min(SHINGLE, len(words))
     return frozenset(zip(*(words[i:] for i in range(n))))
 
@@ -122,94 +166,110 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / max(1, len(x | y))
 
 
-PARSED = "row long, doc_id long, piece int, first int, end int, words int, hash long, bands array<long>, text string"
+PARSED = "row long, doc_id long, level int, piece int, first int, end int, words int, hash long, " + ", ".join(f"band{i} long" for i in range(BANDS)) + ", text string"
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in PARSED.split(", ")]
-        for batch in batches:
-            rows: list[tuple] = []
-            for row, doc_id, text in zip(batch["row"].array, batch["doc_id"].array, batch["text"].array):
-                if not isinstance(text, str):
-                    continue
-                raw = text.encode()
-                doc_id = None if doc_id is None or doc_id != doc_id else int(doc_id)
-                rows += ((row, doc_id, i, a, e, w, h, k, raw[a:e].decode("utf-8", "replace")) for i, (a, e, w, h, k) in enumerate(paragraphs(text)))
-                if len(rows) > 50_000:
-                    yield _frame(rows, names)
-                    rows = []
-            yield _frame(rows, names)
-
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInPandas(run, PARSED)
-
-
-def _frame(rows: list, names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    out["doc_id"] = pd.array(list(out["doc_id"]), "Int64")
-    return out
-
+    """All paragraphs and cuts, as ``PARSED``. Only paragraphs have bands and a text, and of those with one
+    hash only the first in a task."""
 
-def _links(pieces: DataFrame, similarity: float, stash: Stash) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            rows, ids, texts = batch.column("row").to_numpy(), batch.column("doc_id").to_numpy(), [(t or "").encode() for t in batch.column("text").to_pylist()]
+            last, piece = [-1, -1], [0, 0]
+            for p in paragraphs(texts):
+                t, level = p["text"], p["level"]
+                heads = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                sizes = np.diff(np.r_[heads, len(t)])
+                number = np.arange(len(t)) - np.repeat(heads, sizes)
+                if t[0] == last[level]:  # a text that goes on from the block before
+                    number[: sizes[0]] += piece[level]
+                last[level], piece[level] = t[-1], int(number[-1]) + 1
+                hashes, new = p["hash"], np.zeros(len(t), bool)
+                if level:
+                    new[np.unique(hashes, return_index=True)[1]] = True
+                    new[new] = [h not in seen for h in hashes[new].tolist()]
+                    seen.update(hashes[new].tolist())
+                texts_of = pa.array([texts[i][a:e].decode("utf-8", "replace") if n else None for n, i, a, e in zip(new.tolist(), t.tolist(), p["first"].tolist(), p["end"].tolist())], pa.string())
+                bands = [pa.array(p[f"band{i}"], mask=~new) if level else pa.nulls(len(t), pa.int64()) for i in range(BANDS)]
+                if len(seen) > SEEN:
+                    seen.clear()
+                whole = [rows[t], ids[t], np.full(len(t), level, np.int32), number.astype(np.int32), *(p[k].astype(np.int32) for k in ("first", "end", "words")), hashes]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, whole), *bands, texts_of], names)
+
+    names = [x.split()[0] for x in PARSED.split(", ")]
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, PARSED)
+
+
+def _links(pieces: DataFrame, similarity: float, stash: Stash, lookup: int = LOOKUP) -> DataFrame:
     """``(a, b)``: hashes of different paragraphs whose shingle sets have the Jaccard similarity or more.
 
-    Rows of one band and hash are thinned to one in each batch before the shuffle, so a very common
-    paragraph doesn't fill a partition. Within a band's bucket each paragraph is joined to the first and
-    to the one before it, not to all others; the other bands give further chances.
+    Only rows with a text count, so a very common paragraph comes once from each task. Within a band's
+    bucket each paragraph is joined to the least and to the one before it, not to all others; the other
+    bands give further chances. Texts of up to ``lookup`` candidates are picked without a shuffle of all.
     """
-
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            h = batch["hash"].to_numpy(np.int64)
-            keys = np.stack(batch["bands"].to_numpy()) if len(batch) else np.zeros((0, BANDS), np.int64)
-            pairs = pd.DataFrame({"band": keys.ravel(), "hash": np.repeat(h, BANDS)})
-            yield pairs.drop_duplicates()
-
-    bands = pieces.select("hash", "bands").mapInPandas(thin, "band long, hash long")
+    fresh = pieces.where("text is not null")
+    bands = fresh.select("hash", F.explode(F.array(*[f"band{i}" for i in range(BANDS)])).alias("band"))
     ordered = Window.partitionBy("band").orderBy("hash")
     near = bands.withColumn("before", F.lag("hash").over(ordered)).withColumn("least", F.min("hash").over(ordered)).where("before <> hash")
     pairs = stash.put(
         near.select(F.explode(F.array(F.struct("before", "hash"), F.struct(F.col("least").alias("before"), "hash"))).alias("x")).select("x.before", "x.hash").distinct()
     )
     wanted = stash.put(pairs.select(F.col("before").alias("h")).union(pairs.select("hash")).distinct())
-    texts = stash.put(pieces.select("hash", "text").join(wanted, pieces["hash"] == wanted["h"], "left_semi").groupBy("hash").agg(F.first("text").alias("text")))
+    if wanted.count() <= lookup:
+        held = pieces.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("h").to_numpy()))
+
+        def known(h: pd.Series) -> pd.Series:
+            keys, x = held.value, h.to_numpy(np.int64)
+            return pd.Series(keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool))
+
+        of_wanted = fresh.select("hash", "text").where(F.pandas_udf(known, T.BooleanType())("hash"))
+    else:
+        of_wanted = fresh.select("hash", "text").join(wanted, fresh["hash"] == wanted["h"], "left_semi")
+    texts = stash.put(of_wanted.groupBy("hash").agg(F.min("text").alias("text")))
     left, right = texts.toDF("before", "text_a"), texts.toDF("hash", "text_b")
     both = pairs.join(left, "before").join(right, "hash")
     same = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype=float), T.DoubleType())
-    return stash.put(both.where(same("text_a", "text_b") >= similarity).select(F.col("before").alias("a"), F.col("hash").alias("b")))
+    found = stash.put(both.where(same("text_a", "text_b") >= similarity).select(F.col("before").alias("a"), F.col("hash").alias("b")))
+    for old in (pairs, wanted, texts):
+        stash.drop(old)
+    return found
 
 
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int = 20) -> DataFrame:
     """The paragraphs of ``docs(doc_id, text)`` that repeat across documents, one row each:
 
-    ``doc_id, piece, first_byte, end_byte, n_words, component_id, first_doc_id, n_docs, removed, text``.
+    ``doc_id, level, piece, first_byte, end_byte, n_words, component_id, first_doc_id, n_docs, removed, row``.
 
     Equal paragraphs, and those of ``similarity`` or more by the Jaccard measure on five-word shingles, form
     components; a component repeats if it lies in more than one document. Neighbouring repeated paragraphs
     of a document are one passage, and passages of ``min_words`` words or more are returned. ``removed`` is
     false for the document that keeps the passage, the one with the component's smallest doc_id. Documents
     without such passages have no row. Null and empty texts have none; rows with the same doc_id are the
-    same document, and rows with a null doc_id are ignored. Other columns are ignored.
+    same document, and rows with a null doc_id are ignored. Other columns are ignored. Bytes count in the
+    text's UTF-8 form.
     """
     stash = Stash(docs.sparkSession, "passages")
     pieces = stash.put(parse(docs.where("doc_id is not null")))
-    links = connected_components(_links(pieces, similarity, stash), stash)
-    slim = pieces.select("row", "doc_id", "piece", "words", "hash")
+    links = stash.put(connected_components(_links(pieces, similarity, stash), stash))
+    slim = stash.put(pieces.select("row", "doc_id", "level", "piece", "first", "end", "words", "hash"))
+    stash.drop(pieces)  # texts and bands aren't needed any more
     spread = slim.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    known = spread.join(stash.put(links.distinct()), F.col("hash") == F.col("node"), "left")
+    known = spread.join(links, F.col("hash") == F.col("node"), "left")
     known = stash.put(known.where("node is not null or lo <> hi").select("hash", "lo", "hi", F.coalesce("component", "hash").alias("component_id")))
     wide = stash.put(known.groupBy("component_id").agg(F.min("lo").alias("first_doc_id"), F.max("hi").alias("hi")).where("first_doc_id <> hi").drop("hi"))
     named = stash.put(known.join(wide, "component_id").select("hash", "component_id", "first_doc_id"))
     found = slim.join(named, "hash")
-    by_row = Window.partitionBy("row").orderBy("piece")
+    by_row = Window.partitionBy("row", "level").orderBy("piece")
     run = found.withColumn("run", F.col("piece") - F.row_number().over(by_row))
-    long = run.withColumn("run_words", F.sum("words").over(Window.partitionBy("row", "run"))).where(F.col("run_words") >= min_words)
-    kept = stash.put(long.select("row", "piece", "component_id", "first_doc_id"))
-    counts = pieces.select("row", "doc_id").distinct().join(kept.select("row", "component_id").distinct(), "row").groupBy("component_id", "doc_id").agg(F.count("*").alias("n"))
-    counts = stash.put(counts.groupBy("component_id").agg(F.count("*").alias("n_docs")))
-    back = pieces.select("row", "piece", "doc_id", "first", "end", "words", "text").join(kept, ["row", "piece"])
-    return back.join(counts, "component_id").select(
+    long = run.withColumn("run_words", F.sum("words").over(Window.partitionBy("row", "level", "run"))).where(F.col("run_words") >= min_words)
+    kept = stash.put(long.select("row", "doc_id", "level", "piece", "first", "end", "words", "component_id", "first_doc_id"))
+    per_doc = kept.groupBy("component_id", "doc_id").agg(F.count("*").alias("n"))
+    counts = stash.put(per_doc.groupBy("component_id").agg(F.count("*").alias("n_docs")))
+    return kept.join(counts, "component_id").select(
         "doc_id",
+        "level",
         "piece",
         F.col("first").alias("first_byte"),
         F.col("end").alias("end_byte"),
@@ -218,5 +278,26 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int =
         "first_doc_id",
         "n_docs",
         (F.col("doc_id") != F.col("first_doc_id")).alias("removed"),
-        "text",
+        "row",
     )
+
+
+def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``docs`` without the removed passages: what ``repeated_passages`` marks is cut from each text."""
+    spans = passages.where("removed").groupBy("doc_id").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte")))).alias("_spans"))
+
+    def cut(text: pd.Series, first: pd.Series, end: pd.Series) -> pd.Series:
+        out = []
+        for t, a, e in zip(text, first, end):
+            if t is not None and a is not None:
+                raw, at, parts = t.encode(), 0, []
+                for x, y in zip(a, e):  # lines and their cuts overlap
+                    parts.append(raw[at:x])
+                    at = max(at, y)
+                t = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    left = F.pandas_udf(cut, T.StringType())("text", F.col("_spans.first_byte"), F.col("_spans.end_byte"))
+    own = docs.columns
+    return docs.join(Stash(docs.sparkSession, "cuts").put(spans), "doc_id", "left").withColumn("text", left).select(*own)
