@@ -27,6 +27,8 @@ LOOKUP = 2_000_000
 RUN = 1 << 20
 #: Hashes that a task remembers, so as to keep one text of each.
 SEEN = 1 << 20
+#: Paragraphs of a bucket that are verified against so many others at once.
+BLOCK = 512
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -206,8 +208,10 @@ def _links(pieces: DataFrame, similarity: float, stash: Stash, lookup: int = LOO
     """``(a, b)``: hashes of different paragraphs whose shingle sets have the Jaccard similarity or more.
 
     Only rows with a text count, so a very common paragraph comes once from each task. Within a band's
-    bucket each paragraph is joined to the least and to the one before it, not to all others; the other
-    bands give further chances. Texts of up to ``lookup`` candidates are picked without a shuffle of all.
+    bucket each paragraph is first verified against the least and the one before it; what that leaves
+    apart in a bucket of more than three is verified in ``_links_left``. So the links join all that the
+    verified pairs of all buckets would join, though not each such pair has a link of its own. Texts of
+    up to ``lookup`` candidates are picked without a shuffle of all.
     """
     fresh = pieces.where("text is not null")
     bands = fresh.select("hash", F.explode(F.array(*[f"band{i}" for i in range(BANDS)])).alias("band"))
@@ -232,9 +236,70 @@ def _links(pieces: DataFrame, similarity: float, stash: Stash, lookup: int = LOO
     both = pairs.join(left, "before").join(right, "hash")
     same = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype=float), T.DoubleType())
     found = stash.put(both.where(same("text_a", "text_b") >= similarity).select(F.col("before").alias("a"), F.col("hash").alias("b")))
+    more = _links_left(bands, found, texts, similarity, stash)
     for old in (pairs, wanted, texts):
         stash.drop(old)
-    return found
+    return found.union(more)
+
+
+def _linked(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """``(a, b)``: links of the given similarity between the rows that are odd and all, as few as join all that can be joined."""
+    group = group.sort_values(["odd", "hash"])
+    hashes, odd, parent = group["hash"].tolist(), group["odd"].tolist(), {x: x for x in group["label"]}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    sets = [shingle_set(t) for t in group["text"]]
+    sizes = np.array([len(x) for x in sets])
+    holding: dict[tuple, list[int]] = {}
+    for i in np.flatnonzero(~group["odd"].to_numpy(bool)).tolist():
+        for x in sets[i]:
+            holding.setdefault(x, []).append(i)
+    holders = {x: np.array(at) for x, at in holding.items()}
+    labels, out = group["label"].tolist(), []
+    for i in np.flatnonzero(odd).tolist():
+        at = [holders[x] for x in sets[i] if x in holders]
+        if not at:
+            continue
+        both = np.bincount(np.concatenate(at), minlength=len(sets))
+        for j in np.flatnonzero((both > 0) & (both / (sizes + sizes[i] - both) >= similarity)).tolist():
+            x, y = root(labels[i]), root(labels[j])
+            if x != y:
+                parent[x] = y
+                out.append((min(hashes[i], hashes[j]), max(hashes[i], hashes[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _links_left(bands: DataFrame, found: DataFrame, texts: DataFrame, similarity: float, stash: Stash, block: int = BLOCK) -> DataFrame:
+    """The links between paragraphs of one bucket that ``found`` doesn't join yet.
+
+    In each bucket of more than three (of fewer, every pair is verified already) that lies in several
+    components, all paragraphs outside the bucket's largest component are verified against all of the
+    bucket, in blocks of about ``block`` by ``block``, dealt out to tasks by bucket and block.
+    """
+    joined = connected_components(found, stash)
+    own = bands.distinct().join(joined, F.col("hash") == F.col("node"), "left")
+    members = stash.put(own.select("band", "hash", F.coalesce("component", "hash").alias("label")).join(texts.select("hash"), "hash", "left_semi"))
+    per_label = members.groupBy("band", "label").agg(F.count("*").alias("n"))
+    buckets = per_label.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    apart = stash.put(
+        members.join(buckets.where("size > 3 and labels > 1"), "band").select(
+            "band", "hash", "label", (F.col("label") != F.col("main.label")).alias("odd"), blocks(F.col("size")).alias("i_n"), blocks(F.col("size") - F.col("main.n")).alias("j_n")
+        )
+    )
+    deal = lambda n: F.pmod(F.xxhash64("hash"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = apart.select("band", "hash", "label", F.lit(False).alias("odd"), deal(F.col("i_n")).alias("i"), each("j_n").alias("j"))
+    against = apart.where("odd").select("band", "hash", "label", "odd", each("i_n").alias("i"), deal(F.col("j_n")).alias("j"))
+    grouped = every.union(against).join(texts, "hash").groupBy("band", "i", "j")
+    more = stash.put(grouped.applyInPandas(lambda g: _linked(g, similarity), "a long, b long").distinct())
+    for old in (members, apart):
+        stash.drop(old)
+    return more
 
 
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int = 20) -> DataFrame:

@@ -153,6 +153,43 @@ def test_near_paragraphs_are_linked(spark):
     assert links <= want and len(links) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("block", [512, 50])
+def test_star_of_near_paragraphs_is_joined_as_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(substring._links_left, "__defaults__", (block,))
+    rng = random.Random(9)
+    base = prose(rng, 110).split()
+    texts = [" ".join(base)]
+    for n in range(1000):
+        copy = list(base)
+        for at in rng.sample(range(8, 102), 2):
+            copy[at] = f"edit{n}at{at}"
+        texts.append(" ".join(copy))
+    stash = Stash(spark, "t")
+    pieces = stash.put(substring.parse(docs_of(spark, wrap(texts)).select("doc_id", "text")))
+    rows = pieces.where("text is not null").collect()
+    sets, buckets, parent = {r["hash"]: substring.shingle_set(r["text"]) for r in rows}, {}, {r["hash"]: r["hash"] for r in rows}
+    for r in rows:
+        for k in range(substring.BANDS):
+            buckets.setdefault(r[f"band{k}"], []).append(r["hash"])
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for group in buckets.values():
+        for i, a in enumerate(group):
+            for b in group[:i]:
+                if root(a) != root(b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    parent[root(a)] = root(b)
+    links = substring._links(pieces, 0.8, stash).collect()
+    assert all(len(sets[r["a"]] & sets[r["b"]]) >= 0.8 * len(sets[r["a"]] | sets[r["b"]]) for r in links)
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long"), stash).collect()}
+    groups = lambda of: {frozenset(x for x in sets if of(x) == c) for c in map(of, sets)}
+    want = groups(root)
+    assert groups(lambda x: got.get(x, x)) == want and max(map(len, want)) > 900
+
+
 def test_passage_edges(spark):
     long = "wörter " * 300_000
     df = docs_of(spark, wrap([None, "", "\n\n", "x", long, long]) + [(None, long, None, None, None), (4, long, None, None, None)])
