@@ -199,11 +199,11 @@ class Page:
         self._flush()
 
 
-PARSED = "page_id long, url string, host string, sig long, blocks array<struct<text:string,nodes:array<long>>>"
+PARSED = "page_id long, url string, host string, blocks array<struct<text:string,nodes:array<long>>>"
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` -> rows of ``PARSED``; ``sig`` is a hash of the page's longest block."""
+    """``pages(page_id, url, html)`` -> rows of ``PARSED``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -212,22 +212,32 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 url = url if isinstance(url, str) else None
                 page = Page(source if isinstance(source, str) else None)
                 blocks = [{"text": t, "nodes": [page.nodes[i] for i in around]} for t, around, _ in page.blocks]
-                longest = max((b["text"] for b in blocks), key=len, default="")
-                out.append((page_id, url, host_of(url), xxhash.xxh3_64_intdigest(longest.encode()) - (1 << 63), blocks))
-            rows = pd.DataFrame(out, columns=["page_id", "url", "host", "sig", "blocks"])
+                out.append((page_id, url, host_of(url), blocks))
+            rows = pd.DataFrame(out, columns=["page_id", "url", "host", "blocks"])
             rows["page_id"] = pd.array([None if x is None or x != x else int(x) for x in rows["page_id"]], "Int64")
             yield rows
 
     return pages.select("page_id", "url", "html").mapInPandas(run, PARSED)
 
 
+def signed_pages(parsed: DataFrame, min_pages: int = 10) -> DataFrame:
+    """The rows of a known host with ``sig``: a hash of the page's longest block that is on fewer than ``min_pages``
+    pages of its host, or of all its blocks if there is none. Boilerplate signs no page, however long it is."""
+    known = parsed.where("host is not null")
+    texts = F.array_distinct(F.transform("blocks", lambda b: F.struct(F.char_length(b["text"]).alias("n"), F.xxhash64(b["text"]).alias("h"))))
+    each = known.select("row", "host", F.explode(texts).alias("x")).select("row", "host", "x.n", "x.h")
+    frequent = each.groupBy("host", "h").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).select("host", "h")
+    rare = each.join(frequent, ["host", "h"], "left_anti").groupBy("row").agg(F.max(F.struct("n", "h"))["h"].alias("rare"))
+    return known.join(rare, "row", "left").withColumn("sig", F.coalesce("rare", F.xxhash64(F.col("blocks.text")))).drop("rare")
+
+
 def host_templates(parsed: DataFrame, min_pages: int = 10, min_share: float = 0.5) -> DataFrame:
     """``host, node``: subtree hashes in ``min_pages`` or more different pages of a host, and in ``min_share`` of them.
 
-    Pages with the same longest block count as one, so that an article isn't a template because its page
-    was copied. Counted in Spark with partial sums before each shuffle; pages without a host don't count.
+    Pages with the same signature (``signed_pages``) count as one, so that an article isn't a template
+    because its page was copied. Counted in Spark with partial sums before each shuffle; pages without a host don't count.
     """
-    known = parsed.where("host is not null")
+    known = signed_pages(parsed, min_pages)
     nodes = known.select("host", "sig", F.explode_outer(F.array_distinct(F.flatten(F.col("blocks.nodes")))).alias("node")).where("node is not null")
     per_node = nodes.groupBy("host", "node", "sig").agg(F.count("*").alias("n")).groupBy("host", "node").agg(F.count("*").alias("n_pages"))
     per_host = known.groupBy("host", "sig").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("n_host"))

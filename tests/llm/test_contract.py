@@ -105,6 +105,16 @@ def test_html_templates(spark):
     assert len(set(got.values())) == 1 and "Story" in got[0]
 
 
+def test_html_templates_longer_than_articles(spark):
+    notice, credit = ("All that is written here is given without any warranty, " * n for n in (8, 6))
+    page = lambda i: f"<body><div><p>Story {i} told in short</p></div><div><p>{notice}</p></div><div><p>{credit}</p></div><p>same</p></body>"
+    copied = "<body><div><p>One story that was put up again and again</p></div></body>"
+    pages = [(i, f"http://long.x/{i}", page(i)) for i in range(30)] + [(i, f"http://long.x/{i}", copied) for i in range(30, 45)]
+    got = text_of(spark, *pages)
+    assert all(got[i] == f"Story {i} told in short" for i in range(30))
+    assert all(got[i] == "One story that was put up again and again" for i in range(30, 45))
+
+
 def test_html_on_pages(spark, sf_dir):
     import html
 
