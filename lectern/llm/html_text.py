@@ -231,9 +231,11 @@ def signed_pages(parsed: DataFrame, min_pages: int = 10) -> DataFrame:
     return known.join(rare, "row", "left").withColumn("sig", F.coalesce("rare", F.xxhash64(F.col("blocks.text")))).drop("rare")
 
 
-def host_templates(parsed: DataFrame, min_pages: int = 10, min_share: float = 0.5) -> DataFrame:
+def host_templates(parsed: DataFrame, min_pages: int = 10, min_share: float = 0.0) -> DataFrame:
     """``host, node``: subtree hashes in ``min_pages`` or more different pages of a host, and in ``min_share`` of them.
 
+    By default no share is asked for: a section's own menu or notice is a template however large its host is.
+
     Pages with the same signature (``signed_pages``) count as one, so that an article isn't a template
     because its page was copied. Counted in Spark with partial sums before each shuffle; pages without a host don't count.
     """
@@ -245,7 +247,7 @@ def host_templates(parsed: DataFrame, min_pages: int = 10, min_share: float = 0.
     return often.join(per_host, "host").where(F.col("n_pages") >= F.col("n_host") * min_share).select("host", "node")
 
 
-def extract_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.0) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars, n_blocks, n_template_blocks``.
 
     Blocks of the main region outside every recurring subtree, in page order, joined by \\n; white space

@@ -115,6 +115,12 @@ def test_html_templates_longer_than_articles(spark):
     assert all(got[i] == "One story that was put up again and again" for i in range(30, 45))
 
 
+def test_html_templates_of_a_section(spark):
+    page = lambda i: f"<body><div><p>Story {i} is told here</p></div>{'<div><p>News of this section</p></div>' if i < 12 else ''}{'<p>Quoted</p>' if 20 < i < 30 else ''}</body>"
+    got = text_of(spark, *[(i, f"http://large.x/{i}", page(i)) for i in range(60)])
+    assert all(got[i] == f"Story {i} is told here" + ("\nQuoted" if 20 < i < 30 else "") for i in range(60))
+
+
 def test_html_on_pages(spark, sf_dir):
     import html
 
