@@ -221,14 +221,15 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def signed_pages(parsed: DataFrame, min_pages: int = 10) -> DataFrame:
-    """The rows of a known host with ``sig``: a hash of the page's longest block that is on fewer than ``min_pages``
+    """``host, nodes, sig`` of each row with a known host; ``sig`` is a hash of the page's longest block that is on fewer than ``min_pages``
     pages of its host, or of all its blocks if there is none. Boilerplate signs no page, however long it is."""
     known = parsed.where("host is not null")
     texts = F.array_distinct(F.transform("blocks", lambda b: F.struct(F.char_length(b["text"]).alias("n"), F.xxhash64(b["text"]).alias("h"))))
     each = known.select("row", "host", F.explode(texts).alias("x")).select("row", "host", "x.n", "x.h")
     frequent = each.groupBy("host", "h").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).select("host", "h")
     rare = each.join(frequent, ["host", "h"], "left_anti").groupBy("row").agg(F.max(F.struct("n", "h"))["h"].alias("rare"))
-    return known.join(rare, "row", "left").withColumn("sig", F.coalesce("rare", F.xxhash64(F.col("blocks.text")))).drop("rare")
+    slim = known.select("row", "host", F.array_distinct(F.flatten(F.col("blocks.nodes"))).alias("nodes"), F.xxhash64(F.col("blocks.text")).alias("whole"))  # no texts in the shuffle
+    return slim.join(rare, "row", "left").select("host", "nodes", F.coalesce("rare", "whole").alias("sig"))
 
 
 def host_templates(parsed: DataFrame, min_pages: int = 10, min_share: float = 0.0) -> DataFrame:
@@ -240,7 +241,7 @@ def host_templates(parsed: DataFrame, min_pages: int = 10, min_share: float = 0.
     because its page was copied. Counted in Spark with partial sums before each shuffle; pages without a host don't count.
     """
     known = signed_pages(parsed, min_pages)
-    nodes = known.select("host", "sig", F.explode_outer(F.array_distinct(F.flatten(F.col("blocks.nodes")))).alias("node")).where("node is not null")
+    nodes = known.select("host", "sig", F.explode_outer("nodes").alias("node")).where("node is not null")
     per_node = nodes.groupBy("host", "node", "sig").agg(F.count("*").alias("n")).groupBy("host", "node").agg(F.count("*").alias("n_pages"))
     per_host = known.groupBy("host", "sig").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("n_host"))
     often = per_node.where(F.col("n_pages") >= min_pages)
