@@ -9,15 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where the session names none, as in local tests, a folder of our own is set.
+    A session on one machine that names neither, as in tests, gets a temporary folder; on a cluster it's an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = named.get() if named.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        found = _local[app]
     return found.rstrip("/")
 
 
@@ -26,13 +36,20 @@ class Stash:
 
     This cuts lineage, survives lost executors, and gives the planner true sizes, so that a
     join after it is broadcast only if the written table is under the session's threshold, and
-    is otherwise a sort-merge join whose skewed partitions AQE may split.
+    is otherwise a sort-merge join whose skewed partitions AQE may split. Tables that a result still reads
+    live as long as the application; the folder is deleted when it ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        at, files = self._files(self.root)
+        files.deleteOnExit(at)
+
+    def _files(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -47,9 +64,8 @@ class Stash:
         """Delete a table of this stash that no later step reads."""
         path = getattr(df, "_lectern_path", None)
         if path is not None:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            at, files = self._files(path)
+            files.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op2_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

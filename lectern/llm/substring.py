@@ -16,18 +16,16 @@ from lectern.llm.common import Stash
 from lectern.llm.components import connected_components
 
 SHINGLE = 5
+#: Bands of the passages and lines, and MinHash rows of each; runs of MIN_WORDS have one band of one row.
 BANDS, ROWS = 4, 3
-#: A line is cut after a word pair whose hash has these bits zero, in at least LEAST words.
-CUT_MASK, LEAST = np.uint64(3), 5
-#: Lines of so many words are compared as paragraphs; shorter ones are no passage by themselves.
-PARAGRAPH = 20
-#: Hashes sent to the tasks at once; more are joined.
-LOOKUP = 2_000_000
-#: Bytes of text worked on at once; a longer text is cut at white space.
+MIN_WORDS = 20
+#: Bytes of a text hashed at once; blocks end between words.
 RUN = 1 << 20
 #: Hashes that a task remembers, so as to keep one text of each.
 SEEN = 1 << 20
-#: Paragraphs of a bucket that are verified against so many others at once.
+#: Rounds in which a bucket's passages are held against one leader, before what is still apart is compared in blocks.
+LEADERS = 3
+#: Passages of a bucket that are compared with so many others at once.
 BLOCK = 512
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -50,107 +48,247 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _shingles(words: np.ndarray) -> np.ndarray:
-    """Hash of the shingle that begins at each word; the last SHINGLE - 1 of a paragraph aren't used."""
-    out = np.zeros(len(words), np.uint64)
+def shingle_hashes(words: np.ndarray) -> np.ndarray:
+    """Hash of the shingle that begins at each word but the last SHINGLE - 1."""
+    n = max(0, len(words) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
     for i in range(SHINGLE):
-        out[: len(words) - i] += _mix(words[i:] + np.uint64(i + 1)) * np.uint64(2 * i + 3) if i < len(words) else 0
+        out += _mix(words[i : i + n] + np.uint64(i + 1)) * np.uint64(2 * i + 3)
     return _mix(out)
 
 
-def _runs(raw: bytes) -> Iterator[tuple[int, bytes]]:
-    at = 0
-    while len(raw) - at > RUN:
-        cut = max(raw.rfind(b" ", at + 1, at + RUN), raw.rfind(b"\n", at + 1, at + RUN))
-        cut = at + RUN if cut <= at else cut
-        yield at, raw[at:cut]
-        at = cut
-    yield at, raw[at:]
-
-
-def _blocks(texts: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int], list[int]]]:
-    """Texts joined by line breaks into blocks of about RUN bytes: the block, and of each text in it its
-    place in the block, its number, and the place in its text."""
-    parts, starts, numbers, bases, size = [], [], [], [], 0
-    for i, text in enumerate(texts):
-        for base, run in _runs(text):
-            if size and size + len(run) > RUN:
-                yield b"\n".join(parts), starts, numbers, bases
-                parts, starts, numbers, bases, size = [], [], [], [], 0
-            parts.append(run)
-            starts.append(size)
-            numbers.append(i)
-            bases.append(base)
-            size += len(run) + 1
-    if parts:
-        yield b"\n".join(parts), starts, numbers, bases
-
-
-def _cuts(hinted: list[int], ends_line: np.ndarray) -> np.ndarray:
-    """Ends of paragraphs, in words: at each line's end, and at hints LEAST words or more from the last end.
-
-    What is left of a line after a hint, if it is under three words, belongs to what comes before it.
+class Words:
+    """The words of a UTF-8 text: ``start, end`` (bytes), ``hash`` and ``line`` of each.
+
+    Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. They are hashed in
+    blocks that end between words, so memory beyond some 30 bytes a word doesn't grow with the text.
     """
-    out, last, begin = [], 0, 0
-    for i, is_end in zip(hinted, ends_line[hinted].tolist()):
-        n = i + 1 - last
-        if is_end:
-            if n < 3 and last > begin:
-                out.pop()
-            out.append(i + 1)
-            last = begin = i + 1
-        elif n >= LEAST:
-            out.append(last := i + 1)
-    return np.array(out)
-
-
-def paragraphs(texts: list[bytes]) -> Iterator[dict]:
-    """Blocks of paragraphs of UTF-8 texts: ``level, text`` (number), ``first, end`` (bytes), ``words, hash``.
-
-    A line of PARAGRAPH words or more is a paragraph (level 1), and has ``band0...``, keys of MinHash bands
-    over its five-word shingles. Every line is also cut where its words themselves say so (a hash of two
-    words), so a passage pasted into another line is cut as in its own. These cuts (level 0) are compared
-    by the hash of their words alone: of five to some twelve words, different ones hardly ever share four
-    fifths of their shingles. Words are lower-cased runs of letters, digits and non-ASCII characters.
+
+    _tables: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __init__(self, raw: bytes):
+        if Words._tables is None:
+            Words._tables = _powers(RUN)
+        low, parts, at, lines = raw.lower(), [], 0, 0
+        while at < len(low):
+            stop = self._break(low, at)
+            b = np.frombuffer(low, np.uint8, stop - at, at)
+            edge = np.flatnonzero(np.diff(np.r_[False, _KEEP[b], False].astype(np.int8)))
+            start, end = edge[::2], edge[1::2]
+            power, inverse = Words._tables if len(b) <= RUN else _powers(len(b))
+            total = np.r_[np.uint64(0), np.cumsum(b.astype(np.uint64) * power[: len(b)], dtype=np.uint64)]
+            breaks = np.flatnonzero(b == 10)
+            parts.append((start + at, end + at, _mix((total[end] - total[start]) * inverse[start]), np.searchsorted(breaks, start) + lines))
+            at, lines = stop, lines + len(breaks)
+        empty = np.zeros(0, np.int64)
+        self.start, self.end, self.hash, self.line = (np.concatenate(x) for x in zip(*parts)) if parts else (empty, empty, empty.view(np.uint64), empty)
+
+    @staticmethod
+    def _break(low: bytes, at: int) -> int:
+        """End of the block that begins at ``at``: a byte that is in no word, RUN bytes on if there is one in between, else as far as it takes."""
+        stop = at + RUN
+        if stop >= len(low):
+            return len(low)
+        while stop > at and _KEEP[low[stop]]:
+            stop -= 1
+        if stop == at:
+            stop = at + RUN
+            while stop < len(low) and _KEEP[low[stop]]:
+                stop += 1
+        return stop
+
+
+def seeds(words: np.ndarray, span: int = MIN_WORDS) -> np.ndarray:
+    """Words where the least shingle of some run of ``span`` words begins, in order.
+
+    The least shingle hash is the run's MinHash of one row, so runs share a seed with the chance of their
+    Jaccard similarity, and equal ones always. Neighbouring runs mostly have the same one: a text has
+    about two seeds in span - SHINGLE + 2 words, though every run of it is banded.
     """
-    for raw, starts, numbers, bases in _blocks(texts):
-        b = np.frombuffer(raw.lower(), np.uint8)
-        edge = np.flatnonzero(np.diff(np.r_[False, _KEEP[b], False].astype(np.int8)))
-        start, end = edge[::2], edge[1::2]
-        if not len(start):
-            continue
-        power, inverse = _powers(len(b))
-        total = np.r_[np.uint64(0), np.cumsum(b.astype(np.uint64) * power[: len(b)], dtype=np.uint64)]
-        words = _mix((total[end] - total[start]) * inverse[start])
-        line = np.searchsorted(np.flatnonzero(b == 10), start)
-        ends_line = np.r_[line[1:] != line[:-1], True]
-        pair = _mix(words + np.r_[np.uint64(0), words[:-1]] * np.uint64(3))
-        cuts = _cuts(np.flatnonzero(ends_line | ((pair & CUT_MASK) == 0)).tolist(), ends_line)
-        ends = np.flatnonzero(ends_line) + 1
-        sums = np.r_[np.uint64(0), np.cumsum(words * power[: len(words)], dtype=np.uint64)]
-        shingles = _shingles(words)
-        sizes = np.diff(np.r_[0, ends])
-        long = sizes >= PARAGRAPH
-        for level, stop, first in ((0, cuts, np.r_[0, cuts[:-1]]), (1, ends[long], (ends - sizes)[long])):
-            if not len(stop):
-                continue
-            whole = _mix((sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64))
-            where = np.searchsorted(starts, start[first], "right") - 1
-            shift = (np.array(bases) - np.array(starts))[where]
-            out = {"level": level, "text": np.array(numbers)[where], "first": start[first] + shift, "end": end[stop - 1] + shift, "words": stop - first, "hash": whole.view(np.int64)}
-            if level:
-                used = np.zeros(len(words) + 1, np.int8)  # a paragraph's shingles begin at its words but the last four
-                used[first] += 1
-                used[stop - SHINGLE + 1] -= 1
-                own = shingles[np.cumsum(used[:-1]).astype(bool)]
-                heads = np.cumsum(stop - first - SHINGLE + 1) - (stop - first - SHINGLE + 1)
-                mins = [_mix(np.minimum.reduceat(own * _MUL[k] + _ADD[k], heads)) for k in range(BANDS * ROWS)]
-                for i in range(BANDS):
-                    key = np.full(len(stop), i, np.uint64)
-                    for j in range(ROWS):
-                        key += mins[i * ROWS + j] * np.uint64(2 * j + 1)
-                    out[f"band{i}"] = _mix(key).view(np.int64)
-            yield out
+    s, wide = shingle_hashes(words), span - SHINGLE + 1
+    if len(s) < wide:
+        return np.zeros(0, np.int64)
+    runs = np.lib.stride_tricks.sliding_window_view(s, wide)
+    return np.unique(np.arange(len(runs)) + runs.argmin(axis=1))
+
+
+def around(words: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
+    """A byte for each of the ``reach`` words before a seed, nearest first, and after it; 0 is outside the text."""
+    code = np.zeros(len(words) + 2 * reach, np.uint8)
+    code[reach : reach + len(words)] = words % np.uint64(255) + np.uint64(1)
+    where = np.r_[-1 - np.arange(reach), SHINGLE + np.arange(reach)] + reach
+    return code[at[:, None] + where]
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    ends = pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _seed_rows(texts: DataFrame, span: int) -> DataFrame:
+    """``row, doc, at, key, near`` of each seed; ``near`` is what ``around`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "doc", "at", "key", "near"]
+        for batch in batches:
+            rows, docs, out, held = batch.column("row").to_numpy(), batch.column("doc").to_numpy(), [], 0
+            for i, text in enumerate(batch.column("text")):
+                w = Words(text.as_buffer().to_pybytes()).hash
+                at = seeds(w, span)
+                if len(at):
+                    out.append((np.full(len(at), rows[i]), np.full(len(at), docs[i]), at.astype(np.int32), shingle_hashes(w)[at].view(np.int64), around(w, at, span - SHINGLE)))
+                    held += len(at)
+                if held > 1 << 16 or out and i + 1 == len(rows):
+                    *plain, near = (np.concatenate(x) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, plain), _binary(near)], names)
+                    out, held = [], 0
+
+    return texts.select("row", "doc", "text").mapInArrow(run, "row long, doc long, at int, key long, near binary")
+
+
+def _common(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Words that agree before and after two seeds, without a gap."""
+    n = len(a.iloc[0]) if len(a) else 2
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), 2, n // 2) for s in (a, b))
+    same = np.logical_and.accumulate((x == y) & (x > 0), axis=2).sum(axis=2)
+    return pd.DataFrame({"before": same[:, 0], "after": same[:, 1]})
+
+
+def shared_runs(texts: DataFrame, stash: Stash, span: int = MIN_WORDS) -> DataFrame:
+    """Runs of ``span`` words or more that texts of different documents share.
+
+    ``texts(row, doc, text)`` -> ``row, doc, start, end, row2, doc2, start2`` (in words): each run of a text
+    that another text of a lesser doc has too, as far as it goes. Seeds (one-row MinHash bands of all runs of
+    ``span`` words) are joined. Those that also share the eight words on one side are held word by word
+    against the bucket's least doc. Where one has no such run in common with that, all of the bucket's runs
+    around the seed are compared with each other, by their hashes. So around each seed of each run that any
+    other document has a run is found, without pairs; it goes as far as with the least such document.
+    Words beside the seed are compared by one byte each: a run may go a word too far (1 in 255).
+    """
+    reach = span - SHINGLE
+    side = -(-reach // 2)
+    every = _seed_rows(texts, span)
+    again = stash.put(every.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key"))
+    held = stash.put(every.join(again, "key", "left_semi"))
+    zero = F.lit(bytearray(1))
+    part = lambda first, n: F.substring("near", first, n)
+    both = F.array(
+        F.when(part(side, 1) != zero, F.xxhash64("key", F.lit(0), part(1, side))),
+        F.when(part(reach + side, 1) != zero, F.xxhash64("key", F.lit(1), part(reach + 1, side))),
+    )
+    members = held.select("*", F.explode(F.array_compact(both)).alias("bucket"))
+    least = members.groupBy("bucket").agg(F.min(F.struct("doc", "row", "at", "near")).alias("x"), F.max("doc").alias("hi")).where("x.doc <> hi")
+    least = stash.put(least.select("bucket", F.col("x.doc").alias("doc2"), F.col("x.row").alias("row2"), F.col("x.at").alias("at2"), F.col("x.near").alias("near2")))
+    kind = T.StructType([T.StructField("before", T.LongType()), T.StructField("after", T.LongType())])
+    compared = members.join(least, "bucket").where("doc <> doc2").withColumn("both", F.pandas_udf(_common, kind)("near", "near2"))
+    compared = stash.put(compared.select("bucket", "row", "doc", "at", "row2", "doc2", "at2", "both.*"))
+    enough = F.col("before") + F.col("after") >= reach
+    ends = lambda at: [(F.col(at) - F.col("before")).cast("int"), (F.col("at") + SHINGLE + F.col("after")).cast("int")]
+    start, end = ends("at")
+    hits = compared.where(enough).select("row", "doc", start.alias("start"), end.alias("end"), "row2", "doc2", (F.col("at2") - F.col("before")).cast("int").alias("start2"))
+    unlike = compared.where(~enough).select("bucket").distinct()
+    rest = members.join(unlike, "bucket", "left_semi").drop("bucket").dropDuplicates(["row", "at"])
+    runs = F.transform(
+        F.sequence(F.lit(0), F.lit(reach)),
+        lambda n: F.when(
+            ((n == 0) | (F.substring(F.col("near"), n, F.lit(1)) != zero)) & ((n == reach) | (F.substring(F.col("near"), F.lit(2 * reach) - n, F.lit(1)) != zero)),
+            F.struct(n.alias("n"), F.xxhash64("key", n, F.substring(F.col("near"), F.lit(1), n), F.substring(F.col("near"), F.lit(reach + 1), F.lit(reach) - n)).alias("run")),
+        ),
+    )
+    each = stash.put(rest.select("row", "doc", "at", F.explode(F.array_compact(runs)).alias("x")).select("row", "doc", (F.col("at") - F.col("x.n")).cast("int").alias("start"), "x.run"))
+    first = each.groupBy("run").agg(F.min(F.struct("doc", "row", "start")).alias("x"), F.max("doc").alias("hi")).where("x.doc <> hi")
+    first = first.select("run", F.col("x.row").alias("row2"), F.col("x.doc").alias("doc2"), F.col("x.start").alias("start2"))
+    others = each.join(first, "run").where("doc <> doc2").select("row", "doc", "start", (F.col("start") + span).alias("end"), "row2", "doc2", "start2")
+    lines = Window.partitionBy("row", "row2", "shift").orderBy("start")
+    all_hits = hits.union(others).withColumn("shift", F.col("start") - F.col("start2"))
+    far = F.max("end").over(lines.rowsBetween(Window.unboundedPreceding, -1))
+    joined = all_hits.withColumn("new", (F.coalesce(far, F.lit(-1)) < F.col("start")).cast("int")).withColumn("run", F.sum("new").over(lines))
+    out = joined.groupBy("row", "doc", "row2", "doc2", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    found = stash.put(out.select("row", "doc", "start", "end", "row2", "doc2", (F.col("start") - F.col("shift")).alias("start2")))
+    for old in (again, held, least, compared, each):
+        stash.drop(old)
+    return found
+
+
+def widest(runs: DataFrame) -> DataFrame:
+    """``row, lower, start, end, other``: the runs of both texts that lie in no wider one of their text.
+
+    ``other`` is the least document that has the run, ``lower`` whether it is less than the row's own; runs
+    with it are apart from those without, as only the former are removed.
+    """
+    back = runs.select(F.col("row2").alias("row"), F.lit(False).alias("lower"), F.col("start2").alias("start"), (F.col("start2") + F.col("end") - F.col("start")).alias("end"), F.col("doc").alias("other"))
+    sides = runs.select("row", F.lit(True).alias("lower"), "start", "end", F.col("doc2").alias("other")).union(back)
+    one = sides.groupBy("row", "lower", "start", "end").agg(F.min("other").alias("other"))
+    by = Window.partitionBy("row", "lower").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return one.withColumn("far", F.coalesce(F.max("end").over(by), F.lit(-1))).where("far < end").drop("far")
+
+
+def band_keys(words: np.ndarray) -> list[int]:
+    """MinHash band keys of a passage's shingles (of its whole sequence, if it has fewer words)."""
+    s = shingle_hashes(words)
+    if not len(s):
+        s = np.array([_mix(words + np.arange(len(words), dtype=np.uint64)).sum(dtype=np.uint64)])
+    mins = _mix(np.array([np.min(s * m + a) for m, a in zip(_MUL, _ADD)])).reshape(BANDS, ROWS)
+    return _mix((mins * np.arange(1, 2 * ROWS, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+
+
+def passages_of(raw: bytes, runs: list[tuple[int, int]], whole: bool, least: int) -> Iterator[tuple]:
+    """``(level, number of the run, first, end, words, hash, bands)`` of a text's passages, bytes as places.
+
+    Level 0 are the runs, level 1 the lines of ``least`` words or more that share a word with a run and
+    aren't one themselves, level 2 (without bands) the whole text, if asked for.
+    """
+    words = Words(raw)
+    n = len(words.hash)
+    power = _powers(n)[0]
+
+    def passage(level: int, number: int, a: int, b: int) -> tuple:
+        key = int((_mix(words.hash[a:b]) * power[: b - a]).sum(dtype=np.uint64).view(np.int64))
+        return level, number, int(words.start[a]), int(words.end[b - 1]), b - a, key, None if level == 2 else band_keys(words.hash[a:b])
+
+    for i, (a, b) in enumerate(runs):
+        yield passage(0, i, a, b)
+    own, touched = set(runs), np.zeros(n + 1, np.int64)
+    for a, b in runs:
+        touched[a] += 1
+        touched[b] -= 1
+    covered = np.r_[0, np.cumsum(np.cumsum(touched[:-1]) > 0)]
+    ends = np.flatnonzero(np.r_[words.line[1:] != words.line[:-1], True]) + 1 if n and runs else np.zeros(0, np.int64)
+    for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+        if b - a >= least and covered[b] > covered[a] and (a, b) not in own:
+            yield passage(1, -1, a, b)
+    if whole and n >= least:
+        yield passage(2, -1, 0, n)
+
+
+PASSAGES = "row long, doc long, level int, first int, end int, words int, hash long, bands array<long>, other long, text string"
+
+
+def _passages(texts: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """The passages of texts with runs and of those with copies, as ``PASSAGES``; of those with one hash only the first in a task has a text."""
+    by_row = found.groupBy("row").agg(F.collect_list(F.struct("start", "end", "other")).alias("runs"))  # fewer than two for each word
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seen = [x.split()[0] for x in PASSAGES.split(", ")], set()
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string()]
+        for batch in batches:
+            out: list[tuple] = []
+            for r in range(batch.num_rows):
+                row, doc, copied, raw = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].as_py(), batch.column(3)[r].as_buffer().to_pybytes()
+                runs = batch.column(4)[r].as_py() or []
+                for level, i, first, end, n, key, bands in passages_of(raw, [(x["start"], x["end"]) for x in runs], copied, least):
+                    new = level < 2 and key not in seen
+                    seen.add(key)
+                    text = raw[first:end].decode("utf-8", "replace") if new else None
+                    out.append((row, doc, level, first, end, n, key, bands if new else None, runs[i]["other"] if level == 0 else None, text))
+                if len(out) > 4096 or out and r + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+                    out = []
+            if len(seen) > SEEN:
+                seen.clear()
+
+    joined = texts.join(by_row, "row", "left").where("runs is not null or hi <> doc")
+    return joined.select("row", "doc", (F.col("hi") != F.col("doc")).alias("copied"), "text", "runs").mapInArrow(run, PASSAGES)
 
 
 def words_in(raw: bytes) -> list[bytes]:
@@ -168,126 +306,82 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / max(1, len(x | y))
 
 
-PARSED = "row long, doc_id long, level int, piece int, first int, end int, words int, hash long, " + ", ".join(f"band{i} long" for i in range(BANDS)) + ", text string"
-
-
-def parse(docs: DataFrame) -> DataFrame:
-    """All paragraphs and cuts, as ``PARSED``. Only paragraphs have bands and a text, and of those with one
-    hash only the first in a task."""
+def similar_passages(passages: DataFrame, similarity: float, stash: Stash, leaders: int = LEADERS) -> DataFrame:
+    """``(a, b)``: hashes of passages with a band in common and that Jaccard similarity or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            rows, ids, texts = batch.column("row").to_numpy(), batch.column("doc_id").to_numpy(), [(t or "").encode() for t in batch.column("text").to_pylist()]
-            last, piece = [-1, -1], [0, 0]
-            for p in paragraphs(texts):
-                t, level = p["text"], p["level"]
-                heads = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-                sizes = np.diff(np.r_[heads, len(t)])
-                number = np.arange(len(t)) - np.repeat(heads, sizes)
-                if t[0] == last[level]:  # a text that goes on from the block before
-                    number[: sizes[0]] += piece[level]
-                last[level], piece[level] = t[-1], int(number[-1]) + 1
-                hashes, new = p["hash"], np.zeros(len(t), bool)
-                if level:
-                    new[np.unique(hashes, return_index=True)[1]] = True
-                    new[new] = [h not in seen for h in hashes[new].tolist()]
-                    seen.update(hashes[new].tolist())
-                texts_of = pa.array([texts[i][a:e].decode("utf-8", "replace") if n else None for n, i, a, e in zip(new.tolist(), t.tolist(), p["first"].tolist(), p["end"].tolist())], pa.string())
-                bands = [pa.array(p[f"band{i}"], mask=~new) if level else pa.nulls(len(t), pa.int64()) for i in range(BANDS)]
-                if len(seen) > SEEN:
-                    seen.clear()
-                whole = [rows[t], ids[t], np.full(len(t), level, np.int32), number.astype(np.int32), *(p[k].astype(np.int32) for k in ("first", "end", "words")), hashes]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, whole), *bands, texts_of], names)
-
-    names = [x.split()[0] for x in PARSED.split(", ")]
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, PARSED)
-
-
-def _links(pieces: DataFrame, similarity: float, stash: Stash, lookup: int = LOOKUP) -> DataFrame:
-    """``(a, b)``: hashes of different paragraphs whose shingle sets have the Jaccard similarity or more.
-
-    Only rows with a text count, so a very common paragraph comes once from each task. Within a band's
-    bucket each paragraph is first verified against the least and the one before it; what that leaves
-    apart in a bucket of more than three is verified in ``_links_left``. So the links join all that the
-    verified pairs of all buckets would join, though not each such pair has a link of its own. Texts of
-    up to ``lookup`` candidates are picked without a shuffle of all.
+    In each band's bucket every passage is verified against a leader, the least hash; those that are unlike
+    it are held against the least among them, and so on for ``leaders`` rounds. What that leaves apart is
+    verified in ``_links_left``. So the links join all that the verified pairs of all buckets would join,
+    though not each such pair has a link of its own. No bucket is collected into one task.
     """
-    fresh = pieces.where("text is not null")
-    bands = fresh.select("hash", F.explode(F.array(*[f"band{i}" for i in range(BANDS)])).alias("band"))
-    ordered = Window.partitionBy("band").orderBy("hash")
-    near = bands.withColumn("before", F.lag("hash").over(ordered)).withColumn("least", F.min("hash").over(ordered)).where("before <> hash")
-    pairs = stash.put(
-        near.select(F.explode(F.array(F.struct("before", "hash"), F.struct(F.col("least").alias("before"), "hash"))).alias("x")).select("x.before", "x.hash").distinct()
-    )
-    wanted = stash.put(pairs.select(F.col("before").alias("h")).union(pairs.select("hash")).distinct())
-    if wanted.count() <= lookup:
-        held = pieces.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("h").to_numpy()))
-
-        def known(h: pd.Series) -> pd.Series:
-            keys, x = held.value, h.to_numpy(np.int64)
-            return pd.Series(keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool))
-
-        of_wanted = fresh.select("hash", "text").where(F.pandas_udf(known, T.BooleanType())("hash"))
-    else:
-        of_wanted = fresh.select("hash", "text").join(wanted, fresh["hash"] == wanted["h"], "left_semi")
-    texts = stash.put(of_wanted.groupBy("hash").agg(F.min("text").alias("text")))
-    left, right = texts.toDF("before", "text_a"), texts.toDF("hash", "text_b")
-    both = pairs.join(left, "before").join(right, "hash")
+    texts = stash.put(passages.where("text is not null").groupBy("hash").agg(F.first("text").alias("text"), F.first("bands").alias("bands")))
+    bands = stash.put(texts.select("hash", F.explode("bands").alias("band")).distinct())
+    crowd = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    bands = stash.put(bands.join(crowd, "band", "left_semi"))
+    text, left, found, old = texts.select("hash", "text"), bands, None, []
     same = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype=float), T.DoubleType())
-    found = stash.put(both.where(same("text_a", "text_b") >= similarity).select(F.col("before").alias("a"), F.col("hash").alias("b")))
-    more = _links_left(bands, found, texts, similarity, stash)
-    for old in (pairs, wanted, texts):
-        stash.drop(old)
+    for _ in range(leaders):
+        lead = stash.put(left.groupBy("band").agg(F.min("hash").alias("a")))
+        others = left.join(lead, "band").where("hash <> a")
+        pairs = others.select("a", F.col("hash").alias("b")).distinct().join(text.toDF("a", "text_a"), "a").join(text.toDF("b", "text_b"), "b")
+        known = stash.put(pairs.select("a", "b", (same("text_a", "text_b") >= similarity).alias("like")))
+        like = known.where("like").select("a", "b")
+        found = like if found is None else found.union(like)
+        old.append(lead)
+        left = stash.put(others.join(known.where("not like").select("a", F.col("b").alias("hash")), ["a", "hash"]).select("hash", "band"))
+        old.append(left)
+        if left.isEmpty():
+            break
+    more = _links_left(bands, found, text, similarity, stash)
+    for x in (*old, bands, texts):
+        stash.drop(x)
     return found.union(more)
 
 
-def _linked(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """``(a, b)``: links of the given similarity between the rows that are odd and all, as few as join all that can be joined."""
-    group = group.sort_values(["odd", "hash"])
-    hashes, odd, parent = group["hash"].tolist(), group["odd"].tolist(), {x: x for x in group["label"]}
+def _linked(group: list[tuple[int, int, bool, str]], similarity: float) -> Iterator[tuple[int, int]]:
+    """``(a, b)`` of ``(hash, label, odd, text)``: links of the given similarity between those that are odd and all, as few as join all that can be joined."""
+    group = sorted(group, key=lambda x: (x[2], x[0]))
+    parent = {x[1]: x[1] for x in group}
 
     def root(x: int) -> int:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    sets = [shingle_set(t) for t in group["text"]]
+    sets = [shingle_set(x[3]) for x in group]
     sizes = np.array([len(x) for x in sets])
     holding: dict[tuple, list[int]] = {}
-    for i in np.flatnonzero(~group["odd"].to_numpy(bool)).tolist():
-        for x in sets[i]:
-            holding.setdefault(x, []).append(i)
+    for i, x in enumerate(group):
+        if not x[2]:
+            for y in sets[i]:
+                holding.setdefault(y, []).append(i)
     holders = {x: np.array(at) for x, at in holding.items()}
-    labels, out = group["label"].tolist(), []
-    for i in np.flatnonzero(odd).tolist():
-        at = [holders[x] for x in sets[i] if x in holders]
+    for i, (key, label, odd, _) in enumerate(group):
+        at = [holders[x] for x in sets[i] if x in holders] if odd else []
         if not at:
             continue
         both = np.bincount(np.concatenate(at), minlength=len(sets))
         for j in np.flatnonzero((both > 0) & (both / (sizes + sizes[i] - both) >= similarity)).tolist():
-            x, y = root(labels[i]), root(labels[j])
+            x, y = root(label), root(group[j][1])
             if x != y:
                 parent[x] = y
-                out.append((min(hashes[i], hashes[j]), max(hashes[i], hashes[j])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+                yield min(key, group[j][0]), max(key, group[j][0])
 
 
 def _links_left(bands: DataFrame, found: DataFrame, texts: DataFrame, similarity: float, stash: Stash, block: int = BLOCK) -> DataFrame:
-    """The links between paragraphs of one bucket that ``found`` doesn't join yet.
+    """The links between passages of one bucket that ``found`` doesn't join yet.
 
-    In each bucket of more than three (of fewer, every pair is verified already) that lies in several
-    components, all paragraphs outside the bucket's largest component are verified against all of the
+    In each bucket of more than two (of fewer, every pair is verified already) that lies in several
+    components, all passages outside the bucket's largest component are verified against all of the
     bucket, in blocks of about ``block`` by ``block``, dealt out to tasks by bucket and block.
     """
     joined = connected_components(found, stash)
-    own = bands.distinct().join(joined, F.col("hash") == F.col("node"), "left")
-    members = stash.put(own.select("band", "hash", F.coalesce("component", "hash").alias("label")).join(texts.select("hash"), "hash", "left_semi"))
+    members = stash.put(bands.join(joined, F.col("hash") == F.col("node"), "left").select("band", "hash", F.coalesce("component", "hash").alias("label")))
     per_label = members.groupBy("band", "label").agg(F.count("*").alias("n"))
     buckets = per_label.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
     blocks = lambda n: F.ceil(n / block).cast("int")
     apart = stash.put(
-        members.join(buckets.where("size > 3 and labels > 1"), "band").select(
+        members.join(buckets.where("size > 2 and labels > 1"), "band").select(
             "band", "hash", "label", (F.col("label") != F.col("main.label")).alias("odd"), blocks(F.col("size")).alias("i_n"), blocks(F.col("size") - F.col("main.n")).alias("j_n")
         )
     )
@@ -295,68 +389,97 @@ def _links_left(bands: DataFrame, found: DataFrame, texts: DataFrame, similarity
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     every = apart.select("band", "hash", "label", F.lit(False).alias("odd"), deal(F.col("i_n")).alias("i"), each("j_n").alias("j"))
     against = apart.where("odd").select("band", "hash", "label", "odd", each("i_n").alias("i"), deal(F.col("j_n")).alias("j"))
-    grouped = every.union(against).join(texts, "hash").groupBy("band", "i", "j")
-    more = stash.put(grouped.applyInPandas(lambda g: _linked(g, similarity), "a long, b long").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last, out = [], None, []
+        for batch in batches:
+            for *at, key, label, odd, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != last:
+                    out += _linked(group, similarity)
+                    group, last = [], at
+                group.append((key, label, odd, text))
+            if len(out) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+                out = []
+        out += _linked(group, similarity)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+
+    dealt = every.union(against).join(texts, "hash").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    more = stash.put(dealt.select("band", "i", "j", "hash", "label", "odd", "text").mapInArrow(run, "a long, b long").distinct())
     for old in (members, apart):
         stash.drop(old)
     return more
 
 
-def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int = 20) -> DataFrame:
-    """The paragraphs of ``docs(doc_id, text)`` that repeat across documents, one row each:
+def text_key(text: F.Column | str) -> F.Column:
+    """What tells a text from others: the 16 bytes of its MD5."""
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
+def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
+    """The passages of ``docs(doc_id, text)`` that repeat across documents, one row each:
 
-    ``doc_id, level, piece, first_byte, end_byte, n_words, component_id, first_doc_id, n_docs, removed, row``.
+    ``doc_id, level, first_byte, end_byte, n_words, component_id, first_doc_id, removed, text_key``.
 
-    Equal paragraphs, and those of ``similarity`` or more by the Jaccard measure on five-word shingles, form
-    components; a component repeats if it lies in more than one document. Neighbouring repeated paragraphs
-    of a document are one passage, and passages of ``min_words`` words or more are returned. ``removed`` is
-    false for the document that keeps the passage, the one with the component's smallest doc_id. Documents
-    without such passages have no row. Null and empty texts have none; rows with the same doc_id are the
-    same document, and rows with a null doc_id are ignored. Other columns are ignored. Bytes count in the
-    text's UTF-8 form.
+    Every run of ``min_words`` words (5 or more) of every text is a paragraph with a MinHash band of one row; runs that collide
+    are compared word by word and extended as far as they agree (``shared_runs``). A passage is such a run
+    that lies in no longer one (level 0), a line of ``min_words`` or more that touches one (level 1; two
+    lines that are similar by 0.8 share a run of four fifths of their words unless they have 21 words or
+    fewer), or a whole text that several documents have (level 2; its runs are searched once, and listed for
+    the least of these documents). Passages are then banded themselves (``BANDS`` of ``ROWS``), those that
+    collide are verified by exact Jaccard similarity on five-word shingles, and links form components. Of
+    lines only those are returned whose component lies in several documents; runs always do.
+
+    ``removed`` is false for the component's smallest doc_id, ``first_doc_id``. Documents without repeats
+    have no row. Null and empty texts have none; rows with the same doc_id are the same document, told apart
+    by their text; rows with a null doc_id are ignored. Other columns are ignored. Bytes count in the
+    text's UTF-8 form. The class id is the least of the component's hashes.
     """
+    if min_words < SHINGLE:
+        raise ValueError("passages have a shingle at least")
     stash = Stash(docs.sparkSession, "passages")
-    pieces = stash.put(parse(docs.where("doc_id is not null")))
-    links = stash.put(connected_components(_links(pieces, similarity, stash), stash))
-    slim = stash.put(pieces.select("row", "doc_id", "level", "piece", "first", "end", "words", "hash"))
-    stash.drop(pieces)  # texts and bands aren't needed any more
-    spread = slim.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    known = spread.join(links, F.col("hash") == F.col("node"), "left")
-    known = stash.put(known.where("node is not null or lo <> hi").select("hash", "lo", "hi", F.coalesce("component", "hash").alias("component_id")))
-    wide = stash.put(known.groupBy("component_id").agg(F.min("lo").alias("first_doc_id"), F.max("hi").alias("hi")).where("first_doc_id <> hi").drop("hi"))
-    named = stash.put(known.join(wide, "component_id").select("hash", "component_id", "first_doc_id"))
-    found = slim.join(named, "hash")
-    by_row = Window.partitionBy("row", "level").orderBy("piece")
-    run = found.withColumn("run", F.col("piece") - F.row_number().over(by_row))
-    long = run.withColumn("run_words", F.sum("words").over(Window.partitionBy("row", "level", "run"))).where(F.col("run_words") >= min_words)
-    kept = stash.put(long.select("row", "doc_id", "level", "piece", "first", "end", "words", "component_id", "first_doc_id"))
-    per_doc = kept.groupBy("component_id", "doc_id").agg(F.count("*").alias("n"))
-    counts = stash.put(per_doc.groupBy("component_id").agg(F.count("*").alias("n_docs")))
-    return kept.join(counts, "component_id").select(
+    keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), "text")
+    distinct = keyed.groupBy("text_key").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("hi"), F.first("text").alias("text"))
+    texts = stash.put(distinct.withColumn("row", F.monotonically_increasing_id()))
+    found = stash.put(widest(shared_runs(texts, stash, min_words)))
+    passages = stash.put(_passages(texts, found, min_words))
+    keys = stash.put(texts.select("row", "text_key", "doc", "hi"))
+    stash.drop(texts)
+    links = stash.put(connected_components(similar_passages(passages, similarity, stash), stash))
+    slim = passages.drop("text", "bands").join(links, F.col("hash") == F.col("node"), "left")
+    slim = stash.put(slim.select("row", "doc", "level", "first", "end", "words", "other", F.coalesce("component", "hash").alias("component_id")))
+    low, high = F.least("doc", F.coalesce("other", "doc")), F.greatest("doc", F.coalesce("other", "doc"))
+    spread = slim.groupBy("component_id").agg(F.min(low).alias("first_doc_id"), F.max(high).alias("last"))
+    kept = stash.put(slim.join(spread, "component_id").where("level <> 1 or first_doc_id <> last").join(keys, ["row", "doc"]))
+    copies = keyed.select("doc_id", "text_key").distinct().join(kept.where("level = 2").drop("doc"), "text_key")
+    every = kept.where("level < 2").withColumnRenamed("doc", "doc_id").unionByName(copies)
+    return every.select(
         "doc_id",
         "level",
-        "piece",
         F.col("first").alias("first_byte"),
         F.col("end").alias("end_byte"),
         F.col("words").alias("n_words"),
         "component_id",
         "first_doc_id",
-        "n_docs",
         (F.col("doc_id") != F.col("first_doc_id")).alias("removed"),
-        "row",
+        "text_key",
     )
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` without the removed passages: what ``repeated_passages`` marks is cut from each text."""
-    spans = passages.where("removed").groupBy("doc_id").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte")))).alias("_spans"))
+    """``docs`` without the removed passages: what ``repeated_passages`` marks is cut from each text.
+
+    A row is known by its doc_id and text, so rows that share a doc_id alone keep what is theirs.
+    """
+    spans = passages.where("removed").groupBy("doc_id", F.col("text_key").alias("_key")).agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte")))).alias("_spans"))
 
     def cut(text: pd.Series, first: pd.Series, end: pd.Series) -> pd.Series:
         out = []
         for t, a, e in zip(text, first, end):
             if t is not None and a is not None:
                 raw, at, parts = t.encode(), 0, []
-                for x, y in zip(a, e):  # lines and their cuts overlap
+                for x, y in zip(a, e):  # lines and runs overlap
                     parts.append(raw[at:x])
                     at = max(at, y)
                 t = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
@@ -365,4 +488,5 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     left = F.pandas_udf(cut, T.StringType())("text", F.col("_spans.first_byte"), F.col("_spans.end_byte"))
     own = docs.columns
-    return docs.join(Stash(docs.sparkSession, "cuts").put(spans), "doc_id", "left").withColumn("text", left).select(*own)
+    keyed = docs.withColumn("_key", text_key("text"))
+    return keyed.join(Stash(docs.sparkSession, "cuts").put(spans), ["doc_id", "_key"], "left").withColumn("text", left).select(*own)
