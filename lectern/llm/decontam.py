@@ -23,6 +23,11 @@ def words_of(text: F.Column) -> F.Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _window_id(words: F.Column) -> F.Column:
+    """The SHA-256 of a window's words, which have no spaces: what windows are compared by."""
+    return F.unhex(F.sha2(F.concat_ws(" ", words), 256))
+
+
 def _grams(df: DataFrame, span: int) -> DataFrame:
     """Adds ``pos, gram``: the gram hashes that winnowing keeps of ``words``, for shared spans of ``span`` words.
 
@@ -56,37 +61,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
 
     Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. A window is ``window``
     words in a row of a benchmark item, or a whole shorter one. Winnowed fingerprints of documents are
-    joined with those of the benchmark; each match is extended to whole windows and compared word by
-    word, so the result is exact. ``n_hit`` counts words inside any occurrence of a window, ``n_items``
+    joined with those of the benchmark; each match is extended to the whole window and compared by its
+    words' SHA-256, so the result is exact. ``n_hit`` counts words inside any occurrence of a window, ``n_items``
     the items with occurring windows, ``items_sha256`` digests their sorted ids, comma-joined.
 
     Null and empty texts have no words and no hits; repeated rows give repeated rows; a null doc_id
     stays. Items with a null id or no words are no items; equal item_ids are one item. An empty
-    benchmark hits nothing. Other columns are ignored. The work depends on distinct texts, and only
-    blocks of ``block_rows`` benchmark fingerprints are ever broadcast.
+    benchmark hits nothing. Other columns are ignored. Documents are hashed once for each length of
+    windows (at most ``window``) and each block of about ``block_rows`` benchmark fingerprints; a block is
+    what is broadcast, rows of fixed size dealt out by their own hash, so one frequent gram fills none.
     """
     stash = Stash(docs.sparkSession, "winnow")
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words"))
     items = items.where(F.size("words") > 0).withColumn("span", F.least(F.size("words"), F.lit(window)))
     windows = stash.put(
         items.select("item", "span", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("span") + 1), lambda i: F.slice(F.col("words"), i, F.col("span")))).alias("words"))
-        .select("item", "span", "words", F.sha2(F.concat_ws(" ", "words"), 256).alias("wid"))
+        .select("item", "span", "words", _window_id(F.col("words")).alias("wid"))
         .distinct()
     )
     spans = sorted(r["span"] for r in windows.select("span").distinct().collect())  # at most `window` numbers
     text = docs.select(F.col("text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"))
     hits = None
     for span in spans:
-        table = stash.put(_grams(windows.where(F.col("span") == span).select("wid", "words").distinct(), span).withColumnRenamed("words", "window"))
+        table = stash.put(_grams(windows.where(F.col("span") == span).select("wid", "words").distinct(), span).select("wid", "pos", "gram"))
         blocks = max(1, math.ceil(table.count() / block_rows))
         for b in range(blocks):
-            block = table.where(F.pmod(F.col("gram"), F.lit(blocks)) == b) if blocks > 1 else table
-            block = F.broadcast(block.select("wid", "window", F.col("pos").alias("item_pos"), F.col("gram").alias("item_gram")))
+            block = table.where(F.pmod(F.xxhash64("wid", "pos"), F.lit(blocks)) == b) if blocks > 1 else table
+            block = F.broadcast(block.select("wid", F.col("pos").alias("item_pos"), F.col("gram").alias("item_gram")))
             found = (
                 _grams(text.select("text_key", words_of(F.col("text")).alias("words")), span)
                 .join(block, F.col("gram") == F.col("item_gram"))
                 .withColumn("start", F.col("pos") - F.col("item_pos"))
-                .where((F.col("start") >= 0) & (F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.lit(span)) == F.col("window")))
+                .where((F.col("start") >= 0) & (_window_id(F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.lit(span))) == F.col("wid")))
                 .select("text_key", "start", F.lit(span).alias("span"), "wid")
             )
             hits = found if hits is None else hits.union(found)

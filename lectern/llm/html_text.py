@@ -1,4 +1,4 @@
-"""Main text of web pages: structure rules, and removal of the subtrees that recur across a host's pages."""
+"""Main text of web pages: site templates are the element subtrees that recur across a host's pages."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from lectern.llm.common import Stash
 
 # Names of HTML elements, by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object canvas audio video select".split())
 ASIDE = frozenset("nav aside footer form head menu dialog button fieldset noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -24,18 +24,22 @@ BLOCK = frozenset(
 )
 CLOSES_SELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend"}
-# Words in class, id and role that mark what isn't the article.
+# Words of class, id and role that break ties, and words that may stand beside them in a label.
 ASIDE_WORDS = frozenset(
     "ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo consent cookie "
     "cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notification notifications pagination pager popup "
     "promo promoted promotion related replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe "
     "toolbar topbar widget widgets".split()
 )
-
 ASIDE_ARTICLE = frozenset("ad ads advert advertisement comment comments promo promoted related reply sponsored".split())
+BESIDE = frozenset("area bar block bottom box container form group inner item items left link links list main outer panel post posts right section site top wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: A node of every page: it recurs where a host has pages enough to count.
+ROOT = 0
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_DIGITS = re.compile("[0-9]+")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
@@ -45,65 +49,93 @@ def host_of(url: str | None) -> str | None:
     return found[1].lower() if found else None
 
 
-def _aside(name: str, attrs: str, in_main: bool) -> int:
-    """2 for what isn't article by its element, 1 by its class, id or role, else 0.
+def _labels(attrs: str) -> list[str]:
+    return [x for a in _ATTR.finditer(attrs) for x in html.unescape(a[2] or a[3] or a[4] or "").lower().split()]
 
-    Names such as has-sidebar tell of a wrapper, and don't count; an article is set apart by few words only.
-    """
-    if name in ASIDE or name == "header" and not in_main:
-        return 2
+
+def _suspect(name: str, labels: list[str]) -> bool:
+    """Whether a label says by all its words that this isn't article text; an article is set apart by few words only."""
     if name in ("html", "body", "main"):
-        return 0
+        return False
     known = ASIDE_ARTICLE if name == "article" else ASIDE_WORDS
-    for a in _ATTR.finditer(attrs):
-        for label in html.unescape(a[2] or a[3] or a[4] or "").lower().split():
-            words = re.split(r"[^a-z0-9]+", label)
-            if words[0] not in ("has", "with", "no", "without") and not known.isdisjoint(words):
-                return 1
-    return 0
+    for label in labels:
+        words = [x for x in re.split(r"[^a-z0-9]+", label) if x]
+        if not known.isdisjoint(words) and all(x in known or x in BESIDE for x in words):
+            return True
+    return False
+
+
+def _signed(digest: int) -> int:
+    return digest - (1 << 63)
 
 
 class _Open:
-    __slots__ = ("name", "hash", "aside", "main", "region", "node")
+    """An open element: its name, the hash of what it holds, and the hash of its path by names and labels.
 
-    def __init__(self, name: str, attrs: str, aside: int, main: bool, region: int):
-        self.name, self.aside, self.main, self.region = name, aside, main, region
-        self.hash, self.node = xxhash.xxh3_64(f"{name} {' '.join(attrs.split())}".encode()), None
+    ``ruled``: no article text by the name of an element around it; ``suspects``: suspect elements around
+    it, itself included; ``region``: 2 in an article, 1 in main, 1.5 for a heading of main before its
+    article; ``wraps``: whether an article or main lies inside.
+    """
+
+    __slots__ = ("name", "hash", "digest", "shape", "ruled", "suspects", "region", "wraps", "main")
+
+    def __init__(self, name: str, attrs: str, labels: list[str], up: _Open | None):
+        self.name, self.digest, self.wraps = name, 0, False
+        self.hash = xxhash.xxh3_64(f"{name} {' '.join(attrs.split())}".encode())
+        self.shape = xxhash.xxh3_64_intdigest(f"{up.shape if up else ''}/{name} {' '.join(_DIGITS.sub('#', x) for x in labels)}".encode())
+        self.ruled, self.suspects, self.region, self.main = (up.ruled, up.suspects, up.region, up.main) if up else (False, (), 0, False)
 
 
 class Page:
-    """The blocks of a page's main text, each with the hashes of the element subtrees around it.
+    """``blocks`` of a page, furniture and all: text, whether it is main text by the page's structure, and the elements around it.
 
-    One pass over the tags. The article (else the main element, else the body) is the main region; what
-    lies in navigation, forms and the like, by element, class, id or role, isn't part of it. Elements of
-    the main region below its root are hashed with all they hold.
+    One pass over the tags. The articles (else the main element, else the body) are the main region, with a
+    heading of main that comes before the article. What lies in navigation, forms and the like by the name
+    of its element, or in no main region though there is one, is no main text whatever counting says.
     """
 
     def __init__(self, source: str | None):
-        self.blocks: list[tuple[str, list[int], int]] = []  # text, elements around it, region
-        self.nodes: list[int] = []
+        self.blocks: list[tuple[str, list[_Open]]] = []
         self._stack: list[_Open] = []
         self._text: list[str] = []
         self._around: list[_Open] = []
-        self._found = False  # whether an article or main element has begun
+        self._found = self._article = False  # whether an article or main element, and whether an article, has begun
         if source:
             self._parse(source)
-        best = max((r for _, _, r in self.blocks), default=0)
-        self.blocks = [b for b in self.blocks if b[2] == best]
+        self._best = max((r for _, around in self.blocks if (r := self._region(around)) != 1.5 and not self._ruled(around)), default=0)
+
+    @staticmethod
+    def _region(around: list[_Open]) -> float:
+        return around[-1].region if around else 0
+
+    @staticmethod
+    def _ruled(around: list[_Open]) -> bool:
+        return bool(around) and around[-1].ruled
+
+    def rows(self) -> list[dict]:
+        """``text`` (main text only), ``n`` characters, ``h`` its hash, ``main``, ``suspect`` and ``nodes`` of each block.
+
+        Nodes are the subtrees around the block by all they hold. Outside the main region, and for suspect
+        elements, they are also told by their path of names and labels, apart from any words, so that
+        furniture whose words change recurs too; elements that wrap the main region aren't.
+        """
+        out = []
+        for text, around in self.blocks:
+            region = self._region(around)
+            main = not self._ruled(around) and (region == self._best or region == 1.5 and self._best > 0)
+            inner = [x for x in around if x.name not in ("html", "body", "article", "main")]
+            nodes = [_signed(x.digest) for x in inner]
+            suspects = around[-1].suspects if around else ()
+            nodes += [_signed(x.shape) for x in (suspects if main else inner) if not x.wraps]
+            h = xxhash.xxh3_64_intdigest(text.encode())
+            out.append({"text": text if main else None, "n": len(text), "h": _signed(h), "main": main, "suspect": main and bool(suspects), "nodes": nodes})
+        return out
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                region = max((x.region for x in self._around), default=0)
-                nodes = []
-                for x in self._around:
-                    if x.name not in ("html", "body", "article", "main"):
-                        if x.node is None:
-                            x.node = len(self.nodes)
-                            self.nodes.append(0)
-                        nodes.append(x.node)
-                self.blocks.append((text, nodes, region))
+                self.blocks.append((text, self._around))
             self._text = []
 
     def _close(self, to: int) -> None:
@@ -111,25 +143,27 @@ class Page:
             x = self._stack.pop()
             if x.name in BLOCK:
                 self._flush()
-            digest = x.hash.intdigest()
-            if x.node is not None:
-                self.nodes[x.node] = digest - (1 << 63)
+            x.digest = x.hash.intdigest()
             if self._stack:
-                self._stack[-1].hash.update(digest.to_bytes(8, "little"))
+                self._stack[-1].hash.update(x.digest.to_bytes(8, "little"))
 
     def _add(self, raw: str) -> None:
         if not self._stack:
             if raw.strip():
-                self._stack.append(_Open("body", "", 0, False, 0))
+                self._stack.append(_Open("body", "", [], None))
             else:
                 return
         top = self._stack[-1]
         text = html.unescape(raw)
         top.hash.update(" ".join(text.split()).encode())
-        if not top.aside and not (top.name in ("ul", "ol", "table", "tr", "html") and not text.strip()):
-            if not self._text:
-                self._around = [x for x in self._stack if x.name in BLOCK]
-            self._text.append(text)
+        if top.name in ("ul", "ol", "table", "tr", "html") and not text.strip():
+            return
+        around = [x for x in self._stack if x.name in BLOCK]
+        if (top.ruled and not (around and around[-1].ruled)) or (top.suspects and len(top.suspects) > len(around[-1].suspects if around else ())):
+            return  # an element inside a line of text, such as a button, that is none by its name
+        if not self._text:
+            self._around = around
+        self._text.append(text)
 
     def _parse(self, s: str) -> None:
         at, n, stack = 0, len(s), self._stack
@@ -186,89 +220,102 @@ class Page:
             if name in VOID:
                 continue
             up = stack[-1] if stack else None
-            main = bool(up and up.main) or name in ("article", "main") or 'role="main"' in attrs
-            region = max(up.region if up else 0, 2 if name == "article" else 1 if main else 0)
-            own, above = _aside(name, attrs, bool(up and up.main)), up.aside if up else 0
-            if name in ("article", "main"):
-                if above == 1 and not own and not self._found:
-                    above = 0  # the first article lies in no aside: a wrapper's name misled
-                self._found = True
-            aside = max(own, above)
-            stack.append(_Open(name, attrs, aside, main, region))
+            labels = _labels(attrs) if attrs else []
+            x = _Open(name, attrs, labels, up)
+            if name in ("article", "main") or "main" in labels and 'role="main"' in attrs:
+                if not self._found:
+                    x.suspects = ()  # the first article lies in no aside: a wrapper's name misled
+                if up and up.region == 2 and name == "article":
+                    x.ruled = True  # an article in an article is a comment on it
+                self._found, x.main = True, True
+                for y in stack:
+                    y.wraps = True
+                x.region = 2 if name == "article" else max(x.region, 1)
+                self._article = self._article or name == "article"
+            elif name in HEADINGS and x.region == 1 and not self._article:
+                x.region = 1.5
+            x.ruled = x.ruled or name in ASIDE or name == "header" and not x.main
+            if _suspect(name, labels):
+                x.suspects = (*x.suspects, x)
+            stack.append(x)
         self._close(0)
         self._flush()
 
 
-PARSED = "page_id long, url string, host string, blocks array<struct<text:string,nodes:array<long>>>"
+PARSED = "page_id long, url string, host long, blocks array<struct<text:string,n:int,h:long,main:boolean,suspect:boolean,nodes:array<long>>>"
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` -> rows of ``PARSED``."""
+    """``pages(page_id, url, html)`` -> rows of ``PARSED``; ``host`` is a hash of the host's name."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for page_id, url, source in zip(batch["page_id"].array, batch["url"].array, batch["html"].array):
                 url = url if isinstance(url, str) else None
-                page = Page(source if isinstance(source, str) else None)
-                blocks = [{"text": t, "nodes": [page.nodes[i] for i in around]} for t, around, _ in page.blocks]
-                out.append((page_id, url, host_of(url), blocks))
+                host = host_of(url)
+                blocks = Page(source if isinstance(source, str) else None).rows()
+                out.append((None if page_id is None or page_id != page_id else int(page_id), url, None if host is None else _signed(xxhash.xxh3_64_intdigest(host.encode())), blocks))
             rows = pd.DataFrame(out, columns=["page_id", "url", "host", "blocks"])
-            rows["page_id"] = pd.array([None if x is None or x != x else int(x) for x in rows["page_id"]], "Int64")
+            for k in ("page_id", "host"):
+                rows[k] = pd.array([x[0 if k == "page_id" else 2] for x in out], "Int64")
             yield rows
 
     return pages.select("page_id", "url", "html").mapInPandas(run, PARSED)
 
 
 def signed_pages(parsed: DataFrame, min_pages: int = 10) -> DataFrame:
-    """``host, nodes, sig`` of each row with a known host; ``sig`` is a hash of the page's longest block that is on fewer than ``min_pages``
-    pages of its host, or of all its blocks if there is none. Boilerplate signs no page, however long it is."""
+    """``row, host, nodes, sig`` of each row with a known host; ``sig`` is a hash of the page's longest block of main text that is on fewer
+    than ``min_pages`` pages of its host, or of all its blocks if there is none. Boilerplate signs no page, however long it is."""
     known = parsed.where("host is not null")
-    texts = F.array_distinct(F.transform("blocks", lambda b: F.struct(F.char_length(b["text"]).alias("n"), F.xxhash64(b["text"]).alias("h"))))
+    texts = F.array_distinct(F.transform(F.filter("blocks", lambda b: b["main"]), lambda b: F.struct(b["n"].alias("n"), b["h"].alias("h"))))
     each = known.select("row", "host", F.explode(texts).alias("x")).select("row", "host", "x.n", "x.h")
     frequent = each.groupBy("host", "h").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).select("host", "h")
     rare = each.join(frequent, ["host", "h"], "left_anti").groupBy("row").agg(F.max(F.struct("n", "h"))["h"].alias("rare"))
-    slim = known.select("row", "host", F.array_distinct(F.flatten(F.col("blocks.nodes"))).alias("nodes"), F.xxhash64(F.col("blocks.text")).alias("whole"))  # no texts in the shuffle
-    return slim.join(rare, "row", "left").select("host", "nodes", F.coalesce("rare", "whole").alias("sig"))
+    slim = known.select("row", "host", nodes_of("blocks").alias("nodes"), F.xxhash64(F.col("blocks.h")).alias("whole"))  # no texts in the shuffle
+    return slim.join(rare, "row", "left").select("row", "host", "nodes", F.coalesce("rare", "whole").alias("sig"))
+
 
+def nodes_of(blocks: str) -> F.Column:
+    return F.array_distinct(F.concat(F.array(F.lit(ROOT).cast("long")), F.flatten(F.col(f"{blocks}.nodes"))))
 
-def host_templates(parsed: DataFrame, min_pages: int = 10, min_share: float = 0.0) -> DataFrame:
-    """``host, node``: subtree hashes in ``min_pages`` or more different pages of a host, and in ``min_share`` of them.
 
-    By default no share is asked for: a section's own menu or notice is a template however large its host is.
+def host_templates(signed: DataFrame, min_pages: int = 10) -> DataFrame:
+    """``host, node``: the subtrees in ``min_pages`` or more different pages of a host, however large it is.
 
     Pages with the same signature (``signed_pages``) count as one, so that an article isn't a template
     because its page was copied. Counted in Spark with partial sums before each shuffle; pages without a host don't count.
     """
-    known = signed_pages(parsed, min_pages)
-    nodes = known.select("host", "sig", F.explode_outer("nodes").alias("node")).where("node is not null")
-    per_node = nodes.groupBy("host", "node", "sig").agg(F.count("*").alias("n")).groupBy("host", "node").agg(F.count("*").alias("n_pages"))
-    per_host = known.groupBy("host", "sig").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("n_host"))
-    often = per_node.where(F.col("n_pages") >= min_pages)
-    return often.join(per_host, "host").where(F.col("n_pages") >= F.col("n_host") * min_share).select("host", "node")
+    each = signed.select("host", F.explode("nodes").alias("node"), "sig").distinct()
+    return each.groupBy("host", "node").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages).select("host", "node")
 
 
-def extract_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.0) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = 10) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars, n_blocks, n_template_blocks``.
 
-    Blocks of the main region outside every recurring subtree, in page order, joined by \\n; white space
-    in a block is one space, character references are decoded. A null or empty page has the text ''. A
-    page without a readable host keeps all its blocks. Repeated rows and null ids are pages like any
-    other; columns beside page_id, url and html are ignored.
+    The text is the blocks of main text, in page order, joined by \n; white space in a block is one space,
+    character references are decoded. Blocks in a subtree that recurs on ``min_pages`` different pages of
+    the host are templates (``n_template_blocks`` of all ``n_blocks``, furniture included) and left out.
+    Subtrees are told by all they hold, and furniture also by its path of element names and labels alone.
+    What counting can't see, as on hosts with few pages, is left out by the page's own structure: element
+    names and the main region (see ``Page``). Words of class, id and role break ties only: an element in
+    the main region that they name is furniture if its path recurs, or if the host is too small to tell.
+    A null or empty page has the text ''. Pages without a readable host are told by structure alone.
+    Repeated rows and null ids are pages like any other; columns beside page_id, url and html are ignored.
     """
     stash = Stash(pages.sparkSession, "html")
     parsed = stash.put(parse_pages(pages).withColumn("row", F.monotonically_increasing_id()))
-    templates = stash.put(host_templates(parsed, min_pages, min_share))
-    nodes = parsed.where("host is not null").select("row", "host", F.explode_outer(F.array_distinct(F.flatten(F.col("blocks.nodes")))).alias("node")).where("node is not null")
-    found = nodes.join(templates, ["host", "node"], "left_semi").groupBy("row").agg(F.collect_set("node").alias("gone"))
-    gone = stash.put(found)
-    joined = parsed.join(gone, "row", "left")
-    kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["nodes"], F.col("gone"))))
-    return joined.withColumn("kept", kept).select(
-        "page_id",
-        "url",
-        F.array_join(F.transform("kept", lambda b: b["text"]), "\n").alias("text"),
-        F.char_length(F.array_join(F.transform("kept", lambda b: b["text"]), "\n")).cast("long").alias("n_chars"),
-        F.size("blocks").alias("n_blocks"),
-        (F.size("blocks") - F.size("kept")).alias("n_template_blocks"),
+    signed = stash.put(signed_pages(parsed, min_pages))
+    templates = stash.put(host_templates(signed, min_pages))
+    found = signed.select("row", "host", F.explode("nodes").alias("node")).join(templates, ["host", "node"], "left_semi")
+    gone = stash.put(found.groupBy("row").agg(F.collect_set("node").alias("gone")))
+    stash.drop(signed)
+    none = F.array().cast("array<long>")
+    joined = parsed.join(gone, "row", "left").withColumn("gone", F.coalesce("gone", none))
+    template = lambda b: F.arrays_overlap(b["nodes"], F.col("gone"))
+    countable = F.array_contains("gone", F.lit(ROOT).cast("long"))
+    kept = F.filter("blocks", lambda b: b["main"] & ~template(b) & (~b["suspect"] | countable))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    return joined.select("page_id", "url", text.alias("text"), F.size("blocks").alias("n_blocks"), F.size(F.filter("blocks", template)).alias("n_template_blocks")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_blocks", "n_template_blocks"
     )

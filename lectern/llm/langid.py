@@ -96,8 +96,8 @@ class Model:
         return int(order[0]), float(odds[order[0]] / odds.sum()), gap
 
 
-def fit(docs: DataFrame, held_out: F.Column, per_language: int = 500) -> Model | None:
-    """A model from about ``per_language`` labelled documents of each language, whole texts.
+def fit(docs: DataFrame, held_out: F.Column, per_language: int = 500, languages: int = 256) -> Model | None:
+    """A model from about ``per_language`` labelled documents of each of the ``languages`` most frequent languages, whole texts.
 
     ``per_language`` bounds the sample: of a language with n documents those are taken whose doc_id hash
     lies in its first ``per_language / n``, so the sample doesn't depend on the order of rows. Rows with a
@@ -105,12 +105,12 @@ def fit(docs: DataFrame, held_out: F.Column, per_language: int = 500) -> Model |
     one number for each language and feature, however large the input.
     """
     able = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     if not sizes:
         return None
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
+    share = F.coalesce(F.try_element_at(shares, "lang"), F.lit(0.0))
     picked = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * F.lit(1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

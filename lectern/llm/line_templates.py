@@ -2,117 +2,110 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lectern.llm.common import Stash
+from lectern.llm.common import Stash, text_key
 
 SPACE = r"[ \t\r\x0B\f]+"
 WILD = "<*>"
+#: Masks that reorder 60-bit line hashes, each giving another least line of a document.
+ORDERS = (0, 0xFFFFFFFFFFFFFFF, 0x555555555555555, 0xAAAAAAAAAAAAAAA)
+#: The weight of one family of documents; a document that is one of c counts for UNIT // c.
+UNIT = 27720
 
 
 def _masked(line: F.Column) -> F.Column:
     """A line with single spaces, and each token that holds a digit generalised to a wildcard."""
-    flat = F.trim(F.regexp_replace(line, SPACE, " "))
-    return F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD)
+    odd = F.lit(False)
+    for x in ("  ", "\t", "\r", "\x0b", "\f"):
+        odd = odd | F.contains(line, F.lit(x))
+    flat = F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
+    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD)).otherwise(flat)
 
 
-def with_line_keys(docs: DataFrame, lead: int = 2, min_half: int = 4) -> DataFrame:
-    """Adds ``_keys``: ``(line, key, whole)`` for each template of each line that isn't blank.
+def text_lines(docs: DataFrame, lead: int = 2) -> DataFrame:
+    """``text_key, line, masked, whole, n, leaf`` of each line that isn't blank; rows with equal texts have equal lines.
 
-    The tree's first level is the token count, the next ``lead`` levels are the leading tokens. A leaf's
-    templates of a line are the whole masked line, and, where a half of the line has ``min_half`` tokens
-    or more, the line with its other half generalised too (below the leading tokens, which are kept).
+    The tree's first level is the token count ``n``, the next ``lead`` levels are the leading tokens; these
+    make the ``leaf``. ``whole`` is a 60-bit hash of the masked line that SQL has too.
     """
-    numbered = F.transform(F.split(F.col("text"), "\n", -1), lambda x, i: F.struct(i.alias("line"), _masked(x).alias("masked")))
-    kept = F.filter(numbered, lambda x: x["masked"] != "")
-    tokens = F.transform(kept, lambda x: F.struct(x["line"].alias("line"), x["masked"].alias("masked"), F.split(x["masked"], " ", -1).alias("t")))
-
-    def keys(x: F.Column) -> F.Column:
-        t, n = x["t"], F.size(x["t"])
-        half = F.floor(n / 2).cast("int")
-        whole = F.conv(F.substring(F.md5(x["masked"].cast("binary")), 1, 15), 16, 10).cast("long")  # a hash that SQL has too
-        front = F.when(half >= min_half, F.xxhash64(F.lit("front"), n, F.concat_ws(" ", F.slice(t, 1, F.greatest(half, F.lit(lead))))))
-        back = F.when(
-            half >= min_half,
-            F.xxhash64(F.lit("back"), n, F.concat_ws(" ", F.slice(t, 1, lead)), F.concat_ws(" ", F.slice(t, half + 1, n - half))),
-        )
-        return F.transform(F.array_compact(F.array(F.xxhash64(F.lit("whole"), x["masked"]), front, back)), lambda k: F.struct(x["line"].alias("line"), k.alias("key"), whole.alias("whole")))
-
-    return docs.withColumn("_keys", F.flatten(F.transform(tokens, keys)))
-
-
-def recurring_templates(keyed: DataFrame, min_docs: int = 10, min_share: float = 0.5) -> DataFrame:
-    """Templates that recur in unrelated documents: ``key``.
-
-    Documents are told apart by a signature, the least hash among their lines' whole templates (the
-    greatest, if the line itself is the least), so that copies and most near copies of one document count
-    as one. A template recurs if its documents have ``min_docs`` or more signatures, and these are at
-    least ``min_share`` of the documents: lines shared because whole documents are copies don't recur.
-    Documents are counted over the whole input, with partial sums before each shuffle.
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), _masked(x).alias("masked")))
+    each = docs.where("text is not null").select(text_key("text").alias("text_key"), F.explode(lines).alias("x")).select("text_key", "x.line", "x.masked").where("masked <> ''")
+    n = F.octet_length("masked") - F.octet_length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1
+    whole = F.conv(F.substring(F.md5("masked"), 1, 15), 16, 10).cast("long")
+    return each.select("*", whole.alias("whole"), n.alias("n")).withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", lead)))
+
+
+def leaf_templates(lines: DataFrame, stash: Stash, min_docs: int, min_constant: int, constant_share: float) -> DataFrame:
+    """``text_key, line, whole, template`` of the lines that a template with wildcards describes.
+
+    Below a leaf each position is a wildcard but where the line's token stands there in ``min_docs``
+    different texts of the leaf; a token with a digit always is one. The constant tokens and their places
+    are the template. It describes a line only with ``min_constant`` constants or more, and these at least
+    ``constant_share`` of the tokens: so a name in a short line varies, and prose that begins alike is none.
+    """
+    long = lines.where(F.col("n") > min_constant)
+    busy = stash.put(long.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf"))
+    token = F.posexplode(F.transform(F.split("masked", " ", -1), lambda x: F.when(x != WILD, F.xxhash64(x)))).alias("at", "token")
+    tokens = stash.put(long.join(busy, "leaf", "left_semi").select("text_key", "line", "whole", "n", "leaf", token).where("token is not null"))
+    place = ["leaf", "at", "token"]
+    often = stash.put(tokens.select(*place, "text_key").distinct().groupBy(*place).agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select(*place))
+    constant = tokens.join(often, place, "left_semi").groupBy("text_key", "line", "whole", "n", "leaf").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("kept"))
+    k = F.size("kept")
+    enough = (k >= min_constant) & (k >= F.col("n") * constant_share) & (k < F.col("n"))
+    out = stash.put(constant.where(enough).select("text_key", "line", "whole", F.xxhash64("leaf", "kept").alias("template")))
+    for old in (busy, tokens, often):
+        stash.drop(old)
+    return out
+
+
+def recurring_lines(lines: DataFrame, stash: Stash, min_docs: int = 10, min_constant: int = 4, constant_share: float = 0.6) -> DataFrame:
+    """``text_key, line``: the lines whose whole form or template recurs in ``min_docs`` families of documents.
+
+    Equal texts count once. Copies with changes are told from unrelated documents by their other lines: in
+    each of four orders of line hashes a text's least line but this one puts it into a group, and a text
+    that is one of c in its group counts for 1/c. Of its four groups the second largest is taken: a
+    changed copy falls out of its family's group in one order or another, hardly in three; a second line
+    that always stands beside this one is least in one order or another only. A text of this line alone is
+    one family with others like it. The sum of these shares is the number of families, rounded. Only lines
+    in ``min_docs`` texts are looked at so closely, and all groups are counted by partial sums.
     """
-    pairs = F.array_distinct(F.transform("_keys", lambda x: F.struct(x["key"].alias("key"), x["whole"].alias("whole"))))
-    rows = (
-        keyed.select(F.array_min("_keys.whole").alias("low"), F.array_max("_keys.whole").alias("high"), F.explode_outer(pairs).alias("x"))
-        .where("x is not null")
-        .select(
-            F.col("x.key").alias("key"),
-            F.when(F.col("low") != F.col("x.whole"), F.col("low")).when(F.col("high") != F.col("x.whole"), F.col("high")).otherwise(F.lit(0)).alias("sig"),
-        )
-    )
-    per_sig = rows.groupBy("key", "sig").agg(F.count("*").alias("n"))
-    per_key = per_sig.groupBy("key").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_sigs"))
-    return per_key.where((F.col("n_sigs") >= min_docs) & (F.col("n_sigs") >= F.col("n_docs") * min_share)).select("key")
-
-
-def _marked_by_lookup(keyed: DataFrame, recurring: DataFrame) -> DataFrame:
-    """Adds ``_gone``, the lines to drop, by a sorted array of the recurring keys that every task gets."""
-    held = keyed.sparkSession.sparkContext.broadcast(np.sort(recurring.toArrow().column("key").to_numpy()))
-
-    def gone(lines: pd.Series, keys: pd.Series) -> pd.Series:
-        known, out = held.value, []
-        for at, key in zip(lines, keys):
-            if key is None or not len(key) or not len(known):
-                out.append([])
-                continue
-            where = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            out.append(np.unique(np.asarray(at)[known[where] == key]).tolist())
-        return pd.Series(out)
-
-    return keyed.withColumn("_gone", F.pandas_udf(gone, T.ArrayType(T.IntegerType()))(F.col("_keys.line"), F.col("_keys.key")))
-
-
-def _marked_by_join(keyed: DataFrame, recurring: DataFrame, stash: Stash) -> DataFrame:
-    """The same by joins, for any number of recurring keys."""
-    numbered = stash.put(keyed.withColumn("_row", F.monotonically_increasing_id()))
-    each = numbered.select("_row", F.explode_outer("_keys").alias("x")).where("x is not null").select("_row", F.col("x.line").alias("line"), F.col("x.key").alias("key"))
-    gone = stash.put(each.join(recurring, "key", "left_semi").groupBy("_row").agg(F.collect_set("line").alias("_gone")))
-    return numbered.join(gone, "_row", "left").drop("_row")
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_share: float = 0.5, lead: int = 2, min_half: int = 4, lookup_keys: int = 1_000_000) -> DataFrame:
+    often = lambda rows, key: rows.select(key, "text_key").distinct().groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select(key)
+    found = leaf_templates(lines, stash, min_docs, min_constant, constant_share)
+    wholes = lines.join(stash.put(often(lines, "whole")), "whole", "left_semi").select("text_key", "line", "whole", F.xxhash64(F.lit("whole"), "whole").alias("key"))
+    varied = found.join(stash.put(often(found, "template")), "template", "left_semi").select("text_key", "line", "whole", F.xxhash64(F.lit("template"), "template").alias("key"))
+    seen = stash.put(wholes.union(varied))
+    own = seen.groupBy("key", "text_key").agg(F.min("whole").alias("own"))
+    hashes = lines.join(stash.put(seen.select("text_key").distinct()), "text_key", "left_semi").groupBy("text_key").agg(F.collect_set("whole").alias("hashes"))  # of one text's lines
+    least = F.transform(F.array(*[F.lit(x) for x in ORDERS]), lambda o: F.slice(F.array_sort(F.transform("hashes", lambda h: h.bitwiseXOR(o))), 1, 2))
+    orders = own.join(hashes.select("text_key", least.alias("least")), "text_key").select("key", "text_key", "own", F.posexplode("least").alias("i", "two"))
+    mine = F.col("own").bitwiseXOR(F.element_at(F.array(*[F.lit(x) for x in ORDERS]), F.col("i") + 1))
+    other = F.when(F.get("two", F.lit(0)) != mine, F.get("two", F.lit(0))).otherwise(F.coalesce(F.get("two", F.lit(1)), F.lit(-1)))
+    grouped = stash.put(orders.select("key", "text_key", "i", other.alias("other")))
+    group = ["key", "i", "other"]
+    shares = grouped.join(grouped.groupBy(*group).agg(F.count("*").alias("c")), group).select("key", "text_key", F.floor(F.lit(UNIT) / F.col("c")).alias("share"))
+    per_text = shares.groupBy("key", "text_key").agg(F.sort_array(F.collect_list("share"))[1].alias("share"))
+    families = per_text.groupBy("key").agg(F.sum("share").alias("s")).where(F.col("s") >= int((min_docs - 0.5) * UNIT)).select("key")
+    return seen.join(stash.put(families), "key", "left_semi").select("text_key", "line").distinct()
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_constant: int = 4, constant_share: float = 0.6, lead: int = 2) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from ``text``; adds ``n_lines, n_dropped``.
 
     All other columns stay. Lines are divided by \\n; blank ones are never dropped. A null text stays
-    null, with 0 lines; an empty text has one blank line. Repeated rows are documents of their own, with
-    one signature. Null ids are fine. No document is dropped: one whose every line recurs keeps an empty
-    text. An empty table gives an empty table. Up to ``lookup_keys`` recurring keys (8 bytes each) are
-    sent to the tasks, and texts aren't shuffled; more are joined.
+    null, with 0 lines; an empty text has one blank line. What is dropped depends on texts alone, so
+    repeated rows lose the same lines, and null ids are fine. No document is dropped: one whose every line
+    recurs keeps an empty text. An empty table gives an empty table.
     """
     stash = Stash(docs.sparkSession, "lines")
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    keyed = stash.put(with_line_keys(docs.select(F.struct(*own).alias("_own"), "text"), lead, min_half))  # apart, as names may clash
-    recurring = stash.put(recurring_templates(keyed, min_docs, min_share))
-    small = recurring.count() <= lookup_keys
-    marked = _marked_by_lookup(keyed, recurring) if small else _marked_by_join(keyed, recurring, stash)
-    lines, gone = F.split("text", "\n", -1), F.coalesce("_gone", F.array().cast("array<int>"))
-    left = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
-    return marked.select(
-        "_own.*",
-        left.alias("text"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_dropped"),
-    )
+    lines = stash.put(text_lines(docs.select("text"), lead))
+    gone = stash.put(recurring_lines(lines, stash, min_docs, min_constant, constant_share).groupBy("text_key").agg(F.collect_set("line").alias("_gone")))
+    stash.drop(lines)
+    marked = docs.select(F.struct(*own).alias("_own"), "text", text_key("text").alias("text_key")).join(gone, "text_key", "left")  # apart, as names may clash
+    all_lines, drop = F.split("text", "\n", -1), F.coalesce("_gone", F.array().cast("array<int>"))
+    left = F.when(F.size(drop) == 0, F.col("text")).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(drop, i)), "\n"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    told = marked.select("_own", F.struct(left.alias("text"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_dropped")).alias("_new"))
+    return told.select("_own.*", "_new.*")

@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 from lectern.llm.common import Stash
 from lectern.llm.langid import is_held_out
 
-#: Partial sums of the normal equations that reach the driver.
-PARTS = 8
+#: Tasks whose partial sums of the normal equations reach the driver, one for each fold.
+PARTS = 4
+#: Folds of the sample: each is calibrated by weights fitted on the others.
+FOLDS = 2
 
 
 def statistics(text: str | None) -> list[float]:
@@ -101,8 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, features: i
     """A model from at most ``sample_rows`` labelled documents, those of least doc_id hash.
 
     Labels with a null id or quality don't teach; of labels that repeat an id the greatest counts. Each of
-    ``PARTS`` tasks at most sums its share of the normal equations, and the driver adds these up, solves
-    them, and calibrates on the sample's own raw scores. None without both labels.
+    ``PARTS`` tasks at most sums its share of the normal equations of each fold, and the driver adds these up
+    and solves them: for all folds, and without each fold, which gives that fold's raw scores. The curve of
+    calibration is fitted to these, scores of rows that their weights haven't seen. None without both labels.
+    The sample's ids are broadcast: ``sample_rows`` bounds them.
     """
     stash = Stash(docs.sparkSession, "quality")
     known = labels.where("doc_id is not null and quality is not null")
@@ -114,23 +118,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, features: i
         return None
     model = Model(np.array([sums[f"m{i}"] for i in range(n)]), np.array([sums[f"s{i}"] for i in range(n)]), features, width, seed)
 
+    size = features + 1
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = np.zeros((features + 1, features + 1)), np.zeros(features + 1)
+        a, b = np.zeros((FOLDS, size, size)), np.zeros((FOLDS, size))
         for batch in batches:
-            z = model.expand(np.stack(batch["x"].to_numpy()))
-            a += z.T @ z
-            b += z.T @ batch["y"].to_numpy(float)
+            z, y, fold = model.expand(np.stack(batch["x"].to_numpy())), batch["y"].to_numpy(float), batch["fold"].to_numpy()
+            for f in range(FOLDS):
+                own = z[fold == f]
+                a[f] += own.T @ own
+                b[f] += own.T @ y[fold == f]
         yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
 
-    parts = rows.coalesce(PARTS).mapInPandas(partial, "a binary, b binary").collect()  # half a MB each
-    a = sum(np.frombuffer(p["a"]) for p in parts).reshape(features + 1, -1)
-    b = sum(np.frombuffer(p["b"]) for p in parts)
-    count = float(a[-1, -1])
-    penalty = np.eye(features + 1) * ridge * count / features
-    penalty[-1, -1] = 0
-    model.weights = np.linalg.solve(a + penalty, b)
-    sample = rows.select("doc_id", "y", "x").toPandas().sort_values("doc_id", kind="stable")  # sample_rows rows of 17 numbers
-    model.knots, model.values = isotonic(model.raw(np.stack(sample["x"].to_numpy())), sample["y"].to_numpy(float))
+    def weights(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        penalty = np.eye(size) * ridge * a[-1, -1] / features
+        penalty[-1, -1] = 0
+        return np.linalg.lstsq(a + penalty, b, rcond=None)[0]
+
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
+    parts = rows.coalesce(PARTS).mapInPandas(partial, "a binary, b binary").collect()  # about a MB each
+    a = sum(np.frombuffer(p["a"]) for p in parts).reshape(FOLDS, size, size)
+    b = sum(np.frombuffer(p["b"]) for p in parts).reshape(FOLDS, size)
+    sample = rows.select("doc_id", "y", "x", "fold").toPandas().sort_values("doc_id", kind="stable")  # sample_rows rows of 17 numbers
+    z, fold, y = model.expand(np.stack(sample["x"].to_numpy())), sample["fold"].to_numpy(), sample["y"].to_numpy(float)
+    raw = np.zeros(len(z))
+    for f in range(FOLDS):
+        raw[fold == f] = z[fold == f] @ weights(a.sum(axis=0) - a[f], b.sum(axis=0) - b[f])
+    model.weights = weights(a.sum(axis=0), b.sum(axis=0))
+    model.knots, model.values = isotonic(raw, y)
     return model
 
 

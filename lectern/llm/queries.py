@@ -108,24 +108,37 @@ FROM doc d LEFT JOIN words n ON d.text = n.text LEFT JOIN ids i ON d.text = i.te
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-ln AS (SELECT rid, line - 1 AS line, ls[line] AS raw FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS line FROM d WHERE text IS NOT NULL)),
-tk AS (SELECT rid, line, list_filter(string_split_regex(raw, '[ \t\r\x0B\f]+'), lambda x: x <> '') AS t FROM ln),
-wh AS (
-  SELECT rid, line, t, len(t) AS n, len(t) // 2 AS half, CAST('0x' || substr(md5(array_to_string(t, ' ')), 1, 15) AS BIGINT) AS whole
-  FROM (SELECT rid, line, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM tk WHERE len(t) > 0)),
-ky AS (
-  SELECT rid, line, whole, 'w ' || array_to_string(t, ' ') AS key FROM wh
-  UNION ALL SELECT rid, line, whole, 'f ' || n || ' ' || array_to_string(t[1:greatest(half, 2)], ' ') FROM wh WHERE half >= 4
-  UNION ALL SELECT rid, line, whole, 'b ' || n || ' ' || array_to_string(t[1:2], ' ') || chr(10) || array_to_string(t[half + 1:n], ' ') FROM wh WHERE half >= 4),
-sg AS (SELECT rid, min(whole) AS lo, max(whole) AS hi FROM wh GROUP BY rid),
-oc AS (SELECT key, CASE WHEN lo <> whole THEN lo WHEN hi <> whole THEN hi ELSE 0 END AS sig FROM (SELECT DISTINCT rid, key, whole FROM ky) JOIN sg USING (rid)),
-rec AS (SELECT key FROM oc GROUP BY key HAVING count(DISTINCT sig) >= 10 AND count(DISTINCT sig) >= 0.5 * count(*)),
-gone AS (SELECT DISTINCT rid, line FROM ky SEMI JOIN rec USING (key)),
-kept AS (SELECT rid, string_agg(raw, chr(10) ORDER BY line) AS text FROM ln ANTI JOIN gone USING (rid, line) GROUP BY rid),
-num AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, md5(text) AS tk, string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT DISTINCT tk, ls FROM d WHERE text IS NOT NULL),
+ln AS (SELECT tk, line - 1 AS line, ls[line] AS raw FROM (SELECT tk, ls, unnest(range(1, len(ls) + 1)) AS line FROM u)),
+sp AS (SELECT tk, line, list_filter(string_split_regex(raw, '[ \t\r\x0B\f]+'), lambda x: x <> '') AS t FROM ln),
+mk AS (SELECT tk, line, len(t) AS n, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM sp WHERE len(t) > 0),
+wh AS (SELECT tk, line, n, t, array_to_string(t, ' ') AS m, CAST('0x' || substr(md5(array_to_string(t, ' ')), 1, 15) AS BIGINT) AS h FROM mk),
+tok AS (SELECT tk, line, n, t[1] AS a, t[2] AS b, p, t[p] AS w FROM (SELECT tk, line, n, t, unnest(range(1, n + 1)) AS p FROM wh WHERE n > 4) WHERE t[p] <> '<*>'),
+frq AS (SELECT n, a, b, p, w FROM tok GROUP BY n, a, b, p, w HAVING count(DISTINCT tk) >= 10),
+pat AS (
+  SELECT tk, line, n, a, b, string_agg(p || ' ' || w, chr(10) ORDER BY p) AS c, count(*) AS k
+  FROM (SELECT tok.* FROM tok JOIN frq ON tok.n = frq.n AND tok.a = frq.a AND tok.b = frq.b AND tok.p = frq.p AND tok.w = frq.w) GROUP BY tk, line, n, a, b),
+occ AS (
+  SELECT 'w' || m AS key, tk, line, h FROM wh
+  UNION ALL
+  SELECT 'p' || pat.n || chr(10) || pat.a || ' ' || pat.b || chr(10) || pat.c, pat.tk, pat.line, wh.h
+  FROM pat JOIN wh ON pat.tk = wh.tk AND pat.line = wh.line WHERE pat.k >= 4 AND pat.k * 10 >= 6 * pat.n AND pat.k < pat.n),
+cand AS (SELECT key FROM occ GROUP BY key HAVING count(DISTINCT tk) >= 10),
+own AS (SELECT key, tk, min(h) AS h FROM occ SEMI JOIN cand USING (key) GROUP BY key, tk),
+hs AS (SELECT DISTINCT tk, h FROM wh),
+ord AS (SELECT unnest([0, 1152921504606846975, 384307168202282325, 768614336404564650]) AS c),
+sg AS (
+  SELECT own.key, own.tk, ord.c, coalesce(min(xor(hs.h, ord.c)), -1) AS s
+  FROM own CROSS JOIN ord LEFT JOIN hs ON hs.tk = own.tk AND hs.h <> own.h GROUP BY own.key, own.tk, ord.c),
+wt AS (SELECT key, tk, c, 27720 // count(*) OVER (PARTITION BY key, c, s) AS w FROM sg),
+dw AS (SELECT key, tk, list_sort(list(w))[2] AS w FROM wt GROUP BY key, tk),
+rec AS (SELECT key FROM dw GROUP BY key HAVING sum(w) >= 263340),
+gone AS (SELECT DISTINCT tk, line FROM occ SEMI JOIN rec USING (key)),
+kept AS (SELECT tk, string_agg(raw, chr(10) ORDER BY line) AS text FROM ln ANTI JOIN gone USING (tk, line) GROUP BY tk),
+num AS (SELECT tk, count(*) AS n FROM gone GROUP BY tk)
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(num.n, 0) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
-FROM d LEFT JOIN kept USING (rid) LEFT JOIN num USING (rid)
+FROM d LEFT JOIN kept USING (tk) LEFT JOIN num USING (tk)
 """
 
 

@@ -14,6 +14,8 @@ from lectern.llm.components import connected_components
 
 BLOCK = 1 << 16
 SEGMENT_BITS = 32
+#: Fingerprints with one value of a segment; where there are more, their other segment is searched by its halves.
+CROWD = 1024
 
 
 def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
@@ -42,27 +44,43 @@ def fingerprint_of(text: str) -> F.Column:
     return F.pandas_udf(_fingerprints, T.LongType())(text)
 
 
-def similar_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
+def similar_fingerprints(prints: DataFrame, stash: Stash, radius: int = 3, crowd: int = CROWD) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of the distinct longs ``fp`` at ``radius`` or fewer differing bits.
 
     The 64 bits are two segments of 32. Two fingerprints within 3 bits agree within 1 bit in one of
     them, so each fingerprint looks up the 33 values of the radius-1 ball around each of its segments
     in a table keyed by segment and value; whole distances are verified inside the join. Segments this
-    long keep buckets short: unrelated fingerprints meet with chance 2**-32 per lookup.
+    long keep buckets short: unrelated fingerprints meet with chance 2**-32 per lookup. Values that more
+    than ``crowd`` fingerprints share, as in large groups of near copies, are searched a second time in
+    the same way: the other segment's halves of 16 bits, one of which agrees within 1 bit, are looked up
+    in a table keyed by the value and the half, so a bucket holds at most 2**16 fingerprints.
     """
     ball = radius // 2
     if ball > 1:
         raise ValueError("radius above 3 needs more segments")
-    flips = [0] + [1 << i for i in range(SEGMENT_BITS) if ball]
-    probes = F.array(*[F.lit((s << SEGMENT_BITS) | m) for s in (0, 1) for m in flips])
     low = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
     high = F.shiftrightunsigned("fp", SEGMENT_BITS)
-    own = F.array(low, high.bitwiseOR(F.lit(1 << SEGMENT_BITS)))
-    part = F.when(F.col("probe") < F.lit(1 << SEGMENT_BITS), low).otherwise(high)
+    mark = 1 << SEGMENT_BITS
+    probes = F.array(*[F.lit((s << SEGMENT_BITS) | m) for s in (0, 1) for m in [0] + [1 << i for i in range(SEGMENT_BITS) if ball]])
+    part = F.when(F.col("probe") < F.lit(mark), low).otherwise(high)
     looking = prints.select("fp", F.explode(probes).alias("probe")).select(F.col("fp").alias("a"), part.bitwiseXOR(F.col("probe")).alias("key"))
-    table = prints.select(F.col("fp").alias("b"), F.explode(own).alias("key2"))
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return looking.join(table, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    table = prints.select(F.col("fp").alias("b"), F.explode(F.array(low, high.bitwiseOR(F.lit(mark)))).alias("key"))
+    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    hot = stash.put(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"))
+    if hot.isEmpty():
+        return looking.join(table, "key").where(close).select("a", "b").distinct()
+    plain = looking.join(hot, "key", "left_anti").join(table, "key").where(close).select("a", "b")
+    half = SEGMENT_BITS // 2
+
+    def other(name: str, shift: int) -> F.Column:
+        whole = F.when(F.col("key") < F.lit(mark), F.shiftrightunsigned(name, SEGMENT_BITS)).otherwise(F.col(name).bitwiseAND(F.lit(mark - 1)))
+        return F.shiftrightunsigned(whole, shift).bitwiseAND(F.lit((1 << half) - 1))
+
+    halves = F.array(*[other("b", s * half).bitwiseOR(F.lit(s << half)) for s in (0, 1)])
+    around = F.array(*[other("a", s * half).bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(s << half)) for s in (0, 1) for m in [0] + [1 << i for i in range(half)]])
+    finer = looking.join(hot, "key", "left_semi").select("a", "key", F.explode(around).alias("half"))
+    crowded = finer.join(table.join(hot, "key", "left_semi").select("b", "key", F.explode(halves).alias("half")), ["key", "half"])
+    return plain.union(crowded.where(close).select("a", "b")).distinct()
 
 
 def simhash_groups(docs: DataFrame, radius: int = 3) -> DataFrame:
@@ -77,7 +95,7 @@ def simhash_groups(docs: DataFrame, radius: int = 3) -> DataFrame:
     stash = Stash(docs.sparkSession, "simhash")
     prints = stash.put(docs.select("doc_id", fingerprint_of("text").alias("fp")))
     nodes = stash.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = connected_components(similar_fingerprints(nodes.select("fp"), radius), stash)
+    links = connected_components(similar_fingerprints(nodes.select("fp"), stash, radius), stash)
     labels = stash.put(nodes.join(links, nodes["fp"] == links["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")))
     lowest = stash.put(labels.groupBy("component").agg(F.min("first_id").alias("component_id")))
     groups = stash.put(labels.join(lowest, "component").select("fp", "component_id"))

@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.llm.common import Stash
+from lectern.llm.common import Stash, text_key
 from lectern.llm.components import connected_components
 
 SHINGLE = 5
-#: Bands of the passages and lines, and MinHash rows of each; runs of MIN_WORDS have one band of one row.
+#: Bands of the passages found, and MinHash rows of each; runs of MIN_WORDS words have one band of one row.
 BANDS, ROWS = 4, 3
 MIN_WORDS = 20
-#: Bytes of a text hashed at once; blocks end between words.
+#: Bytes of text hashed at once; a longer text is hashed in blocks that end between words.
 RUN = 1 << 20
 #: Hashes that a task remembers, so as to keep one text of each.
 SEEN = 1 << 20
+#: Seeds with one key that are compared in one place; where there are more, they are dealt out.
+CROWD = 20_000
 #: Rounds in which a bucket's passages are held against one leader, before what is still apart is compared in blocks.
-LEADERS = 3
+LEADERS = 2
 #: Passages of a bucket that are compared with so many others at once.
 BLOCK = 512
 
@@ -98,26 +100,59 @@ class Words:
         return stop
 
 
-def seeds(words: np.ndarray, span: int = MIN_WORDS) -> np.ndarray:
+#: A seed's place takes the low bits of its hash when the least of a run is looked for.
+_PLACE = np.uint64((1 << 28) - 1)
+
+
+class Block:
+    """Texts joined by line breaks and hashed together: ``words``, and of each text its first word and the end."""
+
+    def __init__(self, texts: list[bytes]):
+        self.words = Words(b"\n".join(texts))
+        self.at = np.cumsum([0, *(len(t) + 1 for t in texts)])  # first byte of each text
+        self.text = np.searchsorted(self.at, self.words.start, "right") - 1
+        self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    @staticmethod
+    def each(texts: list[bytes]) -> Iterator[tuple[int, Block]]:
+        """Blocks of about RUN bytes, each with the number of its first text; a longer text is a block of its own."""
+        first, size = 0, 0
+        for i, t in enumerate(texts):
+            if size and size + len(t) > RUN:
+                yield first, Block(texts[first:i])
+                first, size = i, 0
+            size += len(t) + 1
+        if size:
+            yield first, Block(texts[first:])
+
+
+def seeds(block: Block, span: int = MIN_WORDS) -> np.ndarray:
     """Words where the least shingle of some run of ``span`` words begins, in order.
 
     The least shingle hash is the run's MinHash of one row, so runs share a seed with the chance of their
     Jaccard similarity, and equal ones always. Neighbouring runs mostly have the same one: a text has
-    about two seeds in span - SHINGLE + 2 words, though every run of it is banded.
+    about two seeds in span - SHINGLE + 2 words, though every run of it is banded. Of equal hashes the first counts.
     """
-    s, wide = shingle_hashes(words), span - SHINGLE + 1
+    s, wide = shingle_hashes(block.words.hash), span - SHINGLE + 1
     if len(s) < wide:
         return np.zeros(0, np.int64)
-    runs = np.lib.stride_tricks.sliding_window_view(s, wide)
-    return np.unique(np.arange(len(runs)) + runs.argmin(axis=1))
-
-
-def around(words: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
+    least = (s & ~_PLACE) | np.arange(len(s), dtype=np.uint64)
+    size = 1
+    while size * 2 <= wide:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if size < wide:
+        least = np.minimum(least[: len(s) - wide + 1], least[wide - size :])
+    inside = block.text[: len(least)] == block.text[span - 1 :]  # runs of one text
+    return np.unique(least[inside] & _PLACE).astype(np.int64)
+
+
+def around(block: Block, at: np.ndarray, reach: int) -> np.ndarray:
     """A byte for each of the ``reach`` words before a seed, nearest first, and after it; 0 is outside the text."""
-    code = np.zeros(len(words) + 2 * reach, np.uint8)
-    code[reach : reach + len(words)] = words % np.uint64(255) + np.uint64(1)
-    where = np.r_[-1 - np.arange(reach), SHINGLE + np.arange(reach)] + reach
-    return code[at[:, None] + where]
+    place = np.arange(len(block.text)) + (block.text + 1) * reach
+    code = np.zeros(len(block.text) + len(block.first) * reach, np.uint8)
+    code[place] = block.words.hash % np.uint64(255) + np.uint64(1)
+    return code[place[at][:, None] + np.r_[-1 - np.arange(reach), SHINGLE + np.arange(reach)]]
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -125,165 +160,294 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
+def _raw(column: pa.Array) -> list[bytes]:
+    return [x.encode() for x in column.to_pylist()]
+
+
 def _seed_rows(texts: DataFrame, span: int) -> DataFrame:
     """``row, doc, at, key, near`` of each seed; ``near`` is what ``around`` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc", "at", "key", "near"]
         for batch in batches:
-            rows, docs, out, held = batch.column("row").to_numpy(), batch.column("doc").to_numpy(), [], 0
-            for i, text in enumerate(batch.column("text")):
-                w = Words(text.as_buffer().to_pybytes()).hash
-                at = seeds(w, span)
-                if len(at):
-                    out.append((np.full(len(at), rows[i]), np.full(len(at), docs[i]), at.astype(np.int32), shingle_hashes(w)[at].view(np.int64), around(w, at, span - SHINGLE)))
-                    held += len(at)
-                if held > 1 << 16 or out and i + 1 == len(rows):
-                    *plain, near = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, plain), _binary(near)], names)
-                    out, held = [], 0
+            rows, docs = batch.column("row").to_numpy(), batch.column("doc").to_numpy()
+            for number, block in Block.each(_raw(batch.column("text"))):
+                at = seeds(block, span)
+                of = block.text[at]
+                keys = shingle_hashes(block.words.hash)[at].view(np.int64)
+                plain = (rows[number + of], docs[number + of], (at - block.first[of]).astype(np.int32), keys)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, plain), _binary(around(block, at, span - SHINGLE))], ["row", "doc", "at", "key", "near"])
 
     return texts.select("row", "doc", "text").mapInArrow(run, "row long, doc long, at int, key long, near binary")
 
 
-def _common(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Words that agree before and after two seeds, without a gap."""
-    n = len(a.iloc[0]) if len(a) else 2
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), 2, n // 2) for s in (a, b))
-    same = np.logical_and.accumulate((x == y) & (x > 0), axis=2).sum(axis=2)
-    return pd.DataFrame({"before": same[:, 0], "after": same[:, 1]})
+_SEEDS = "g long, side int, salted boolean, row long, doc long, at int, near binary"
+_FOUND = "kind int, lower boolean, start int, end int, other long, g long, side int, row long, doc long, at int, near binary"
+_WEIGHTS = _rng.integers(1, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class _Rows:
+    """Seeds of whole groups, in order of group and document, as arrays; and what comparing them finds."""
+
+    def __init__(self, g: np.ndarray, salt: np.ndarray, side: np.ndarray, salted: np.ndarray, row: np.ndarray, doc: np.ndarray, at: np.ndarray, near: np.ndarray, span: int):
+        self.g, self.side, self.salted, self.row, self.doc, self.at, self.near, self.span = g, side, salted, row, doc, at, near, span
+        self.group = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])])
+        self.reach = span - SHINGLE
+        self.hits: list[tuple[np.ndarray, ...]] = []  # row, lower, start, end, other
+
+    def _hit(self, a: np.ndarray, b: np.ndarray, before: np.ndarray, length: np.ndarray) -> None:
+        for x, y, lower in ((a, b, True), (b, a, False)):
+            start = self.at[x] - before
+            self.hits.append((self.row[x], np.full(len(x), lower), start, start + length, self.doc[y]))
+
+    def _groups(self, of: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``of`` ordered by group and value, the number of each one's bucket, and each bucket's first, which has the least document."""
+        by = np.lexsort((value, self.group[of]))
+        order, value = of[by], value[by]
+        group = self.group[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (value[1:] != value[:-1])][: len(order)]
+        return order, np.cumsum(new) - 1, order[new]
+
+    def compare(self) -> tuple[np.ndarray, np.ndarray]:
+        """Finds the hits; returns the buckets' leaders, and seeds that are unlike theirs, of salted groups alone."""
+        n, unlike, leaders = self.reach, [], []
+        side = -(-n // 2)
+        for k in (0, 1):
+            part = self.near[:, k * n : k * n + side]
+            of = np.flatnonzero((part[:, -1] > 0) & ((self.side == 2) | (self.side == k)))
+            order, bucket, first = self._groups(of, (part[of].astype(np.uint64) * _WEIGHTS[:side]).sum(axis=1, dtype=np.uint64))
+            lead = first[bucket]
+            others = np.flatnonzero(self.doc[order] != self.doc[lead])
+            a, b = order[others], lead[others]
+            same = np.logical_and.accumulate(((self.near[a] == self.near[b]) & (self.near[a] > 0)).reshape(-1, 2, n), axis=2).sum(axis=2)
+            enough = same.sum(axis=1) >= n
+            self._hit(a[enough], b[enough], same[enough, 0], SHINGLE + same[enough].sum(axis=1))
+            odd = np.zeros(len(first), bool)
+            odd[bucket[others[~enough]]] = True
+            unlike.append(order[odd[bucket]])
+            leaders.append(first[self.salted[first]])
+        rest = np.unique(np.concatenate(unlike))
+        here = rest[~self.salted[rest]]
+        which, before, value = self.windows(here)
+        value = _grouped(value, self.g[which])
+        order = np.lexsort((which, value))
+        new = np.r_[True, value[order][1:] != value[order][:-1]][: len(order)]
+        lead = order[new][np.cumsum(new) - 1]
+        apart = self.doc[which[order]] != self.doc[which[lead]]
+        self._hit(which[order[apart]], which[lead[apart]], before[order[apart]], np.full(apart.sum(), self.span))
+        return np.unique(np.concatenate(leaders)), rest[self.salted[rest]]
+
+    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each run of ``span`` words around each of the seeds: the seed, the words before it, and a hash of the words around it."""
+        n, out = self.reach, []
+        weighed = self.near[of].astype(np.uint64) * _WEIGHTS[: 2 * n]
+        ahead, behind = (np.concatenate([np.zeros((len(of), 1), np.uint64), np.cumsum(x, axis=1, dtype=np.uint64)], axis=1) for x in (weighed[:, :n], weighed[:, n:]))
+        for k in range(n + 1):
+            whole = np.ones(len(of), bool)
+            if k:
+                whole &= self.near[of, k - 1] > 0
+            if k < n:
+                whole &= self.near[of, 2 * n - 1 - k] > 0
+            out.append((of[whole], np.full(whole.sum(), k), _mix(ahead[whole, k] + behind[whole, n - k] + np.uint64(k + 1))))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def found(self) -> tuple[np.ndarray, ...]:
+        """The hits, each once, with the least of the other documents."""
+        row, lower, start, end, other = (np.concatenate(x) for x in zip(*self.hits))
+        order = np.lexsort((other, end, start, lower, row))
+        keys = [x[order] for x in (row, lower, start, end)]
+        new = np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in keys])][: len(order)]
+        return *(x[new] for x in keys), other[order][new]
+
+
+def _compared(rows: DataFrame, span: int) -> DataFrame:
+    """``rows`` (as ``_SEEDS``, with ``salt``), a group of ``g`` and ``salt`` in one place -> ``_FOUND``: hits (kind 0), and of
+    salted groups the leaders (kind 1) and the ``g`` of those in which some seed is unlike its leader (kind 2)."""
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+
+    def one(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        g, salt, side, salted, row, doc, at, near = (np.concatenate(x) for x in zip(*parts))
+        x = _Rows(g, salt, side, salted, row, doc, at.astype(np.int64), near, span)
+        leaders, unlike = x.compare()
+        none = pa.nulls
+        hit = x.found()
+        n, m, marks = len(hit[0]), len(leaders), np.unique(g[unlike])
+        own = [pa.array(np.zeros(n, np.int32)), pa.array(hit[1]), *(pa.array(v.astype(np.int32)) for v in hit[2:4]), pa.array(hit[4])]
+        yield pa.RecordBatch.from_arrays([*own, none(n, pa.int64()), none(n, pa.int32()), pa.array(hit[0]), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.binary())], names)
+        for kind, k, rest in (
+            (1, m, [pa.array(g[leaders]), pa.array(side[leaders]), pa.array(row[leaders]), pa.array(doc[leaders]), pa.array(at[leaders]), _binary(near[leaders])]),
+            (2, len(marks), [pa.array(marks), none(len(marks), pa.int32()), *[none(len(marks), pa.int64())] * 2, none(len(marks), pa.int32()), none(len(marks), pa.binary())]),
+        ):
+            if k:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), none(k, pa.bool_()), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int64()), *rest], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {k: batch.column(k) for k in batch.schema.names}
+            near = np.frombuffer(b"".join(c["near"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            part = (*(c[k].to_numpy(zero_copy_only=False) for k in ("g", "salt", "side", "salted", "row", "doc", "at")), near)
+            g, salt = part[:2]
+            new = np.flatnonzero(np.r_[(g[0], salt[0]) != last, (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])])
+            last = (g[-1], salt[-1])
+            if len(new):  # the groups before the last that begins here are whole
+                cut = new[-1]
+                before = [*held, tuple(x[:cut] for x in part)]
+                if sum(len(x[0]) for x in before):
+                    yield from one(before)
+                held = [tuple(x[cut:] for x in part)]
+            else:
+                held.append(part)
+        if held:
+            yield from one(held)
+
+    dealt = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "doc", "row", "at")
+    return dealt.select("g", "salt", "side", "salted", "row", "doc", "at", "near").mapInArrow(run, _FOUND)
+
+
+def _runs_around(rows: DataFrame, span: int) -> DataFrame:
+    """``run, row, doc, start`` of every run of ``span`` words around the seeds ``rows``, told by its hash."""
 
-def shared_runs(texts: DataFrame, stash: Stash, span: int = MIN_WORDS) -> DataFrame:
-    """Runs of ``span`` words or more that texts of different documents share.
-
-    ``texts(row, doc, text)`` -> ``row, doc, start, end, row2, doc2, start2`` (in words): each run of a text
-    that another text of a lesser doc has too, as far as it goes. Seeds (one-row MinHash bands of all runs of
-    ``span`` words) are joined. Those that also share the eight words on one side are held word by word
-    against the bucket's least doc. Where one has no such run in common with that, all of the bucket's runs
-    around the seed are compared with each other, by their hashes. So around each seed of each run that any
-    other document has a run is found, without pairs; it goes as far as with the least such document.
-    Words beside the seed are compared by one byte each: a run may go a word too far (1 in 255).
-    """
-    reach = span - SHINGLE
-    side = -(-reach // 2)
-    every = _seed_rows(texts, span)
-    again = stash.put(every.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key"))
-    held = stash.put(every.join(again, "key", "left_semi"))
-    zero = F.lit(bytearray(1))
-    part = lambda first, n: F.substring("near", first, n)
-    both = F.array(
-        F.when(part(side, 1) != zero, F.xxhash64("key", F.lit(0), part(1, side))),
-        F.when(part(reach + side, 1) != zero, F.xxhash64("key", F.lit(1), part(reach + 1, side))),
-    )
-    members = held.select("*", F.explode(F.array_compact(both)).alias("bucket"))
-    least = members.groupBy("bucket").agg(F.min(F.struct("doc", "row", "at", "near")).alias("x"), F.max("doc").alias("hi")).where("x.doc <> hi")
-    least = stash.put(least.select("bucket", F.col("x.doc").alias("doc2"), F.col("x.row").alias("row2"), F.col("x.at").alias("at2"), F.col("x.near").alias("near2")))
-    kind = T.StructType([T.StructField("before", T.LongType()), T.StructField("after", T.LongType())])
-    compared = members.join(least, "bucket").where("doc <> doc2").withColumn("both", F.pandas_udf(_common, kind)("near", "near2"))
-    compared = stash.put(compared.select("bucket", "row", "doc", "at", "row2", "doc2", "at2", "both.*"))
-    enough = F.col("before") + F.col("after") >= reach
-    ends = lambda at: [(F.col(at) - F.col("before")).cast("int"), (F.col("at") + SHINGLE + F.col("after")).cast("int")]
-    start, end = ends("at")
-    hits = compared.where(enough).select("row", "doc", start.alias("start"), end.alias("end"), "row2", "doc2", (F.col("at2") - F.col("before")).cast("int").alias("start2"))
-    unlike = compared.where(~enough).select("bucket").distinct()
-    rest = members.join(unlike, "bucket", "left_semi").drop("bucket").dropDuplicates(["row", "at"])
-    runs = F.transform(
-        F.sequence(F.lit(0), F.lit(reach)),
-        lambda n: F.when(
-            ((n == 0) | (F.substring(F.col("near"), n, F.lit(1)) != zero)) & ((n == reach) | (F.substring(F.col("near"), F.lit(2 * reach) - n, F.lit(1)) != zero)),
-            F.struct(n.alias("n"), F.xxhash64("key", n, F.substring(F.col("near"), F.lit(1), n), F.substring(F.col("near"), F.lit(reach + 1), F.lit(reach) - n)).alias("run")),
-        ),
-    )
-    each = stash.put(rest.select("row", "doc", "at", F.explode(F.array_compact(runs)).alias("x")).select("row", "doc", (F.col("at") - F.col("x.n")).cast("int").alias("start"), "x.run"))
-    first = each.groupBy("run").agg(F.min(F.struct("doc", "row", "start")).alias("x"), F.max("doc").alias("hi")).where("x.doc <> hi")
-    first = first.select("run", F.col("x.row").alias("row2"), F.col("x.doc").alias("doc2"), F.col("x.start").alias("start2"))
-    others = each.join(first, "run").where("doc <> doc2").select("row", "doc", "start", (F.col("start") + span).alias("end"), "row2", "doc2", "start2")
-    lines = Window.partitionBy("row", "row2", "shift").orderBy("start")
-    all_hits = hits.union(others).withColumn("shift", F.col("start") - F.col("start2"))
-    far = F.max("end").over(lines.rowsBetween(Window.unboundedPreceding, -1))
-    joined = all_hits.withColumn("new", (F.coalesce(far, F.lit(-1)) < F.col("start")).cast("int")).withColumn("run", F.sum("new").over(lines))
-    out = joined.groupBy("row", "doc", "row2", "doc2", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    found = stash.put(out.select("row", "doc", "start", "end", "row2", "doc2", (F.col("start") - F.col("shift")).alias("start2")))
-    for old in (again, held, least, compared, each):
-        stash.drop(old)
-    return found
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                g, row, doc, at = (batch.column(i).to_numpy() for i in range(4))
+                near = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                no = np.zeros(len(g), np.int64)
+                which, before, value = _Rows(g, no, no, no, row, doc, at, near, span).windows(np.arange(len(g)))
+                yield pa.RecordBatch.from_arrays([pa.array(_grouped(value, g[which]).view(np.int64)), pa.array(row[which]), pa.array(doc[which]), pa.array((at[which] - before).astype(np.int32))], ["run", "row", "doc", "start"])
 
-def widest(runs: DataFrame) -> DataFrame:
-    """``row, lower, start, end, other``: the runs of both texts that lie in no wider one of their text.
+    return rows.select("g", "row", "doc", "at", "near").mapInArrow(run, "run long, row long, doc long, start int")
 
-    ``other`` is the least document that has the run, ``lower`` whether it is less than the row's own; runs
-    with it are apart from those without, as only the former are removed.
-    """
-    back = runs.select(F.col("row2").alias("row"), F.lit(False).alias("lower"), F.col("start2").alias("start"), (F.col("start2") + F.col("end") - F.col("start")).alias("end"), F.col("doc").alias("other"))
-    sides = runs.select("row", F.lit(True).alias("lower"), "start", "end", F.col("doc2").alias("other")).union(back)
-    one = sides.groupBy("row", "lower", "start", "end").agg(F.min("other").alias("other"))
-    by = Window.partitionBy("row", "lower").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    return one.withColumn("far", F.coalesce(F.max("end").over(by), F.lit(-1))).where("far < end").drop("far")
 
+def _grouped(value: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return _mix(value + g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-def band_keys(words: np.ndarray) -> list[int]:
-    """MinHash band keys of a passage's shingles (of its whole sequence, if it has fewer words)."""
-    s = shingle_hashes(words)
-    if not len(s):
-        s = np.array([_mix(words + np.arange(len(words), dtype=np.uint64)).sum(dtype=np.uint64)])
-    mins = _mix(np.array([np.min(s * m + a) for m, a in zip(_MUL, _ADD)])).reshape(BANDS, ROWS)
-    return _mix((mins * np.arange(1, 2 * ROWS, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
 
+def shared_runs(texts: DataFrame, stash: Stash, span: int = MIN_WORDS, crowd: int = CROWD) -> DataFrame:
+    """Runs of ``span`` words or more that texts of different documents share, around each seed:
 
-def passages_of(raw: bytes, runs: list[tuple[int, int]], whole: bool, least: int) -> Iterator[tuple]:
-    """``(level, number of the run, first, end, words, hash, bands)`` of a text's passages, bytes as places.
+    ``texts(row, doc, text)`` -> ``row, lower, start, end, other`` (in words): a run that the document ``other``
+    has too, one with a lesser (``lower``) or greater number than the row's own.
 
-    Level 0 are the runs, level 1 the lines of ``least`` words or more that share a word with a run and
-    aren't one themselves, level 2 (without bands) the whole text, if asked for.
+    Seeds (one-row MinHash bands of all runs of ``span`` words) are joined. Those that also share the eight
+    words on one side are held word by word against the bucket's least document. Where one has no such run
+    in common with that, all of the bucket's runs around the seed are compared with each other, by their
+    hashes. So around each seed of each run that any other document has a run is found, without pairs; it
+    goes as far as with the least such document. Seeds with more than ``crowd`` occurrences are dealt out by
+    the words beside them, and if that isn't enough at random: leaders then meet in a second round, and where
+    some seed is unlike its leader all runs around the group's seeds do, by their hashes. Words beside the seed are compared by one byte each: a run may go a word too far (1 in 255).
     """
-    words = Words(raw)
-    n = len(words.hash)
-    power = _powers(n)[0]
-
-    def passage(level: int, number: int, a: int, b: int) -> tuple:
-        key = int((_mix(words.hash[a:b]) * power[: b - a]).sum(dtype=np.uint64).view(np.int64))
-        return level, number, int(words.start[a]), int(words.end[b - 1]), b - a, key, None if level == 2 else band_keys(words.hash[a:b])
-
-    for i, (a, b) in enumerate(runs):
-        yield passage(0, i, a, b)
-    own, touched = set(runs), np.zeros(n + 1, np.int64)
-    for a, b in runs:
-        touched[a] += 1
-        touched[b] -= 1
-    covered = np.r_[0, np.cumsum(np.cumsum(touched[:-1]) > 0)]
-    ends = np.flatnonzero(np.r_[words.line[1:] != words.line[:-1], True]) + 1 if n and runs else np.zeros(0, np.int64)
-    for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
-        if b - a >= least and covered[b] > covered[a] and (a, b) not in own:
-            yield passage(1, -1, a, b)
-    if whole and n >= least:
-        yield passage(2, -1, 0, n)
-
-
-PASSAGES = "row long, doc long, level int, first int, end int, words int, hash long, bands array<long>, other long, text string"
+    reach = span - SHINGLE
+    side = -(-reach // 2)
+    every = _seed_rows(texts, span)
+    again = stash.put(every.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"))
+    held = stash.put(every.join(again, "key"))
+    flat = [x.split()[0] for x in _SEEDS.split(", ")]
+    rows = held.where(F.col("n") <= crowd).select(F.col("key").alias("g"), F.lit(2).alias("side"), F.lit(False).alias("salted"), *flat[3:], F.lit(0).cast("long").alias("salt"))
+    found = []
+    if not again.where(F.col("n") > crowd).isEmpty():
+        zero, part = F.lit(bytearray(1)), lambda first, n: F.substring("near", first, n)
+        both = F.array(*[F.when(part(k * reach + side, 1) != zero, F.struct(F.lit(k).alias("side"), F.xxhash64("key", F.lit(k), part(k * reach + 1, side)).alias("g"))) for k in (0, 1)])
+        dealt = stash.put(held.where(F.col("n") > crowd).select(F.explode(F.array_compact(both)).alias("b"), *flat[3:]).select("b.g", "b.side", *flat[3:]))
+        sizes = dealt.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("g", "m")
+        spread = dealt.join(stash.put(sizes), "g").withColumn("salted", F.col("m") > crowd)
+        salt = F.when(F.col("salted"), F.pmod(F.xxhash64("row"), F.ceil(F.col("m") / crowd))).otherwise(F.lit(0)).cast("long")
+        rows = rows.unionByName(spread.select(*flat, salt.alias("salt")))
+    first = stash.put(_compared(rows, span))
+    columns = ["row", "lower", "start", "end", "other"]
+    found.append(first.where("kind = 0").select(*columns))
+    if not first.where("kind > 0").isEmpty():
+        leaders = first.where("kind = 1").select("g", "side", F.lit(True).alias("salted"), *flat[3:], F.lit(0).cast("long").alias("salt"))
+        second = stash.put(_compared(leaders, span))
+        found.append(second.where("kind = 0").select(*columns))
+        marked = stash.put(first.union(second).where("kind = 2").select("g").distinct())
+        each = stash.put(_runs_around(rows.where("salted").join(marked, "g", "left_semi"), span))
+        least = stash.put(each.groupBy("run").agg(F.min(F.struct("doc", "row", "start")).alias("x"), F.max("doc").alias("hi")).where("x.doc <> hi"))
+        pairs = each.join(least, "run").where("doc <> x.doc")
+        for row, start, other, lower in (("row", "start", "x.doc", True), ("x.row", "x.start", "doc", False)):
+            at = F.col(start)
+            found.append(pairs.select(F.col(row).alias("row"), F.lit(lower).alias("lower"), at.alias("start"), (at + span).alias("end"), F.col(other).alias("other")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    out = stash.put(out.groupBy("row", "lower", "start", "end").agg(F.min("other").alias("other")))
+    for old in (again, held, first):
+        stash.drop(old)
+    return out
+
+
+def joined_runs(of: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of one owner (``of``, a small number) that overlap by a shingle or more as one, with the least of their other documents."""
+    order = np.lexsort((start, of))
+    of, start, end, other = of[order], start[order], end[order], other[order]
+    if not len(of):
+        return of, start, end, other
+    far = np.maximum.accumulate((of.astype(np.int64) << 32) + end)  # an owner's ends lie above those of the owners before
+    new = np.r_[True, (of[1:] != of[:-1]) | (start[1:] > far[:-1] - (of[1:].astype(np.int64) << 32) - SHINGLE)]
+    heads = np.flatnonzero(new)
+    return of[new], start[new], np.maximum.reduceat(end, heads), np.minimum.reduceat(other, heads)
+
+
+def passage_bands(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hash and MinHash band keys of passages of SHINGLE words or more, each a range of ``words``."""
+    power, inverse = Words._tables if len(words) < RUN else _powers(len(words))
+    sums = np.r_[np.uint64(0), np.cumsum(words * power[: len(words)], dtype=np.uint64)]
+    whole = _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    size = end - start - SHINGLE + 1
+    heads = np.cumsum(size) - size
+    own = shingle_hashes(words)[np.repeat(start - heads, size) + np.arange(size.sum())]
+    mins = [_mix(np.minimum.reduceat(own * m + a, heads)) if len(heads) else own for m, a in zip(_MUL, _ADD)]
+    keys = []
+    for i in range(BANDS):
+        key = np.full(len(start), i, np.uint64)
+        for j in range(ROWS):
+            key += mins[i * ROWS + j] * np.uint64(2 * j + 1)
+        keys.append(_mix(key).view(np.int64))
+    return whole.view(np.int64), keys
+
+
+PASSAGES = "row long, doc long, level int, first int, end int, words int, hash long, lower boolean, other long, " + ", ".join(f"band{i} long" for i in range(BANDS)) + ", text string"
 
 
 def _passages(texts: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """The passages of texts with runs and of those with copies, as ``PASSAGES``; of those with one hash only the first in a task has a text."""
-    by_row = found.groupBy("row").agg(F.collect_list(F.struct("start", "end", "other")).alias("runs"))  # fewer than two for each word
+    """The passages of texts with runs (level 0) and whole texts that have copies (level 2), as ``PASSAGES``; bytes are their places.
+
+    Of those with one hash only the first in a task has bands and a text, whole texts have neither.
+    """
+    by_row = found.groupBy("row").agg(F.collect_list(F.struct("lower", "start", "end", "other")).alias("runs"))  # so many at most for each word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, seen = [x.split()[0] for x in PASSAGES.split(", ")], set()
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string()]
         for batch in batches:
-            out: list[tuple] = []
-            for r in range(batch.num_rows):
-                row, doc, copied, raw = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].as_py(), batch.column(3)[r].as_buffer().to_pybytes()
-                runs = batch.column(4)[r].as_py() or []
-                for level, i, first, end, n, key, bands in passages_of(raw, [(x["start"], x["end"]) for x in runs], copied, least):
-                    new = level < 2 and key not in seen
-                    seen.add(key)
-                    text = raw[first:end].decode("utf-8", "replace") if new else None
-                    out.append((row, doc, level, first, end, n, key, bands if new else None, runs[i]["other"] if level == 0 else None, text))
-                if len(out) > 4096 or out and r + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
-                    out = []
+            rows, docs, copied, raws, runs = batch.column("row").to_numpy(), batch.column("doc").to_numpy(), batch.column("copied").to_numpy(zero_copy_only=False), _raw(batch.column("text")), batch.column("runs")
+            of, flat = np.repeat(np.arange(len(rows)), runs.value_lengths().fill_null(0).to_numpy()), runs.flatten()
+            lower, start, end, other = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("lower", "start", "end", "other"))
+            for number, block in Block.each(raws):
+                n = len(block.first) - 1
+                mine = (of >= number) & (of < number + n)
+                own, a, b, least_doc = joined_runs((of[mine] - number) * 2 + lower[mine], start[mine], end[mine], other[mine])
+                text = own // 2
+                sizes = np.diff(block.first)
+                whole = np.flatnonzero(copied[number : number + n].astype(bool) & (sizes >= least))
+                a, b = np.r_[block.first[text] + a, block.first[whole]], np.r_[block.first[text] + b, block.first[whole + 1]]
+                level = np.r_[np.zeros(len(text), np.int32), np.full(len(whole), 2, np.int32)]
+                text = np.r_[text, whole]
+                key, bands = passage_bands(block.words.hash, a, b)
+                new = np.zeros(len(key), bool)
+                runs_only = np.flatnonzero(level == 0)
+                new[runs_only[np.unique(key[runs_only], return_index=True)[1]]] = True
+                new[new] = [h not in seen for h in key[new].tolist()]
+                seen.update(key[new].tolist())
+                first, stop = block.words.start[a] - block.at[text], block.words.end[b - 1] - block.at[text]
+                said = pa.array([raws[number + i][x:y].decode("utf-8", "replace") if is_new else None for is_new, i, x, y in zip(new.tolist(), text.tolist(), first.tolist(), stop.tolist())], pa.string())
+                is_run = level == 0
+                partner = pa.array(np.r_[least_doc, np.zeros(len(whole), np.int64)], mask=~is_run)
+                plain = (rows[number + text], docs[number + text], level, first.astype(np.int32), stop.astype(np.int32), (b - a).astype(np.int32), key)
+                side = pa.array(np.r_[own % 2 == 1, np.zeros(len(whole), bool)])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, plain), side, partner, *(pa.array(x, mask=~new) for x in bands), said], names)
             if len(seen) > SEEN:
                 seen.clear()
 
@@ -314,8 +478,9 @@ def similar_passages(passages: DataFrame, similarity: float, stash: Stash, leade
     verified in ``_links_left``. So the links join all that the verified pairs of all buckets would join,
     though not each such pair has a link of its own. No bucket is collected into one task.
     """
-    texts = stash.put(passages.where("text is not null").groupBy("hash").agg(F.first("text").alias("text"), F.first("bands").alias("bands")))
-    bands = stash.put(texts.select("hash", F.explode("bands").alias("band")).distinct())
+    fresh = passages.where("text is not null")
+    texts = stash.put(fresh.select("hash", "text").dropDuplicates(["hash"]))
+    bands = fresh.select("hash", F.explode(F.array(*[f"band{i}" for i in range(BANDS)])).alias("band")).distinct()
     crowd = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     bands = stash.put(bands.join(crowd, "band", "left_semi"))
     text, left, found, old = texts.select("hash", "text"), bands, None, []
@@ -412,29 +577,24 @@ def _links_left(bands: DataFrame, found: DataFrame, texts: DataFrame, similarity
     return more
 
 
-def text_key(text: F.Column | str) -> F.Column:
-    """What tells a text from others: the 16 bytes of its MD5."""
-    return F.unhex(F.md5(F.encode(text, "UTF-8")))
-
-
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
     """The passages of ``docs(doc_id, text)`` that repeat across documents, one row each:
 
     ``doc_id, level, first_byte, end_byte, n_words, component_id, first_doc_id, removed, text_key``.
 
-    Every run of ``min_words`` words (5 or more) of every text is a paragraph with a MinHash band of one row; runs that collide
-    are compared word by word and extended as far as they agree (``shared_runs``). A passage is such a run
-    that lies in no longer one (level 0), a line of ``min_words`` or more that touches one (level 1; two
-    lines that are similar by 0.8 share a run of four fifths of their words unless they have 21 words or
-    fewer), or a whole text that several documents have (level 2; its runs are searched once, and listed for
-    the least of these documents). Passages are then banded themselves (``BANDS`` of ``ROWS``), those that
-    collide are verified by exact Jaccard similarity on five-word shingles, and links form components. Of
-    lines only those are returned whose component lies in several documents; runs always do.
-
-    ``removed`` is false for the component's smallest doc_id, ``first_doc_id``. Documents without repeats
-    have no row. Null and empty texts have none; rows with the same doc_id are the same document, told apart
-    by their text; rows with a null doc_id are ignored. Other columns are ignored. Bytes count in the
-    text's UTF-8 form. The class id is the least of the component's hashes.
+    Every run of ``min_words`` words (5 or more) of every text is a paragraph with a MinHash band of one row;
+    runs that collide are compared word by word and extended as far as they agree (``shared_runs``). Runs of
+    a text that overlap by a shingle make a passage (level 0), those that lesser documents have apart from
+    those that greater ones have. A text that several documents have is a passage too (level 2); its runs
+    are searched once, and listed for the least of these documents. Passages are then banded themselves
+    (``BANDS`` of ``ROWS``), those that collide are verified by exact Jaccard similarity on five-word
+    shingles, and links form components. Near copies of paragraphs share runs: two paragraphs of more than
+    ``min_words + 1`` words that are similar by 0.8 always have one of ``min_words`` words in common.
+
+    ``removed`` is true where a lesser document has the passage, or is in its component; ``first_doc_id`` is
+    the least such. Documents without repeats have no row. Null and empty texts have none; rows with the
+    same doc_id are the same document, told apart by their text; rows with a null doc_id are ignored. Other
+    columns are ignored. Bytes count in the text's UTF-8 form. ``component_id`` is the least of its hashes.
     """
     if min_words < SHINGLE:
         raise ValueError("passages have a shingle at least")
@@ -442,18 +602,20 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int =
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), "text")
     distinct = keyed.groupBy("text_key").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("hi"), F.first("text").alias("text"))
     texts = stash.put(distinct.withColumn("row", F.monotonically_increasing_id()))
-    found = stash.put(widest(shared_runs(texts, stash, min_words)))
+    found = shared_runs(texts, stash, min_words)
     passages = stash.put(_passages(texts, found, min_words))
     keys = stash.put(texts.select("row", "text_key", "doc", "hi"))
     stash.drop(texts)
-    links = stash.put(connected_components(similar_passages(passages, similarity, stash), stash))
-    slim = passages.drop("text", "bands").join(links, F.col("hash") == F.col("node"), "left")
-    slim = stash.put(slim.select("row", "doc", "level", "first", "end", "words", "other", F.coalesce("component", "hash").alias("component_id")))
-    low, high = F.least("doc", F.coalesce("other", "doc")), F.greatest("doc", F.coalesce("other", "doc"))
-    spread = slim.groupBy("component_id").agg(F.min(low).alias("first_doc_id"), F.max(high).alias("last"))
-    kept = stash.put(slim.join(spread, "component_id").where("level <> 1 or first_doc_id <> last").join(keys, ["row", "doc"]))
+    links = connected_components(similar_passages(passages, similarity, stash), stash)
+    slim = passages.select("row", "doc", "level", "first", "end", "words", "hash", F.when(F.col("lower"), F.col("other")).alias("lesser"))
+    slim = stash.put(slim.join(links, F.col("hash") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "hash")).drop("hash", "node", "component"))
+    spread = slim.groupBy("component_id").agg(F.min(F.least("doc", "lesser")).alias("first_doc_id"))
+    salts = 32  # a component may hold a third of all rows
+    wide = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    kept = slim.withColumn("_salt", F.pmod("row", F.lit(salts)).cast("int")).join(wide, ["component_id", "_salt"]).drop("_salt")
+    kept = kept.join(keys.drop("doc", "hi"), "row")
     copies = keyed.select("doc_id", "text_key").distinct().join(kept.where("level = 2").drop("doc"), "text_key")
-    every = kept.where("level < 2").withColumnRenamed("doc", "doc_id").unionByName(copies)
+    every = kept.where("level = 0").withColumnRenamed("doc", "doc_id").unionByName(copies)
     return every.select(
         "doc_id",
         "level",

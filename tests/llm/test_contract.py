@@ -121,6 +121,45 @@ def test_html_templates_of_a_section(spark):
     assert all(got[i] == f"Story {i} is told here" + ("\nQuoted" if 20 < i < 30 else "") for i in range(60))
 
 
+def test_html_keeps_article_text_whatever_its_labels(spark):
+    inner = [
+        '<p class="related-work">Earlier studies</p>', '<section id="search-results"><p>What was found</p></section>', '<section class="notice-period"><p>Three months</p></section>',
+        "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here</p>",
+    ]
+    pages = [(i, f"http://a/{i}", f"<body><article>{x}</article></body>") for i, x in enumerate(inner)] + [(9, "http://a/9", "<main><h1>T</h1><article><p>Text</p></article><h2>More</h2></main>")]
+    assert text_of(spark, *pages) == {0: "Earlier studies", 1: "What was found", 2: "Three months", 3: "Let x=2 here", 9: "T\nText"}
+
+
+def test_html_furniture_with_changing_words_recurs(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(["one", "two", "six", "ten"]) + str(rng.randrange(999)) for _ in range(n))
+    page = lambda i: f'<body><div class="x{i % 2}"><i>{say(4)}</i></div><article><p>{say(30)}</p><div class="comments"><p>{say(9)}</p></div><p>{say(9)}</p></article><div id="note-{i}">{say(3)}</div></body>'
+    df = spark.createDataFrame([(i, f"http://h.x/{i}", page(i)) for i in range(30)], "page_id long, url string, html string")
+    got = html_text.extract_text(df).collect()
+    assert {(r["n_blocks"], r["n_template_blocks"], r["text"].count("\n")) for r in got} == {(5, 3, 1)}
+    alone = df.withColumn("html", F.when(F.col("page_id") > 0, F.regexp_replace("html", "comments", "remarks")).otherwise(F.col("html")))
+    assert {r["page_id"]: r["text"].count("\n") for r in html_text.extract_text(alone).collect()} == {i: 2 for i in range(30)}  # named so on one page alone
+
+
+@pytest.mark.parametrize("ties", [9, 10])
+def test_html_counting_against_brute_force(spark, ties):
+    rng, rows = random.Random(5), []
+    for i in range(200):
+        nodes = rng.sample(range(1, 40), 6) + ([100] if i < ties else [])
+        rows.append((i, rng.randrange(3) if i >= ties else 7, [0, *nodes], rng.randrange(60) if i >= ties else i))
+    got = {(r["host"], r["node"]) for r in html_text.host_templates(spark.createDataFrame(rows, "row long, host long, nodes array<long>, sig long")).collect()}
+    seen = {}
+    for _, host, nodes, sig in rows:
+        for x in nodes:
+            seen.setdefault((host, x), set()).add(sig)
+    assert got == {k for k, v in seen.items() if len(v) >= 10} and ((7, 100) in got) == (ties == 10)
+
+
+def test_html_very_long_page(spark):
+    page = "<body><article>" + "<p>word &amp; word</p>" * 60_000 + "</article><footer>" + "x " * 300_000 + "</footer></body>"
+    assert text_of(spark, (1, "http://a", page))[1] == "\n".join(["word & word"] * 60_000)
+
+
 def test_html_on_pages(spark, sf_dir):
     import html
 
@@ -129,7 +168,7 @@ def test_html_on_pages(spark, sf_dir):
     for r in html_text.extract_text(df).collect():
         article = re.search(r"<article>(.*)</article>", source[r["page_id"]], re.S)[1].replace("<br>", " ").replace("<b>", "").replace("</b>", "")
         blocks = (" ".join(html.unescape(x).split()) for x in re.split(r"</?(?:p|h1)>", article))
-        assert r["text"] == "\n".join(x for x in blocks if x) and r["n_chars"] == len(r["text"])
+        assert r["text"] == "\n".join(x for x in blocks if x) and r["n_chars"] == len(r["text"]) and r["n_blocks"] > r["text"].count("\n") + 1
 
 
 def test_quality_held_out(spark, sf_dir):
@@ -171,6 +210,7 @@ def test_media_round_trip(spark):
         assert media.read_payload(stored, track) == whole
         assert all(stored[a:b] == whole[i * 576 : i * 576 + 576] for i, (a, b) in zip(track["keys"] - 1, media.key_ranges(track)))
         assert r["duration_s"] == len(whole) / 576 / 25 and r["codec"] == "raw"
+        assert [(x["start"], x["end"]) for x in r["key_ranges"]] == [(stored.index(b"mdat") + 4 + at, stored.index(b"mdat") + 4 + at + 576) for at in range(0, len(whole), 12 * 576)]
     assert media.media_columns(df.where("false")).count() == 0
 
 
@@ -190,6 +230,39 @@ def test_media_reads_other_tables():
     assert media.read_tracks(b"") == []
 
 
+def test_media_fragments():
+    raw_of = lambda n: int(n).to_bytes(4, "big")
+    head = media.box(b"moov", media.box(b"trak", media.full_box(b"tkhd", 0, 0, bytes(8), raw_of(5), bytes(68)), media.box(b"mdia", media.full_box(b"mdhd", 0, 0, bytes(8), raw_of(10), raw_of(0), bytes(4)))), media.box(b"mvex", media.full_box(b"trex", 0, 0, raw_of(5), raw_of(1), raw_of(2), raw_of(3), raw_of(0x10000))))
+    run = media.full_box(b"trun", 0, 0x205, raw_of(3), raw_of(0), raw_of(0), *(raw_of(x) for x in (4, 5, 6)))
+    again = media.full_box(b"trun", 0, 0, raw_of(2))
+    moof = media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", 0, 0x20000, raw_of(5)), run, again))
+    run = media.full_box(b"trun", 0, 0x205, raw_of(3), raw_of(len(moof) + 8), raw_of(0), *(raw_of(x) for x in (4, 5, 6)))
+    moof = media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", 0, 0x20000, raw_of(5)), run, again))
+    data = bytes(range(21))
+    raw = head + moof + media.box(b"mdat", data)
+    (t,) = media.read_tracks(raw)
+    assert media.read_payload(raw, t) == data and t["sizes"].tolist() == [4, 5, 6, 3, 3] and t["keys"].tolist() == [1] and t["times"].tolist() == [2, 4, 6, 8, 10] and t["duration"] == 10
+
+
+def test_media_files_that_lie_about_counts(spark):
+    import tracemalloc
+
+    good = media.write_container(media.pad(b"x" * 40_000))
+    files = [good, None, b"", b"no boxes at all"]
+    for kind in (b"stsz", b"stss", b"stsc", b"stco", b"stts"):
+        at = good.index(kind) + 8
+        for shift in (0, 4, 8):
+            files.append(good[: at + shift] + b"\x7f\xff\xff\xf0" + good[at + shift + 4 :])
+    files += [good[:n] for n in range(0, len(good), 997)]
+    tracemalloc.start()
+    said = [media.describe_file(x) for x in files]
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert said[0][1] is None and said[1:4] == [([], None)] * 3 and sum(e is not None for _, e in said) >= 8
+    rows = media.container_columns(spark.createDataFrame([(i, x) for i, x in enumerate(files)], "id int, content binary").withColumn("error", F.lit(1))).collect()
+    assert [[(*x[:-1], [tuple(y) for y in x[-1]]) for x in r["tracks"]] for r in sorted(rows)] == [t for t, _ in said] and [r["error"] for r in sorted(rows)] == [e for _, e in said]
+
+
 def plain_jump(k, n):
     b, j = -1, 0
     while j < n:
@@ -243,7 +316,6 @@ def test_packing(spark, sf_dir):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
     texts |= {800_000: None, 800_001: "", 800_002: "<|endoftext|> a  b\n\n c's 12'3", 800_003: "word and " * 40_000, 800_004: "日本語 " * 300}
     df = docs_of(spark, list(texts.items())).withColumn("start", F.lit("x"))
@@ -271,6 +343,23 @@ def test_packing(spark, sf_dir):
     assert packing.pack(df.where("false"), vocabulary()).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(vocabulary()), packing.encoder(vocabulary())
+    plain = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275] == plain("a <|endoftext|> b")
+    rng = random.Random(16)
+    some = [*"ab Z09'-\n\t  é日\u00a0\u0301\U0001f600", "<|endoftext|>", "'s", " the", "\u2028", "\x1c"]
+    for _ in range(3000):
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(30)))
+        assert encode(text) == plain(text)
+    long = " ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9))) + rng.choice([",", "", "", "\n"]) for _ in range(300_000))
+    assert len(long) > 1 << 20 and encode(long) == plain(long)
+    monkeypatch.setattr(packing, "PATTERN", r" ?\S+|\s+")  # one that cuts otherwise is found out
+    assert packing.encoder(vocabulary())("it's 1") == plain("it's 1")
+
+
 def test_packing_repeats_and_rounds(spark):
     df = docs_of(spark, [(1, "a b c")] * 5 + [(None, "x")] * 3).coalesce(1)
     rows = packing.pack(df, vocabulary(), size=8, round_rows=2).collect()
@@ -284,7 +373,7 @@ def test_best_fit_decreasing_takes_the_tightest():
     rng = random.Random(5)
     for size in (8, 10, 1024):
         lengths = np.array([rng.randrange(1, size + 1) for _ in range(300)])
-        window, offset, opened = packing.best_fit_decreasing(lengths, size)
+        window, offset, opened = packing.best_fit_decreasing(lengths, packing.OpenWindows(size))
         free: list[int] = []
         for i in np.argsort(-lengths, kind="stable"):
             n = lengths[i]

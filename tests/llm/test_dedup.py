@@ -76,13 +76,14 @@ def test_simhash_edges(spark):
     assert {r["doc_id"] for r in kept.collect()} == firsts | {None}
 
 
-def test_pairs_within_three_bits(spark):
+@pytest.mark.parametrize("crowd", [1024, 3])
+def test_pairs_within_three_bits(spark, crowd):
     rng = np.random.default_rng(2)
     seeds = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     flips = [s ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for s in seeds for k in (1, 2, 3, 4)]
     all_ = np.unique(np.r_[seeds, flips]).astype(np.uint64)
     signed = all_.view(np.int64)
-    got = {(r["a"], r["b"]) for r in simhash.similar_fingerprints(spark.createDataFrame([(int(x),) for x in signed], "fp long")).collect()}
+    got = {(r["a"], r["b"]) for r in simhash.similar_fingerprints(spark.createDataFrame([(int(x),) for x in signed], "fp long"), Stash(spark, "t"), crowd=crowd).collect()}
     want = {tuple(sorted((int(signed[i]), int(signed[j])))) for i in range(len(all_)) for j in range(i) if int(all_[i] ^ all_[j]).bit_count() <= 3}
     assert got == want
 
@@ -143,6 +144,21 @@ def test_words_of_blocks_agree_with_those_of_the_whole(monkeypatch):
     monkeypatch.setattr(substring.Words, "_tables", None)
 
 
+def test_seeds_do_not_depend_on_the_texts_beside():
+    rng = random.Random(10)
+    texts = [prose(rng, rng.randrange(0, 90)).encode() for _ in range(60)] + [b"", b"one", b"a b c d e " * 30]
+    ((_, whole),) = substring.Block.each(texts)
+    at = substring.seeds(whole)
+    near = substring.around(whole, at, 15)
+    for i, t in enumerate(texts):
+        one = substring.Block([t])
+        own = substring.seeds(one)
+        s = substring.shingle_hashes(one.words.hash) >> np.uint64(28)
+        assert own.tolist() == sorted({j + int(np.argmin(s[j : j + 16])) for j in range(len(s) - 15)})
+        mine = whole.text[at] == i
+        assert (at[mine] - whole.first[i]).tolist() == own.tolist() and np.array_equal(near[mine], substring.around(one, own, 15))
+
+
 def runs_by_brute_force(texts, span):
     """Words of each text in a run of ``span`` words that a text of another document has."""
     words, where = {i: substring.words_in(t.encode()) for i, t in texts.items()}, {}
@@ -152,9 +168,10 @@ def runs_by_brute_force(texts, span):
     return {i: {x for k in range(len(w) - span + 1) if len(where[tuple(w[k : k + span])]) > 1 for x in range(k, k + span)} for i, w in words.items()}
 
 
+@pytest.mark.parametrize("crowd", [20_000, 5])
 @pytest.mark.parametrize("vocab", [8, 5000])
-def test_shared_runs_against_brute_force(spark, vocab):
-    """With few words seeds collide by chance all the time, so that leaders are often unlike."""
+def test_shared_runs_against_brute_force(spark, vocab, crowd):
+    """With few words seeds collide by chance all the time, so that leaders are often unlike; a small crowd deals most of them out."""
     rng = random.Random(vocab)
     line = lambda n: " ".join(f"w{rng.randrange(vocab)}" for _ in range(n))
     texts = {i: line(rng.randrange(1, 90)) for i in range(120)}
@@ -164,15 +181,16 @@ def test_shared_runs_against_brute_force(spark, vocab):
         at = rng.randrange(len(w) + 1)
         texts[i] = " ".join([*w[:at], rng.choice(shared), *w[at:]])
     df = spark.createDataFrame([(i, i, t) for i, t in texts.items()], "row long, doc long, text string")
-    found = substring.widest(substring.shared_runs(df, Stash(spark, "t"))).collect()
+    found = substring.shared_runs(df, Stash(spark, "t"), crowd=crowd).collect()
     got = {i: set() for i in texts}
     for r in found:
         got[r["row"]].update(range(r["start"], r["end"]))
         assert r["lower"] == (r["other"] < r["row"])
     want = runs_by_brute_force(texts, 20)
-    assert any(got.values()) and all(got[i] <= want[i] and bool(got[i]) == bool(want[i]) for i in texts)
+    assert any(got.values()) and all(bool(got[i]) == bool(want[i]) for i in texts)
+    assert sum(len(got[i] - want[i]) for i in texts) <= 5  # a word too far, 1 in 255
     if vocab > 1000:
-        assert got == want
+        assert all(got[i] >= want[i] for i in texts)
     else:  # runs go as far as with the least document that has 20 words of them, so others may share a few words more
         assert sum(map(len, got.values())) > 0.95 * sum(map(len, want.values()))
 
@@ -220,9 +238,9 @@ def test_cutting_goes_by_text_where_ids_repeat(spark):
 
 
 def passages_like(spark, texts):
-    keys = [substring.Words(t.encode()).hash for t in texts]
-    rows = [(i, t, substring.band_keys(k)) for i, (t, k) in enumerate(zip(texts, keys))]
-    return spark.createDataFrame(rows, "hash long, text string, bands array<long>")
+    words = [substring.Words(t.encode()).hash for t in texts]
+    keys = [[int(b[0]) for b in substring.passage_bands(w, np.array([0]), np.array([len(w)]))[1]] for w in words]
+    return spark.createDataFrame([(i, t, *k) for i, (t, k) in enumerate(zip(texts, keys))], "hash long, text string, " + ", ".join(f"band{i} long" for i in range(substring.BANDS)))
 
 
 def test_near_paragraphs_are_linked(spark):
@@ -253,8 +271,8 @@ def test_star_of_near_paragraphs_is_joined_as_by_brute_force(spark, monkeypatch,
     rows = passages_like(spark, texts).collect()
     sets, buckets, parent = {r["hash"]: substring.shingle_set(r["text"]) for r in rows}, {}, {r["hash"]: r["hash"] for r in rows}
     for r in rows:
-        for band in r["bands"]:
-            buckets.setdefault(band, []).append(r["hash"])
+        for i in range(substring.BANDS):
+            buckets.setdefault(r[f"band{i}"], []).append(r["hash"])
 
     def root(x):
         while parent[x] != x:
@@ -282,53 +300,91 @@ def test_passage_edges(spark):
     assert substring.repeated_passages(df.where("false")).count() == 0
 
 
-def plain_dedup(rows, min_docs=10, share=0.5):
-    from collections import defaultdict
+def plain_dedup(rows, min_docs=10):
+    """Lines dropped by brute force, straight from the definition."""
+    from collections import Counter, defaultdict
 
     def masked(line):
         tokens = [t for t in line.replace("\t", " ").replace("\r", " ").split(" ") if t]
         return tuple("<*>" if any(c in "0123456789" for c in t) else t for t in tokens)
 
-    def keys(t):
-        n, half = len(t), len(t) // 2
-        out = [("whole", n, t)]
-        if half >= 4:
-            out += [("front", n, t[: max(half, 2)]), ("back", n, t[:2], t[half:])]
-        return out
-
     def digest(t):
         return int(hashlib.md5(" ".join(t).encode()).hexdigest()[:15], 16)
 
-    found = defaultdict(lambda: [0, set()])
-    parsed = []
-    for _, text in rows:
-        ls = [(i, masked(x)) for i, x in enumerate((text or "").split("\n"))] if text is not None else []
-        ls = [(i, t) for i, t in ls if t]
-        parsed.append(ls)
-        hs = [digest(t) for _, t in ls]
-        for key, h in {(k, digest(t)) for _, t in ls for k in keys(t)}:
-            found[key][0] += 1
-            found[key][1].add(min(hs) if min(hs) != h else max(hs) if max(hs) != h else 0)
-    bad = {k for k, (n, sigs) in found.items() if len(sigs) >= min_docs and len(sigs) >= share * n}
-    out = []
-    for (i, text), ls in zip(rows, parsed):
-        gone = {n for n, t in ls if any(k in bad for k in keys(t))}
-        out.append((i, None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone), len(gone)))
-    return out
-
-
-@pytest.mark.parametrize("lookup", [1_000_000, 0])
-def test_line_templates(spark, lookup):
+    texts = {t for _, t in rows if t is not None}
+    lines = {t: [(i, m) for i, m in enumerate(map(masked, t.split("\n"))) if m] for t in texts}
+    often, found = defaultdict(set), defaultdict(lambda: defaultdict(set))
+    for t, ls in lines.items():
+        for _, m in ls:
+            for p, w in enumerate(m):
+                often[len(m), m[:2], p, w].add(t)
+    where = defaultdict(set)
+    for t, ls in lines.items():
+        for i, m in ls:
+            kept = tuple((p, w) for p, w in enumerate(m) if w != "<*>" and len(often[len(m), m[:2], p, w]) >= min_docs)
+            for key in [m] + [(len(m), m[:2], kept)] * (4 <= len(kept) < len(m) and 10 * len(kept) >= 6 * len(m)):
+                found[key][t].add(digest(m))
+                where[key].add((t, i))
+    gone = defaultdict(set)
+    for key, of in found.items():
+        shares = defaultdict(list)
+        for order in line_templates.ORDERS:
+            sig = {t: min((digest(m) ^ order for _, m in lines[t] if digest(m) != min(own)), default=-1) for t, own in of.items()}
+            sizes = Counter(sig.values())
+            for t in of:
+                shares[t].append(27720 // sizes[sig[t]])
+        if len(of) >= min_docs and sum(sorted(x)[1] for x in shares.values()) >= (min_docs - 0.5) * 27720:
+            for t, i in where[key]:
+                gone[t].add(i)
+    return [(i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[t]), len(gone[t])) for i, t in rows]
+
+
+def dropped(spark, texts):
+    return {r["doc_id"]: r["n_dropped"] for r in line_templates.dedup_lines(docs_of(spark, wrap(texts))).collect()}
+
+
+def test_line_templates(spark):
     rng = random.Random(6)
     texts = ["\n".join([prose(rng, 12), f"Posted on {rng.randrange(30)} May 20{rng.randrange(10, 30)} by  admin", prose(rng, 9)]) for _ in range(15)]
     texts += ["\n".join([prose(rng, 10), "Share this page with all your good friends on " + prose(rng, 6)]) for _ in range(12)]
     copied = "\n".join(prose(rng, 14) for _ in range(5))
     texts += [copied] * 30 + [None, "", " \n", "Only one 7"]
-    df = docs_of(spark, wrap(texts)).withColumn("_row", F.lit(0)).withColumn("key", F.lit(1))
-    got = sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in line_templates.dedup_lines(df, lookup_keys=lookup).collect() if r["text"] is not None)
+    df = docs_of(spark, wrap(texts)).withColumn("_row", F.lit(0)).withColumn("key", F.lit(1)).withColumn("_gone", F.lit(1))
+    got = sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in line_templates.dedup_lines(df).collect() if r["text"] is not None)
     want = sorted(x for x in plain_dedup(list(enumerate(texts))) if x[1] is not None)
     assert got == want
     assert sum(g[2] for g in got) == 27
     assert all(t == copied for i, t, _ in got if 27 <= i < 57)
     out = line_templates.dedup_lines(df.where("false"))
     assert out.count() == 0 and set(out.columns) == {*df.columns, "n_lines", "n_dropped"}
+
+
+def test_a_name_in_a_short_line_varies_and_prose_that_begins_alike_does_not(spark):
+    rng = random.Random(13)
+    names = [f"{a}{b}" for a in ("Ann", "Ber", "Car", "Dor", "Eli", "Fay", "Gus") for b in ("a", "o")]
+    posted = [prose(rng, 12) + f"\nPosted by {x} in News\n" + prose(rng, 8) for x in names]
+    prose_alike = [prose(rng, 12) + "\nOn the other hand " + prose(rng, 4) + "\n" + prose(rng, 8) for _ in range(14)]
+    got = dropped(spark, posted + prose_alike)
+    assert all(got[i] == 1 for i in range(14)) and all(got[i] == 0 for i in range(14, 28))
+
+
+@pytest.mark.parametrize("edit", [False, True])
+def test_copies_do_not_shield_a_line_and_lose_no_line(spark, edit):
+    rng = random.Random(14)
+    licence = "All rights reserved by the owners of this work"
+    texts = [licence + "\n" + "\n".join(prose(rng, 9) for _ in range(rng.randrange(1, 6))) for _ in range(100)]
+    body = [prose(rng, 15) for _ in range(9)]
+    for _ in range(120):  # copies of one document with the line, changed in a line each if edit is set
+        copy = [licence, *body]
+        if edit:
+            copy[rng.randrange(1, 10)] = prose(rng, 15)
+        texts.append("\n".join(copy))
+    assert set(dropped(spark, texts).values()) == {1}
+    assert plain_dedup(list(enumerate(texts))) == sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in line_templates.dedup_lines(docs_of(spark, wrap(texts))).collect())
+
+
+def test_a_block_of_lines_that_stand_together_recurs(spark):
+    rng = random.Random(15)
+    block = [prose(rng, 7) for _ in range(3)]
+    texts = ["\n".join([prose(rng, 10), prose(rng, 10), prose(rng, 10), *block]) for _ in range(40)]
+    assert set(dropped(spark, texts).values()) == {3}
