@@ -23,8 +23,8 @@ MIN_WORDS = 20
 RUN = 1 << 20
 #: Hashes that a task remembers, so as to keep one text of each.
 SEEN = 1 << 20
-#: Seeds with one key that are compared in one place; where there are more, they are dealt out.
-CROWD = 20_000
+#: Seeds of a bucket that are compared in one place; more are dealt out.
+CROWD = 4096
 #: Rounds in which a bucket's passages are held against one leader, before what is still apart is compared in blocks.
 LEADERS = 2
 #: Passages of a bucket that are compared with so many others at once.
@@ -213,7 +213,7 @@ class _Rows:
         side = -(-n // 2)
         for k in (0, 1):
             part = self.near[:, k * n : k * n + side]
-            of = np.flatnonzero((part[:, -1] > 0) & ((self.side == 2) | (self.side == k)))
+            of = np.flatnonzero(self.side == k)
             order, bucket, first = self._groups(of, (part[of].astype(np.uint64) * _WEIGHTS[:side]).sum(axis=1, dtype=np.uint64))
             lead = first[bucket]
             others = np.flatnonzero(self.doc[order] != self.doc[lead])
@@ -332,30 +332,27 @@ def shared_runs(texts: DataFrame, stash: Stash, span: int = MIN_WORDS, crowd: in
     ``texts(row, doc, text)`` -> ``row, lower, start, end, other`` (in words): a run that the document ``other``
     has too, one with a lesser (``lower``) or greater number than the row's own.
 
-    Seeds (one-row MinHash bands of all runs of ``span`` words) are joined. Those that also share the eight
-    words on one side are held word by word against the bucket's least document. Where one has no such run
-    in common with that, all of the bucket's runs around the seed are compared with each other, by their
-    hashes. So around each seed of each run that any other document has a run is found, without pairs; it
-    goes as far as with the least such document. Seeds with more than ``crowd`` occurrences are dealt out by
-    the words beside them, and if that isn't enough at random: leaders then meet in a second round, and where
-    some seed is unlike its leader all runs around the group's seeds do, by their hashes. Words beside the seed are compared by one byte each: a run may go a word too far (1 in 255).
+    Seeds (one-row MinHash bands of all runs of ``span`` words) that several documents have make buckets by
+    the eight words on either side of them. In a bucket each is held word by word against the one of the
+    least document. Where one has no such run in common with that, all of the bucket's runs around the seed
+    are compared with each other, by their hashes. So around each seed of each run that any other document
+    has a run is found, without pairs; it goes as far as with the least such document. Buckets of more than
+    ``crowd`` seeds are dealt out at random: their leaders then meet in a second round, and where some seed
+    is unlike its leader all runs around the bucket's seeds do, by their hashes. Words beside the seed are compared by one byte each: a run may go a word too far (1 in 255).
     """
     reach = span - SHINGLE
     side = -(-reach // 2)
     every = _seed_rows(texts, span)
-    again = stash.put(every.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"))
-    held = stash.put(every.join(again, "key"))
+    again = stash.put(every.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key"))
+    held = stash.put(every.join(again, "key", "left_semi"))
     flat = [x.split()[0] for x in _SEEDS.split(", ")]
-    rows = held.where(F.col("n") <= crowd).select(F.col("key").alias("g"), F.lit(2).alias("side"), F.lit(False).alias("salted"), *flat[3:], F.lit(0).cast("long").alias("salt"))
+    zero, part = F.lit(bytearray(1)), lambda first, n: F.substring("near", first, n)
+    both = F.array(*[F.when(part(k * reach + side, 1) != zero, F.struct(F.xxhash64("key", F.lit(k), part(k * reach + 1, side)).alias("g"), F.lit(k).alias("side"))) for k in (0, 1)])
+    dealt = held.select(F.explode(F.array_compact(both)).alias("b"), *flat[3:]).select("b.g", "b.side", *flat[3:])
+    sizes = dealt.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("g", "m")
+    salt = F.when(F.col("salted"), F.pmod(F.xxhash64("row"), F.ceil(F.col("m") / crowd))).otherwise(F.lit(0)).cast("long")
+    rows = dealt.join(stash.put(sizes), "g").withColumn("salted", F.col("m") > crowd).select(*flat, salt.alias("salt"))
     found = []
-    if not again.where(F.col("n") > crowd).isEmpty():
-        zero, part = F.lit(bytearray(1)), lambda first, n: F.substring("near", first, n)
-        both = F.array(*[F.when(part(k * reach + side, 1) != zero, F.struct(F.lit(k).alias("side"), F.xxhash64("key", F.lit(k), part(k * reach + 1, side)).alias("g"))) for k in (0, 1)])
-        dealt = stash.put(held.where(F.col("n") > crowd).select(F.explode(F.array_compact(both)).alias("b"), *flat[3:]).select("b.g", "b.side", *flat[3:]))
-        sizes = dealt.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("g", "m")
-        spread = dealt.join(stash.put(sizes), "g").withColumn("salted", F.col("m") > crowd)
-        salt = F.when(F.col("salted"), F.pmod(F.xxhash64("row"), F.ceil(F.col("m") / crowd))).otherwise(F.lit(0)).cast("long")
-        rows = rows.unionByName(spread.select(*flat, salt.alias("salt")))
     first = stash.put(_compared(rows, span))
     columns = ["row", "lower", "start", "end", "other"]
     found.append(first.where("kind = 0").select(*columns))
