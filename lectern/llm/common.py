@@ -45,6 +45,7 @@ class Stash:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         at, files = self._files(self.root)
+        files.mkdirs(at)  # only what is there is marked
         files.deleteOnExit(at)
 
     def _files(self, path: str) -> tuple:
