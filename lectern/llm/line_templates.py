@@ -2,66 +2,89 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Stash, text_key
 
-SPACE = r"[ \t\r\x0B\f]+"
-WILD = "<*>"
+WILD = b"<*>"
 #: Masks that reorder 60-bit line hashes, each giving another least line of a document.
 ORDERS = (0, 0xFFFFFFFFFFFFFFF, 0x555555555555555, 0xAAAAAAAAAAAAAAA)
 #: The weight of one family of documents; a document that is one of c counts for UNIT // c.
 UNIT = 27720
 
+_DIGIT = re.compile(rb"[0-9]").search
+LINES = "text_key binary, t long, line int, n int, whole long, leaf long, masked string"
+
 
-def _masked(line: F.Column) -> F.Column:
-    """A line with single spaces, and each token that holds a digit generalised to a wildcard."""
-    odd = F.lit(False)
-    for x in ("  ", "\t", "\r", "\x0b", "\f"):
-        odd = odd | F.contains(line, F.lit(x))
-    flat = F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD)).otherwise(flat)
+def _short(key: bytes) -> int:
+    """The first half of a text's key, which tells texts apart where they are only counted."""
+    return int.from_bytes(key[:8], "big", signed=True)
 
 
 def text_lines(docs: DataFrame, lead: int = 2) -> DataFrame:
-    """``text_key, line, masked, whole, n, leaf`` of each line that isn't blank; rows with equal texts have equal lines.
+    """``LINES`` of each line that isn't blank; rows with equal texts have equal lines.
 
-    The tree's first level is the token count ``n``, the next ``lead`` levels are the leading tokens; these
-    make the ``leaf``. ``whole`` is a 60-bit hash of the masked line that SQL has too.
+    ``masked`` has single spaces, and each token that holds a digit is generalised to a wildcard. The
+    tree's first level is the token count ``n``, the next ``lead`` levels are the leading tokens; these make
+    the ``leaf``. ``whole`` is a 60-bit hash of the masked line that SQL has too.
     """
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), _masked(x).alias("masked")))
-    each = docs.where("text is not null").select(text_key("text").alias("text_key"), F.explode(lines).alias("x")).select("text_key", "x.line", "x.masked").where("masked <> ''")
-    n = F.octet_length("masked") - F.octet_length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1
-    whole = F.conv(F.substring(F.md5("masked"), 1, 15), 16, 10).cast("long")
-    return each.select("*", whole.alias("whole"), n.alias("n")).withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", lead)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        names, md5, xxh = [x.split()[0] for x in LINES.split(", ")], hashlib.md5, xxhash.xxh3_64_intdigest
+        for batch in batches:
+            out: list[tuple] = []
+            for text in batch.column(0).to_pylist():
+                raw = text.encode()
+                key = md5(raw).digest()
+                t = _short(key)
+                for i, line in enumerate(raw.split(b"\n")):
+                    tokens = line.split()  # bytes: at ASCII white space alone
+                    if tokens:
+                        if _DIGIT(line):
+                            tokens = [WILD if _DIGIT(x) else x for x in tokens]
+                        masked, n = b" ".join(tokens), len(tokens)
+                        leaf = xxh(b"%d " % n + b" ".join(tokens[:lead])) - (1 << 63)
+                        out.append((key, t, i, n, int(md5(masked).hexdigest()[:15], 16), leaf, masked))
+                if len(out) > 1 << 14:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+
+    return docs.where("text is not null").select("text").mapInArrow(run, LINES)
 
 
 def leaf_templates(lines: DataFrame, stash: Stash, min_docs: int, min_constant: int, constant_share: float) -> DataFrame:
-    """``text_key, line, whole, template`` of the lines that a template with wildcards describes.
+    """``t, line, template`` of the lines that a template with wildcards describes.
 
     Below a leaf each position is a wildcard but where the line's token stands there in ``min_docs``
     different texts of the leaf; a token with a digit always is one. The constant tokens and their places
     are the template. It describes a line only with ``min_constant`` constants or more, and these at least
     ``constant_share`` of the tokens: so a name in a short line varies, and prose that begins alike is none.
     """
-    long = lines.where(F.col("n") > min_constant)
+    long = lines.where(F.col("n") > min_constant).select("t", "line", "n", "leaf", "masked")
     busy = stash.put(long.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf"))
-    token = F.posexplode(F.transform(F.split("masked", " ", -1), lambda x: F.when(x != WILD, F.xxhash64(x)))).alias("at", "token")
-    tokens = stash.put(long.join(busy, "leaf", "left_semi").select("text_key", "line", "whole", "n", "leaf", token).where("token is not null"))
-    place = ["leaf", "at", "token"]
-    often = stash.put(tokens.select(*place, "text_key").distinct().groupBy(*place).agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select(*place))
-    constant = tokens.join(often, place, "left_semi").groupBy("text_key", "line", "whole", "n", "leaf").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("kept"))
-    k = F.size("kept")
-    enough = (k >= min_constant) & (k >= F.col("n") * constant_share) & (k < F.col("n"))
-    out = stash.put(constant.where(enough).select("text_key", "line", "whole", F.xxhash64("leaf", "kept").alias("template")))
-    for old in (busy, tokens, often):
+    each = long.join(busy, "leaf", "left_semi").select("t", "line", "n", "leaf", F.posexplode(F.split("masked", " ", -1)).alias("at", "token"))
+    placed = stash.put(each.where(F.col("token") != F.lit(WILD.decode())).select(F.xxhash64("leaf", "at", "token").alias("place"), "t", "line", "n"))
+    often = stash.put(placed.select("place", "t").distinct().groupBy("place").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("place"))
+    constant = placed.join(often, "place", "left_semi").groupBy("t", "line", "n").agg(F.count("*").alias("k"), F.sort_array(F.collect_list("place")).alias("kept"))
+    enough = (F.col("k") >= min_constant) & (F.col("k") >= F.col("n") * constant_share) & (F.col("k") < F.col("n"))
+    out = stash.put(constant.where(enough).select("t", "line", F.xxhash64("kept").alias("template")))
+    for old in (busy, placed, often):
         stash.drop(old)
     return out
 
 
 def recurring_lines(lines: DataFrame, stash: Stash, min_docs: int = 10, min_constant: int = 4, constant_share: float = 0.6) -> DataFrame:
-    """``text_key, line``: the lines whose whole form or template recurs in ``min_docs`` families of documents.
+    """``t, line``: the lines whose whole form or template recurs in ``min_docs`` families of documents.
 
     Equal texts count once. Copies with changes are told from unrelated documents by their other lines: in
     each of four orders of line hashes a text's least line but this one puts it into a group, and a text
@@ -71,23 +94,24 @@ def recurring_lines(lines: DataFrame, stash: Stash, min_docs: int = 10, min_cons
     one family with others like it. The sum of these shares is the number of families, rounded. Only lines
     in ``min_docs`` texts are looked at so closely, and all groups are counted by partial sums.
     """
-    often = lambda rows, key: rows.select(key, "text_key").distinct().groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select(key)
+    often = lambda rows, key: rows.select(key, "t").distinct().groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select(key)
     found = leaf_templates(lines, stash, min_docs, min_constant, constant_share)
-    wholes = lines.join(stash.put(often(lines, "whole")), "whole", "left_semi").select("text_key", "line", "whole", F.xxhash64(F.lit("whole"), "whole").alias("key"))
-    varied = found.join(stash.put(often(found, "template")), "template", "left_semi").select("text_key", "line", "whole", F.xxhash64(F.lit("template"), "template").alias("key"))
+    slim = lines.select("t", "line", "whole")
+    wholes = slim.join(stash.put(often(slim, "whole")), "whole", "left_semi").select("t", "line", "whole", F.xxhash64(F.lit("whole"), "whole").alias("key"))
+    varied = found.join(stash.put(often(found, "template")), "template", "left_semi").join(slim, ["t", "line"]).select("t", "line", "whole", F.xxhash64(F.lit("template"), "template").alias("key"))
     seen = stash.put(wholes.union(varied))
-    own = seen.groupBy("key", "text_key").agg(F.min("whole").alias("own"))
-    hashes = lines.join(stash.put(seen.select("text_key").distinct()), "text_key", "left_semi").groupBy("text_key").agg(F.collect_set("whole").alias("hashes"))  # of one text's lines
+    own = seen.groupBy("key", "t").agg(F.min("whole").alias("own"))
+    hashes = slim.join(stash.put(seen.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.collect_set("whole").alias("hashes"))  # of one text's lines
     least = F.transform(F.array(*[F.lit(x) for x in ORDERS]), lambda o: F.slice(F.array_sort(F.transform("hashes", lambda h: h.bitwiseXOR(o))), 1, 2))
-    orders = own.join(hashes.select("text_key", least.alias("least")), "text_key").select("key", "text_key", "own", F.posexplode("least").alias("i", "two"))
+    orders = own.join(hashes.select("t", least.alias("least")), "t").select("key", "t", "own", F.posexplode("least").alias("i", "two"))
     mine = F.col("own").bitwiseXOR(F.element_at(F.array(*[F.lit(x) for x in ORDERS]), F.col("i") + 1))
     other = F.when(F.get("two", F.lit(0)) != mine, F.get("two", F.lit(0))).otherwise(F.coalesce(F.get("two", F.lit(1)), F.lit(-1)))
-    grouped = stash.put(orders.select("key", "text_key", "i", other.alias("other")))
+    grouped = stash.put(orders.select("key", "t", "i", other.alias("other")))
     group = ["key", "i", "other"]
-    shares = grouped.join(grouped.groupBy(*group).agg(F.count("*").alias("c")), group).select("key", "text_key", F.floor(F.lit(UNIT) / F.col("c")).alias("share"))
-    per_text = shares.groupBy("key", "text_key").agg(F.sort_array(F.collect_list("share"))[1].alias("share"))
+    shares = grouped.join(grouped.groupBy(*group).agg(F.count("*").alias("c")), group).select("key", "t", F.floor(F.lit(UNIT) / F.col("c")).alias("share"))
+    per_text = shares.groupBy("key", "t").agg(F.sort_array(F.collect_list("share"))[1].alias("share"))
     families = per_text.groupBy("key").agg(F.sum("share").alias("s")).where(F.col("s") >= int((min_docs - 0.5) * UNIT)).select("key")
-    return seen.join(stash.put(families), "key", "left_semi").select("text_key", "line").distinct()
+    return seen.join(stash.put(families), "key", "left_semi").select("t", "line").distinct()
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_constant: int = 4, constant_share: float = 0.6, lead: int = 2) -> DataFrame:
@@ -101,7 +125,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_constant: int = 4, cons
     stash = Stash(docs.sparkSession, "lines")
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     lines = stash.put(text_lines(docs.select("text"), lead))
-    gone = stash.put(recurring_lines(lines, stash, min_docs, min_constant, constant_share).groupBy("text_key").agg(F.collect_set("line").alias("_gone")))
+    found = recurring_lines(lines, stash, min_docs, min_constant, constant_share).groupBy("t").agg(F.collect_set("line").alias("_gone"))
+    gone = stash.put(found.join(lines.select("t", "text_key").distinct(), "t").drop("t"))
     stash.drop(lines)
     marked = docs.select(F.struct(*own).alias("_own"), "text", text_key("text").alias("text_key")).join(gone, "text_key", "left")  # apart, as names may clash
     all_lines, drop = F.split("text", "\n", -1), F.coalesce("_gone", F.array().cast("array<int>"))
