@@ -8,8 +8,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.common import Stash
 
@@ -36,6 +38,7 @@ BESIDE = frozenset("area bar block bottom box container form group inner item it
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: A node of every page: it recurs where a host has pages enough to count.
 ROOT = 0
+MAIN, SUSPECT = 1, 2
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -112,24 +115,29 @@ class Page:
     def _ruled(around: list[_Open]) -> bool:
         return bool(around) and around[-1].ruled
 
-    def rows(self) -> list[dict]:
-        """``text`` (main text only), ``n`` characters, ``h`` its hash, ``main``, ``suspect`` and ``nodes`` of each block.
+    def row(self, host: int = 0) -> tuple:
+        """``main, sizes, hashes, kinds, of, nodes`` of the page, as in ``PARSED``; what is counted is told by ``host`` too.
 
-        Nodes are the subtrees around the block by all they hold. Outside the main region, and for suspect
-        elements, they are also told by their path of names and labels, apart from any words, so that
-        furniture whose words change recurs too; elements that wrap the main region aren't.
+        ``main`` is the main text, packed, a line for each of its blocks, and ``sizes`` and ``hashes`` are
+        these blocks'. ``kinds`` says of each block whether it is main text (MAIN), and of a suspect element
+        (SUSPECT), ``of`` which of the page's ``nodes`` it lies in. Nodes are the subtrees around blocks by
+        all they hold. Outside the main region, and for suspect elements, they are also told by their path
+        of names and labels, apart from any words, so that furniture whose words change recurs too;
+        elements that wrap the main region aren't. The first node is ROOT, the page itself.
         """
-        out = []
+        texts, hashes, kinds, of, known = [], [], [], [], {ROOT ^ host: 0}
         for text, around in self.blocks:
             region = self._region(around)
             main = not self._ruled(around) and (region == self._best or region == 1.5 and self._best > 0)
             inner = [x for x in around if x.name not in ("html", "body", "article", "main")]
-            nodes = [_signed(x.digest) for x in inner]
             suspects = around[-1].suspects if around else ()
-            nodes += [_signed(x.shape) for x in (suspects if main else inner) if not x.wraps]
-            h = xxhash.xxh3_64_intdigest(text.encode())
-            out.append({"text": text if main else None, "n": len(text), "h": _signed(h), "main": main, "suspect": main and bool(suspects), "nodes": nodes})
-        return out
+            nodes = [x.digest for x in inner] + [x.shape for x in (suspects if main else inner) if not x.wraps]
+            of.append([known.setdefault(x ^ host, len(known)) for x in nodes])
+            kinds.append(main * (MAIN + SUSPECT * bool(suspects)))
+            if main:
+                texts.append(text)
+                hashes.append(_signed(xxhash.xxh3_64_intdigest(text.encode()) ^ host))
+        return zstandard.compress("\n".join(texts).encode("utf-8", "surrogatepass")), [len(t) for t in texts], hashes, kinds, of, [_signed(x) for x in known]
 
     def _flush(self) -> None:
         if self._text:
@@ -242,11 +250,11 @@ class Page:
         self._flush()
 
 
-PARSED = "page_id long, url string, host long, blocks array<struct<text:string,n:int,h:long,main:boolean,suspect:boolean,nodes:array<long>>>"
+PARSED = "page_id long, url string, known boolean, main binary, sizes array<int>, hashes array<long>, kinds array<int>, of array<array<int>>, nodes array<long>"
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` -> rows of ``PARSED``; ``host`` is a hash of the host's name."""
+    """``pages(page_id, url, html)`` -> rows of ``PARSED``; ``known`` is whether the address has a readable host."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -254,40 +262,45 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             for page_id, url, source in zip(batch["page_id"].array, batch["url"].array, batch["html"].array):
                 url = url if isinstance(url, str) else None
                 host = host_of(url)
-                blocks = Page(source if isinstance(source, str) else None).rows()
-                out.append((None if page_id is None or page_id != page_id else int(page_id), url, None if host is None else _signed(xxhash.xxh3_64_intdigest(host.encode())), blocks))
-            rows = pd.DataFrame(out, columns=["page_id", "url", "host", "blocks"])
-            for k in ("page_id", "host"):
-                rows[k] = pd.array([x[0 if k == "page_id" else 2] for x in out], "Int64")
+                page = Page(source if isinstance(source, str) else None)
+                out.append((page_id, url, host is not None, *page.row(xxhash.xxh3_64_intdigest(host.encode()) if host else 0)))
+            rows = pd.DataFrame(out, columns=[x.split()[0] for x in PARSED.split(", ")])
+            rows["page_id"] = pd.array([None if x is None or x != x else int(x) for x in rows["page_id"]], "Int64")
             yield rows
 
     return pages.select("page_id", "url", "html").mapInPandas(run, PARSED)
 
 
 def signed_pages(parsed: DataFrame, min_pages: int = 10) -> DataFrame:
-    """``row, host, nodes, sig`` of each row with a known host; ``sig`` is a hash of the page's longest block of main text that is on fewer
+    """``row, nodes, sig`` of each row with a known host; ``sig`` is a hash of the page's longest block of main text that is on fewer
     than ``min_pages`` pages of its host, or of all its blocks if there is none. Boilerplate signs no page, however long it is."""
-    known = parsed.where("host is not null")
-    texts = F.array_distinct(F.transform(F.filter("blocks", lambda b: b["main"]), lambda b: F.struct(b["n"].alias("n"), b["h"].alias("h"))))
-    each = known.select("row", "host", F.explode(texts).alias("x")).select("row", "host", "x.n", "x.h")
-    frequent = each.groupBy("host", "h").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).select("host", "h")
-    rare = each.join(frequent, ["host", "h"], "left_anti").groupBy("row").agg(F.max(F.struct("n", "h"))["h"].alias("rare"))
-    slim = known.select("row", "host", nodes_of("blocks").alias("nodes"), F.xxhash64(F.col("blocks.h")).alias("whole"))  # no texts in the shuffle
-    return slim.join(rare, "row", "left").select("row", "host", "nodes", F.coalesce("rare", "whole").alias("sig"))
-
-
-def nodes_of(blocks: str) -> F.Column:
-    return F.array_distinct(F.concat(F.array(F.lit(ROOT).cast("long")), F.flatten(F.col(f"{blocks}.nodes"))))
+    known = parsed.where("known")
+    each = known.select("row", F.explode(F.array_distinct(F.arrays_zip(F.col("sizes").alias("n"), F.col("hashes").alias("h")))).alias("x")).select("row", "x.n", "x.h")
+    frequent = each.groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).select("h")
+    rare = each.join(frequent, "h", "left_anti").groupBy("row").agg(F.max(F.struct("n", "h"))["h"].alias("rare"))
+    return known.select("row", "nodes", F.xxhash64("hashes").alias("whole")).join(rare, "row", "left").select("row", "nodes", F.coalesce("rare", "whole").alias("sig"))
 
 
 def host_templates(signed: DataFrame, min_pages: int = 10) -> DataFrame:
-    """``host, node``: the subtrees in ``min_pages`` or more different pages of a host, however large it is.
+    """``node``: the subtrees in ``min_pages`` or more different pages of their host, however large it is.
 
     Pages with the same signature (``signed_pages``) count as one, so that an article isn't a template
     because its page was copied. Counted in Spark with partial sums before each shuffle; pages without a host don't count.
     """
-    each = signed.select("host", F.explode("nodes").alias("node"), "sig").distinct()
-    return each.groupBy("host", "node").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages).select("host", "node")
+    each = signed.select(F.explode("nodes").alias("node"), "sig").distinct()
+    return each.groupBy("node").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages).select("node")
+
+
+def _kept(main: pd.Series, kinds: pd.Series, of: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    """The text that is left of each page, its characters, blocks and template blocks."""
+    out = []
+    for packed, kind, nodes, lost in zip(main, kinds, of, gone):
+        lost = set() if lost is None else set(lost)
+        countable, template = 0 in lost, [not lost.isdisjoint(x) for x in nodes]
+        lines = iter(zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n"))
+        text = "\n".join([line for k, t, line in ((k, t, next(lines)) for k, t in zip(kind, template) if k) if not t and (countable or not k & SUSPECT)])
+        out.append((text, len(text), len(template), sum(template)))
+    return pd.DataFrame(out, columns=["text", "n_chars", "n_blocks", "n_template_blocks"])
 
 
 def extract_text(pages: DataFrame, min_pages: int = 10) -> DataFrame:
@@ -307,15 +320,9 @@ def extract_text(pages: DataFrame, min_pages: int = 10) -> DataFrame:
     parsed = stash.put(parse_pages(pages).withColumn("row", F.monotonically_increasing_id()))
     signed = stash.put(signed_pages(parsed, min_pages))
     templates = stash.put(host_templates(signed, min_pages))
-    found = signed.select("row", "host", F.explode("nodes").alias("node")).join(templates, ["host", "node"], "left_semi")
-    gone = stash.put(found.groupBy("row").agg(F.collect_set("node").alias("gone")))
+    found = signed.select("row", F.posexplode("nodes").alias("i", "node")).join(templates, "node", "left_semi")
+    gone = stash.put(found.groupBy("row").agg(F.collect_set("i").alias("gone")))
     stash.drop(signed)
-    none = F.array().cast("array<long>")
-    joined = parsed.join(gone, "row", "left").withColumn("gone", F.coalesce("gone", none))
-    template = lambda b: F.arrays_overlap(b["nodes"], F.col("gone"))
-    countable = F.array_contains("gone", F.lit(ROOT).cast("long"))
-    kept = F.filter("blocks", lambda b: b["main"] & ~template(b) & (~b["suspect"] | countable))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return joined.select("page_id", "url", text.alias("text"), F.size("blocks").alias("n_blocks"), F.size(F.filter("blocks", template)).alias("n_template_blocks")).select(
-        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_blocks", "n_template_blocks"
-    )
+    kind = T.StructType.fromDDL("text string, n_chars long, n_blocks int, n_template_blocks int")
+    joined = parsed.select("row", "page_id", "url", "main", "kinds", "of").join(gone.hint("merge"), "row", "left")  # texts travel once, packed, at any size
+    return joined.select("page_id", "url", F.pandas_udf(_kept, kind)("main", "kinds", "of", "gone").alias("x")).select("page_id", "url", "x.*")

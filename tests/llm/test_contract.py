@@ -146,13 +146,37 @@ def test_html_counting_against_brute_force(spark, ties):
     rng, rows = random.Random(5), []
     for i in range(200):
         nodes = rng.sample(range(1, 40), 6) + ([100] if i < ties else [])
-        rows.append((i, rng.randrange(3) if i >= ties else 7, [0, *nodes], rng.randrange(60) if i >= ties else i))
-    got = {(r["host"], r["node"]) for r in html_text.host_templates(spark.createDataFrame(rows, "row long, host long, nodes array<long>, sig long")).collect()}
+        rows.append((i, [0, *nodes], rng.randrange(60) if i >= ties else i))
+    got = {r["node"] for r in html_text.host_templates(spark.createDataFrame(rows, "row long, nodes array<long>, sig long")).collect()}
     seen = {}
-    for _, host, nodes, sig in rows:
+    for _, nodes, sig in rows:
         for x in nodes:
-            seen.setdefault((host, x), set()).add(sig)
-    assert got == {k for k, v in seen.items() if len(v) >= 10} and ((7, 100) in got) == (ties == 10)
+            seen.setdefault(x, set()).add(sig)
+    assert got == {k for k, v in seen.items() if len(v) >= 10} and (100 in got) == (ties == 10)
+
+
+def test_html_signatures_against_brute_force(spark):
+    rng, pages = random.Random(6), []
+    for i in range(120):
+        blocks = [rng.choice(["same notice " * 30, "other notice " * 20, "short"])] + [f"story {rng.randrange(40)} " + "word " * rng.randrange(9) for _ in range(rng.randrange(3))]
+        pages.append((i, rng.choice(["http://a.x/", "http://b.x/"]), "<body>" + "".join(f"<p>{b}</p>" for b in blocks) + "</body>", blocks))
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    parsed = html_text.parse_pages(df).withColumn("row", F.col("page_id"))
+    got = {r["row"]: r["sig"] for r in html_text.signed_pages(parsed).collect()}
+    clean = lambda b: " ".join(b.split())
+    count = {}
+    for _, url, _, blocks in pages:
+        for b in {clean(b) for b in blocks}:
+            count[url, b] = count.get((url, b), 0) + 1
+    told = {}
+    for i, url, _, blocks in pages:
+        rare = [clean(b) for b in blocks if count[url, clean(b)] < 10]
+        longest = max(map(len, rare), default=0)
+        told[i] = (url, frozenset(b for b in rare if len(b) == longest) or tuple(map(clean, blocks)))
+    for i in told:
+        for j in told:
+            if got[i] == got[j]:  # one signature: a longest rare block in common, or the same blocks throughout
+                assert told[i][0] == told[j][0] and (told[i][1] == told[j][1] or told[i][1] & told[j][1])
 
 
 def test_html_very_long_page(spark):
