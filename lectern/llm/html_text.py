@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Iterator
 
@@ -39,6 +40,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: A node of every page: it recurs where a host has pages enough to count.
 ROOT = 0
 MAIN, SUSPECT = 1, 2
+#: How hard pages are packed for their way.
+PACKING = 9
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -116,11 +119,11 @@ class Page:
         return bool(around) and around[-1].ruled
 
     def row(self, host: int = 0) -> tuple:
-        """``main, sizes, hashes, kinds, of, nodes`` of the page, as in ``PARSED``; what is counted is told by ``host`` too.
+        """``page, sizes, hashes, nodes`` of the page, as in ``PARSED``; what is counted is told by ``host`` too.
 
-        ``main`` is the main text, packed, a line for each of its blocks, and ``sizes`` and ``hashes`` are
-        these blocks'. ``kinds`` says of each block whether it is main text (MAIN), and of a suspect element
-        (SUSPECT), ``of`` which of the page's ``nodes`` it lies in. Nodes are the subtrees around blocks by
+        ``page`` is packed: a line of JSON that says of each block whether it is main text (MAIN), and of a
+        suspect element (SUSPECT), and which of the page's ``nodes`` it lies in; then the main text, a line
+        for each of its blocks, whose ``sizes`` and ``hashes`` stand apart. Nodes are the subtrees around blocks by
         all they hold. Outside the main region, and for suspect elements, they are also told by their path
         of names and labels, apart from any words, so that furniture whose words change recurs too;
         elements that wrap the main region aren't. The first node is ROOT, the page itself.
@@ -137,7 +140,8 @@ class Page:
             if main:
                 texts.append(text)
                 hashes.append(_signed(xxhash.xxh3_64_intdigest(text.encode()) ^ host))
-        return zstandard.compress("\n".join(texts).encode("utf-8", "surrogatepass")), [len(t) for t in texts], hashes, kinds, of, [_signed(x) for x in known]
+        packed = "\n".join([json.dumps([kinds, of], separators=(",", ":")), *texts]).encode("utf-8", "surrogatepass")
+        return zstandard.compress(packed, PACKING), [len(t) for t in texts], hashes, [_signed(x) for x in known]
 
     def _flush(self) -> None:
         if self._text:
@@ -250,7 +254,7 @@ class Page:
         self._flush()
 
 
-PARSED = "page_id long, url string, known boolean, main binary, sizes array<int>, hashes array<long>, kinds array<int>, of array<array<int>>, nodes array<long>"
+PARSED = "page_id long, url string, known boolean, page binary, sizes array<int>, hashes array<long>, nodes array<long>"
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -291,14 +295,15 @@ def host_templates(signed: DataFrame, min_pages: int = 10) -> DataFrame:
     return each.groupBy("node").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages).select("node")
 
 
-def _kept(main: pd.Series, kinds: pd.Series, of: pd.Series, gone: pd.Series) -> pd.DataFrame:
+def _kept(page: pd.Series, gone: pd.Series) -> pd.DataFrame:
     """The text that is left of each page, its characters, blocks and template blocks."""
     out = []
-    for packed, kind, nodes, lost in zip(main, kinds, of, gone):
+    for packed, lost in zip(page, gone):
+        head, *lines = zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+        kinds, nodes = json.loads(head)
         lost = set() if lost is None else set(lost)
-        countable, template = 0 in lost, [not lost.isdisjoint(x) for x in nodes]
-        lines = iter(zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n"))
-        text = "\n".join([line for k, t, line in ((k, t, next(lines)) for k, t in zip(kind, template) if k) if not t and (countable or not k & SUSPECT)])
+        countable, template, said = 0 in lost, [not lost.isdisjoint(x) for x in nodes], iter(lines)
+        text = "\n".join([line for k, t, line in ((k, t, next(said)) for k, t in zip(kinds, template) if k) if not t and (countable or not k & SUSPECT)])
         out.append((text, len(text), len(template), sum(template)))
     return pd.DataFrame(out, columns=["text", "n_chars", "n_blocks", "n_template_blocks"])
 
@@ -324,5 +329,5 @@ def extract_text(pages: DataFrame, min_pages: int = 10) -> DataFrame:
     gone = stash.put(found.groupBy("row").agg(F.collect_set("i").alias("gone")))
     stash.drop(signed)
     kind = T.StructType.fromDDL("text string, n_chars long, n_blocks int, n_template_blocks int")
-    joined = parsed.select("row", "page_id", "url", "main", "kinds", "of").join(gone.hint("merge"), "row", "left")  # texts travel once, packed, at any size
-    return joined.select("page_id", "url", F.pandas_udf(_kept, kind)("main", "kinds", "of", "gone").alias("x")).select("page_id", "url", "x.*")
+    joined = parsed.select("row", "page_id", "url", "page").join(gone.hint("merge"), "row", "left")  # texts travel once, packed, at any size
+    return joined.select("page_id", "url", F.pandas_udf(_kept, kind)("page", "gone").alias("x")).select("page_id", "url", "x.*")
