@@ -24,7 +24,7 @@ RUN = 1 << 20
 #: Hashes that a task remembers, so as to keep one text of each.
 SEEN = 1 << 20
 #: Seeds of a bucket that are compared in one place; more are dealt out.
-CROWD = 4096
+CROWD = 8192
 #: Rounds in which a bucket's passages are held against one leader, before what is still apart is compared in blocks.
 LEADERS = 2
 #: Passages of a bucket that are compared with so many others at once.
@@ -261,7 +261,7 @@ class _Rows:
 
 def _compared(rows: DataFrame, span: int) -> DataFrame:
     """``rows`` (as ``_SEEDS``, with ``salt``), a group of ``g`` and ``salt`` in one place -> ``_FOUND``: hits (kind 0), and of
-    salted groups the leaders (kind 1) and the ``g`` of those in which some seed is unlike its leader (kind 2)."""
+    salted groups the leaders (kind 1) and the seeds that are unlike their leader (kind 2)."""
     names = [x.split()[0] for x in _FOUND.split(", ")]
 
     def one(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -270,15 +270,14 @@ def _compared(rows: DataFrame, span: int) -> DataFrame:
         leaders, unlike = x.compare()
         none = pa.nulls
         hit = x.found()
-        n, m, marks = len(hit[0]), len(leaders), np.unique(g[unlike])
+        n = len(hit[0])
         own = [pa.array(np.zeros(n, np.int32)), pa.array(hit[1]), *(pa.array(v.astype(np.int32)) for v in hit[2:4]), pa.array(hit[4])]
         yield pa.RecordBatch.from_arrays([*own, none(n, pa.int64()), none(n, pa.int32()), pa.array(hit[0]), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.binary())], names)
-        for kind, k, rest in (
-            (1, m, [pa.array(g[leaders]), pa.array(side[leaders]), pa.array(row[leaders]), pa.array(doc[leaders]), pa.array(at[leaders]), _binary(near[leaders])]),
-            (2, len(marks), [pa.array(marks), none(len(marks), pa.int32()), *[none(len(marks), pa.int64())] * 2, none(len(marks), pa.int32()), none(len(marks), pa.binary())]),
-        ):
+        for kind, of in ((1, leaders), (2, unlike)):
+            k = len(of)
             if k:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), none(k, pa.bool_()), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int64()), *rest], names)
+                head = [pa.array(np.full(k, kind, np.int32)), none(k, pa.bool_()), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*head, *(pa.array(v[of]) for v in (g, side, row, doc, at)), _binary(near[of])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -337,8 +336,9 @@ def shared_runs(texts: DataFrame, stash: Stash, span: int = MIN_WORDS, crowd: in
     least document. Where one has no such run in common with that, all of the bucket's runs around the seed
     are compared with each other, by their hashes. So around each seed of each run that any other document
     has a run is found, without pairs; it goes as far as with the least such document. Buckets of more than
-    ``crowd`` seeds are dealt out at random: their leaders then meet in a second round, and where some seed
-    is unlike its leader all runs around the bucket's seeds do, by their hashes. Words beside the seed are compared by one byte each: a run may go a word too far (1 in 255).
+    ``crowd`` seeds are dealt out at random: their leaders then meet in a second round, and the runs around
+    seeds that are unlike their leader are looked up among all runs of the bucket, by their hashes. Words
+    beside the seed are compared by one byte each: a run may go a word too far (1 in 255).
     """
     reach = span - SHINGLE
     side = -(-reach // 2)
@@ -360,13 +360,12 @@ def shared_runs(texts: DataFrame, stash: Stash, span: int = MIN_WORDS, crowd: in
         leaders = first.where("kind = 1").select("g", "side", F.lit(True).alias("salted"), *flat[3:], F.lit(0).cast("long").alias("salt"))
         second = stash.put(_compared(leaders, span))
         found.append(second.where("kind = 0").select(*columns))
-        marked = stash.put(first.union(second).where("kind = 2").select("g").distinct())
-        each = stash.put(_runs_around(rows.where("salted").join(marked, "g", "left_semi"), span))
-        least = stash.put(each.groupBy("run").agg(F.min(F.struct("doc", "row", "start")).alias("x"), F.max("doc").alias("hi")).where("x.doc <> hi"))
-        pairs = each.join(least, "run").where("doc <> x.doc")
-        for row, start, other, lower in (("row", "start", "x.doc", True), ("x.row", "x.start", "doc", False)):
-            at = F.col(start)
-            found.append(pairs.select(F.col(row).alias("row"), F.lit(lower).alias("lower"), at.alias("start"), (at + span).alias("end"), F.col(other).alias("other")))
+        unlike = stash.put(first.union(second).where("kind = 2").select("g", *flat[3:]).dropDuplicates(["g", "row", "at"]))
+        every_run = _runs_around(rows.where("salted").join(unlike.select("g").distinct(), "g", "left_semi"), span)
+        shared = stash.put(every_run.groupBy("run").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi"))
+        lower = F.col("doc") > F.col("lo")
+        own = _runs_around(unlike, span).join(shared, "run").select("row", lower.alias("lower"), "start", (F.col("start") + span).alias("end"), F.when(lower, F.col("lo")).otherwise(F.col("hi")).alias("other"))
+        found.append(own)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
