@@ -24,15 +24,16 @@ def catalogue_rows(files: DataFrame, board: str, qualification: str, code: str)
 
 
 def store_new(batch: DataFrame, target: str) -> None:
-    """Appends the rows whose path isn't stored yet; a batch that is run again adds nothing."""
+    """Appends the rows whose path isn't stored yet; a batch that is run again adds nothing.
+
+    Only the stored table's paths are read. One writer at a time: a stream's batches follow each other.
+    """
     spark = batch.sparkSession
-    try:
-        stored = spark.read.parquet(target).select("path")
-    except Exception as missing:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-            raise
-        stored = spark.createDataFrame([], "path string")
-    batch.dropDuplicates(["path"]).join(stored, "path", "left_anti").write.mode("append").parquet(target)
+    at = spark._jvm.org.apache.hadoop.fs.Path(target)
+    new = batch.dropDuplicates(["path"])
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        new = new.join(spark.read.schema("path string").parquet(target), "path", "left_anti")
+    new.write.mode("append").parquet(target)
 
 
 def catalogue_stream(files: DataFrame, target: str, checkpoint: str, board: str, qualification: str, code: str) -> StreamingQuery:

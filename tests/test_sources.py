@@ -35,6 +35,55 @@ def test_pdf_scan(spark, tmp_path):
     assert (image["x"], image["y"], image["width"], image["height"]) == (0.0, 792.0, 100.0, 50.0)
 
 
+def stream(number, head, data):
+    packed = zlib.compress(data)
+    return b"%d 0 obj << %s /Length %d /Filter /FlateDecode >> stream\n" % (number, head, len(packed)) + packed + b"\nendstream endobj"
+
+
+def rich_pdf():
+    """Two pages below an inner node: a composite font, a font with widths, a form that paints an image, an inline image, a hidden object."""
+    cmap = b"begincmap 1 beginbfchar <0003> <00480069> endbfchar 1 beginbfrange <0010> <0012> <0041> endbfrange endcmap"
+    one = b"BT /T0 10 Tf 1 0 0 1 50 700 Tm <000300100012> Tj ET BT /F1 20 Tf 2 Tc 50 600 Td (AB) Tj 100 Tz [(A) 500 (B)] TJ ET q 2 0 0 2 0 0 cm /Fm Do Q"
+    two = b"q 10 0 0 10 5 5 cm BI /W 1 /H 1 ID \x01) EI Q 0 0 100 50 re f"
+    hidden = b"20 0 << /N 3 >>"
+    parts = [
+        b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj",
+        b"2 0 obj << /Type /Pages /Kids [3 0 R] /Count 2 /MediaBox [0 0 600 800] /Resources << /Font << /T0 6 0 R /F1 9 0 R >> /XObject << /Fm 10 0 R >> >> >> endobj",
+        b"3 0 obj << /Type /Pages /Parent 2 0 R /Kids [4 0 R 5 0 R] >> endobj",
+        b"5 0 obj << /Type /Page /Parent 3 0 R /Contents [13 0 R] >> endobj",
+        b"4 0 obj << /Type /Page /Parent 3 0 R /Contents 12 0 R >> endobj",
+        b"6 0 obj << /Type /Font /Subtype /Type0 /BaseFont /ABCDEF+Times-Roman /DescendantFonts [7 0 R] /ToUnicode 8 0 R >> endobj",
+        b"7 0 obj << /Type /Font /DW 500 /W [3 [1000] 16 17 250] >> endobj",
+        stream(8, b"", cmap),
+        b"9 0 obj << /Type /Font /Subtype /Type1 /BaseFont /Helvetica /FirstChar 65 /Widths [600 700] >> endobj",
+        stream(10, b"/Type /XObject /Subtype /Form /Matrix [1 0 0 1 30 40] /Resources << /XObject << /Im 11 0 R >> >>", b"q 5 0 0 5 0 0 cm /Im Do Q"),
+        stream(11, b"/Subtype /Image /Width 2 /Height 1 /BitsPerComponent 8 /ColorSpace [/ICCBased 20 0 R]", b"\x01\x02\x03\x04\x05\x06"),
+        stream(12, b"", one),
+        stream(13, b"", two),
+        stream(14, b"/Type /ObjStm /N 1 /First 5", hidden),
+    ]
+    return b"%PDF-1.5\n" + b"\n".join(parts) + b"\n%%EOF"
+
+
+def test_pdf_fonts_forms_and_images(spark, tmp_path):
+    (tmp_path / "rich.pdf").write_bytes(rich_pdf())
+    pages = pdf.scan(spark, str(tmp_path)).cache()
+    assert [(r["page"], r["height"], r["error"]) for r in pages.orderBy("page").collect()] == [(1, 800.0, None), (2, 800.0, None)]
+    runs = [(r["text"], r["font_family"], r["x"], r["y"], round(r["width"], 6)) for r in pdf.text_elements(pages).orderBy("page", "ord").collect()]
+    assert runs == [("HiAC", "serif", 50.0, 90.0, 17.5), ("AB", "sans-serif", 50.0, 180.0, 30.0), ("AB", "sans-serif", 80.0, 180.0, 20.0)]
+    fns = [(r["page"], r["fn"]) for r in pdf.operation_list(pages).orderBy("page", "op_idx").collect()]
+    assert fns == [(1, f) for f in ("save", "transform", "paintFormXObjectBegin", "save", "transform", "paintImageXObject", "restore", "paintFormXObjectEnd", "restore")] + [
+        (2, f) for f in ("save", "transform", "paintInlineImageXObject", "restore", "constructPath")
+    ]
+    found = pdf.page_elements(pages)
+    (image,) = found["images"].collect()
+    assert (image["element_id"], image["x"], image["y"], image["width"], image["height"], bytes(image["pixels"])) == ("1-image-0", 60.0, 710.0, 10.0, 10.0, b"\x01\x02\x03\x04\x05\x06")
+    (png,) = store.image_files(found["images"].selectExpr("path", "page", "n", "px_width as width", "px_height as height", "pixels")).collect()
+    assert png["image_path"].endswith("rich.images/page-1-image-0.png")
+    (drawing,) = found["drawings"].collect()
+    assert (drawing["page"], drawing["y"], drawing["width"], drawing["height"]) == (2, 750.0, 100.0, 50.0)
+
+
 def test_images_and_sidecars(spark):
     rows = [("a/b.pdf", 1, 0, 2, 1, b"\x01\x02\x03\x04\x05\x06"), ("a/b.pdf", 1, 1, 2, 1, b"12"), ("a/b.pdf", 2, 0, 1, 1, None)]
     got = store.image_files(spark.createDataFrame(rows, "path string, page int, n int, width int, height int, pixels binary")).collect()
