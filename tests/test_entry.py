@@ -23,11 +23,17 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 1500
 
 
-def test_the_rest_stands_without_the_training_data_operators(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", ".pytest_cache"))
+@pytest.mark.parametrize("gone", [["llm", "corpus_pipeline.py"], ["llm"]])
+def test_the_rest_stands_without_the_training_data_operators(tmp_path, gone):
+    """Entry and the tests that are left run with the folders deleted, whether or not the pipeline's file is."""
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(*gone, ".git", "__pycache__", ".pytest_cache"))
     code = "import __spark_entry__ as e; print(len(e.queries()), sorted(x for x in e.queries() if x.startswith('op') and x[2].isdigit()), 'pipeline' in e.queries())"
-    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    run = lambda *args: subprocess.run([sys.executable, "-B", *args], cwd=tmp_path / "r", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    out = run("-c", code)
     assert out.stdout.strip() == f"{len(registry.queries())} [] False", out.stderr
+    if len(gone) > 1:
+        out = run("-m", "pytest", "-q", "-p", "no:cacheprovider", "tests", "--co")
+        assert out.returncode == 0 and "error" not in out.stdout, out.stdout
 
 
 def rows(frame):
