@@ -141,14 +141,46 @@ def link_title(text: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(bare, f"{S}+", " "), r"^ | \z", ""), F.lit(""))
 
 
+def fold_dots(path: Column) -> Column:
+    """A rooted path with '.' and '..' parts worked off; '..' stops at the root, and a last dot part leaves a slash."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
+    last = F.element_at(parts, -1)
+    drop = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", drop(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    folded = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|\z)"), folded).otherwise(path)
+
+
 def resolve_url(href: Column, base: Column) -> Column:
-    """Absolute, protocol-relative, root-relative and plain relative links against ``base``; dots aren't folded."""
+    """A link against ``base``: absolute, protocol-relative, root-relative and relative ones, dot parts folded, a bare query or fragment, and '' for the page itself."""
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     folder = F.regexp_replace(url_path(base), r"[^/]*\z", "")
+    path, tail = F.regexp_replace(href, r"[?#](?s:.*)\z", ""), F.regexp_extract(href, r"([?#](?s:.*))\z", 1)
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    far = F.regexp_extract(href, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    whole = F.when((far != "") & path.rlike(r"/\.\.?(/|\z)"), F.concat(far, fold_dots(url_path(href)), tail)).otherwise(href)
     return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), whole)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .otherwise(F.concat(origin, folder, href))
+        .when(path.startswith("/"), F.concat(origin, fold_dots(path), tail))
+        .when(path != "", F.concat(origin, fold_dots(F.concat(folder, path)), tail))
+        .when(tail.startswith("?"), F.concat(origin, url_path(base), tail))
+        .otherwise(F.concat(origin, url_path(base), query, tail))
     )
+
+
+# Fixed value: the address of the page that lists a subject's past papers.
+COURSE_PAGE = "https://www.savemyexams.com/%s/%s/cie/past-papers/"
+
+
+def course_url(qualification: Column, subject: Column) -> Column:
+    return F.format_string(COURSE_PAGE, qualification, subject)
+
+
+# Versions of the records that each step makes.
+VERSIONS = {"document": "0.2.0", "questions": "0.2.0", "mark_scheme": "0.1.0", "examiner_report": "0.1.0", "syllabus": "0.1.0", "topics": "0.1.0", "knowledge": "0.1.0"}
+
+
+def version_of(step: str) -> Column:
+    return F.lit(VERSIONS[step])

@@ -31,22 +31,33 @@ AO_WEIGHT = rf"^(AO[0-9]){S}+.+?{S}+([0-9]+)\z"
 SUBJECT_HEADING = rf"^(.*?){S}*\(([A-Za-z0-9_-]+)\){S}*\z"
 
 
+#: The characters of SPACE_CHARS one by one.
+SPACES = "".join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^{S}+|{S}+\z", "")
+    """Looks at a text's ends alone, not at all of it as a pattern does."""
+    return F.trim(x, F.lit(SPACES))
 
 
 def extract(x: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match; null without one (an empty group is '')."""
-    return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, group))
+    """The group of the first match; null without one (an empty group is ''). The pattern runs once."""
+    return F.get(F.regexp_extract_all(x, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def extract_int(x: Column, pattern: str, group: int = 1) -> Column:
     return extract(x, pattern, group).try_cast("int")
 
 
+def ends_in_bracket(x: Column) -> Column:
+    """Whether a trimmed text may end in marks: only then are their patterns run."""
+    return F.endswith(x, F.lit("]"))
+
+
 def strip_marks(x: Column) -> Column:
     """Without a closing total and then a closing marks bracket, trimmed."""
-    return trim(F.regexp_replace(F.regexp_replace(x, TOTAL_MARKS, ""), MARKS, ""))
+    bare = trim(x)
+    return F.when(ends_in_bracket(bare), trim(F.regexp_replace(F.regexp_replace(bare, TOTAL_MARKS, ""), MARKS, ""))).otherwise(bare)
 
 
 def round_half_up(x: Column) -> Column:

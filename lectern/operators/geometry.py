@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lectern.operators.lines import unique_positions
 
@@ -157,28 +158,40 @@ def transformed_box(m: Column, x0: Column, y0: Column, x1: Column, y1: Column) -
     return [F.least(*xs).alias("x"), F.least(*ys).alias("y"), (F.greatest(*xs) - F.least(*xs)).alias("width"), (F.greatest(*ys) - F.least(*ys)).alias("height")]
 
 
+IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+def _matrices(names: list[str], args: list) -> np.ndarray:
+    """The current matrix before each operation of a page, six numbers each; one pass with a stack."""
+    now, stack, out = IDENTITY, [], np.empty((len(names), 6))
+    for i, (name, m) in enumerate(zip(names, args)):
+        out[i] = now
+        if name in ("save", "paintFormXObjectBegin"):
+            stack.append(now)
+        elif name in ("restore", "paintFormXObjectEnd"):
+            now = stack.pop() if stack else IDENTITY
+        if name in ("transform", "paintFormXObjectBegin") and m is not None and len(m) == 6 and not any(x is None for x in m):
+            a, b, c, d, e, f = map(float, m)
+            A, B, C, D, E, G = now
+            now = (a * A + b * C, a * B + b * D, c * A + d * C, c * B + d * D, e * A + f * C + E, e * B + f * D + G)
+    return out.ravel()
+
+
 def track_ctm(operations: DataFrame) -> DataFrame:
     """Adds ``ctm``, the current matrix before each operation takes effect.
 
     A fold over a page's operations: save pushes, restore pops (the identity from an empty stack),
     transform multiplies from the left, a form pushes and multiplies when it begins, and pops at its end.
+    A page is one row of arrays, worked off in one pass; a batch of the function holds many pages.
     """
-    op = F.struct("op_idx", "fn", to_matrix(F.col("args")).alias("m"), "args")
+    more = [c for c in ("name",) if c in operations.columns]
+    op = F.struct("op_idx", "fn", F.col("args").cast("array<double>").alias("args"), *more)
     pages = operations.groupBy("resource_id", "page").agg(F.array_sort(F.collect_list(op)).alias("ops"))
-    none = F.array().cast(f"array<{MATRIX}>")
-    start = F.struct(matrix().alias("now"), none.alias("stack"), none.alias("seen"))
-
-    def step(s: Column, o: Column) -> Column:
-        push = o["fn"].isin("save", "paintFormXObjectBegin")
-        pop = o["fn"].isin("restore", "paintFormXObjectEnd")
-        top = F.coalesce(F.get(s["stack"], F.size(s["stack"]) - 1), matrix())
-        moved = F.when(o["fn"].isin("transform", "paintFormXObjectBegin") & o["m"].isNotNull(), multiply(o["m"], s["now"])).otherwise(s["now"])
-        stack = F.when(push, F.concat(s["stack"], F.array(s["now"]))).when(pop, F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0)))).otherwise(s["stack"])
-        return F.struct(F.when(pop, top).otherwise(moved).alias("now"), stack.alias("stack"), F.concat(s["seen"], F.array(s["now"])).alias("seen"))
-
-    folded = pages.withColumn("seen", F.aggregate("ops", start, step, lambda s: s["seen"]))
-    rows = folded.select("resource_id", "page", F.explode(F.arrays_zip(F.col("ops").alias("o"), F.col("seen").alias("ctm"))).alias("z"))
-    return rows.select("resource_id", "page", "z.o.op_idx", "z.o.fn", "z.o.args", "z.ctm")
+    fold = F.pandas_udf(lambda fn, args: pd.Series([_matrices(n, a) for n, a in zip(fn, args)], dtype=object), T.ArrayType(T.DoubleType()))
+    folded = pages.withColumn("seen", fold(F.col("ops.fn"), F.col("ops.args")))
+    rows = folded.select("resource_id", "page", "seen", F.posexplode("ops").alias("i", "o"))
+    ctm = matrix(*[F.get("seen", F.col("i") * 6 + k) for k in range(6)])
+    return rows.select("resource_id", "page", "o.op_idx", "o.fn", "o.args", *[f"o.{c}" for c in more], ctm.alias("ctm"))
 
 
 def path_boxes(tracked: DataFrame, viewport: Column | None = None) -> DataFrame:
@@ -189,6 +202,19 @@ def path_boxes(tracked: DataFrame, viewport: Column | None = None) -> DataFrame:
     return rows.select("resource_id", "page", F.col("op_idx").alias("ord"), *transformed_box(F.col("_m"), *a))
 
 
+def image_elements(tracked: DataFrame, viewport: Column | None = None) -> DataFrame:
+    """Images of pages: ``resource_id, page, n, element_id, name, x, y, width, height``.
+
+    The unit square through the current matrix and the viewport's. Operations without an object ``name``
+    are skipped; the rest are numbered in paint order, before any of them turns out to have no pixels.
+    """
+    m = F.col("ctm") if viewport is None else multiply(F.col("ctm"), viewport)
+    rows = tracked.where(F.col("fn").isin(*IMAGE_OPERATORS) & F.col("name").isNotNull()).withColumn("_m", m)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("resource_id", "page").orderBy("op_idx")) - 1)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return rows.select("resource_id", "page", "n", F.concat_ws("-", "page", F.lit("image"), "n").alias("element_id"), "name", *transformed_box(F.col("_m"), zero, zero, one, one))
+
+
 def image_boxes(tracked: DataFrame, viewport: Column | None = None) -> DataFrame:
     """Boxes of images: the unit square through the current matrix and the viewport's."""
     m = F.col("ctm") if viewport is None else multiply(F.col("ctm"), viewport)

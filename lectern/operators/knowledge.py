@@ -50,6 +50,20 @@ def marks_reconciled(parts: DataFrame, declared: DataFrame) -> DataFrame:
     return joined.select("key", "total", "sum_marks", (F.col("total") == F.col("sum_marks")).alias("agrees"))
 
 
+def question_marks_reconciled(nodes: DataFrame) -> DataFrame:
+    """``resource_id, q, total, sum_marks, agrees`` of questions that declare a total and have parts.
+
+    A part counts with its marks, or with the sum of its sub-parts' where it has none itself; missing
+    marks are 0. Questions without a total or without parts aren't judged.
+    """
+    own = nodes.where("level = 'question'").select("resource_id", "q", F.col("marks").alias("total")).where("total is not null")
+    part = nodes.where("level <> 'question'").groupBy("resource_id", "q", "p").agg(
+        F.max(F.when(F.col("level") == "part", F.col("marks"))).alias("part_marks"), F.sum(F.when(F.col("level") == "subpart", F.coalesce("marks", F.lit(0))).otherwise(0)).alias("sub_marks")
+    )
+    sums = part.groupBy("resource_id", "q").agg(F.sum(F.coalesce("part_marks", "sub_marks")).alias("sum_marks"))
+    return own.join(sums, ["resource_id", "q"]).select("resource_id", "q", "total", "sum_marks", (F.col("total") == F.col("sum_marks")).alias("agrees"))
+
+
 def sequence_breaks(rows: DataFrame, key: str, number: str, *order: str) -> DataFrame:
     """Whether the numbers of each key are first, first + 1, ...: ``key, n, first, sequential``."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -63,14 +77,25 @@ def coverage(records: DataFrame, *columns: str) -> DataFrame:
 
 
 def option_summary(nodes: DataFrame) -> DataFrame:
-    """``n_questions, n_with_options, n_four`` per document, from question nodes."""
-    n = F.when(F.col("options") == "", 0).otherwise(F.size(F.split("options", r"\|")))
+    """``n_questions, n_with_options, n_four, n_bad_labels`` per document, from question nodes.
+
+    Labels are bad unless they are A, B, C, D in order.
+    """
+    n, labels = F.size("options"), F.array_join(F.transform("options", lambda o: o["label"]), ",")
     return nodes.where("level = 'question'").groupBy("resource_id").agg(
-        F.count("*").alias("n_questions"), F.sum((n > 0).cast("int")).alias("n_with_options"), F.sum((n == 4).cast("int")).alias("n_four")
+        F.count("*").alias("n_questions"),
+        F.sum((n > 0).cast("int")).alias("n_with_options"),
+        F.sum((n == 4).cast("int")).alias("n_four"),
+        F.sum((labels != "A,B,C,D").cast("int")).alias("n_bad_labels"),
     )
 
 
+def top_rows(rows: DataFrame, keys: list[str], k: int, *order) -> DataFrame:
+    """The first ``k`` rows of each key by ``order``, with their ``rank``; the planner keeps k rows a key before the shuffle."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def ref_totals(nodes: DataFrame) -> DataFrame:
     """References to images, drawings and tables over all levels, per document."""
-    count = lambda c: F.sum(F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, ",")))).alias(c)
+    count = lambda c: F.sum(F.size(c)).alias(c)
     return nodes.groupBy("resource_id").agg(count("images"), count("drawings"), count("tables"))

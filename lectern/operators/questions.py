@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as rules
-from lectern.functions.text import extract, extract_int, ordered_join, strip_marks, trim
-from lectern.operators.lines import left_margin
+from lectern.functions.text import ends_in_bracket, extract, extract_int, strip_marks, trim
+from lectern.operators.lines import with_left_margin
 
 MARGIN_TOLERANCE = 5.0
 HEADER_Y = 60.0
@@ -16,28 +16,39 @@ KINDS = {"line": 0, "image": 1, "drawing": 2, "table": 3}
 
 
 def is_boilerplate(text: Column, y: Column) -> Column:
-    return text.rlike(rules.COPYRIGHT) | text.rlike(rules.BLANK_PAGE) | (text.rlike(rules.PAGE_NUMBER) & (y < HEADER_Y))
+    short = F.char_length(text) <= 40  # no other line can be one of these
+    return F.startswith(text, F.lit("©")) | short & text.rlike(rules.BLANK_PAGE) | (y < HEADER_Y) & short & text.rlike(rules.PAGE_NUMBER)
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
     """Adds ``role, content, question_number, part_label, nested_label, marks, total_marks, option_label, sub_ord``.
 
     The first rule that fits decides: boilerplate, sub-part, sub-sub-part, question number near the left
-    margin, four options in one line (four rows, sub_ord 0 to 3, without marks), one option, body.
+    margin, four options in one line (four rows, sub_ord 0 to 3, without marks), one option, body. Lines
+    are parted by document once, for the margin and for what follows; patterns are run only on lines whose
+    first or last character lets them fit.
     """
-    t = F.col("_t")
-    base = lines.join(left_margin(lines), "resource_id").withColumn("_t", trim(F.col("text")))
-    after_sub = trim(extract(t, rules.SUBPART, 2))
-    after_question = trim(extract(t, rules.QUESTION, 2))
+    t, first = F.col("_t"), F.substring("_t", 1, 1)
+    base = with_left_margin(lines).withColumn("_t", trim(F.col("text")))
+    bracket, digit, letter = first == "(", first.between("0", "9"), first.isin(*"ABCD")
+    base = base.withColumns(
+        {
+            "_sub": F.when(bracket, extract(t, rules.SUBPART)),
+            "_nested": F.when(bracket, extract(t, rules.SUBSUBPART)),
+            "_rest": F.when(digit, trim(extract(t, rules.QUESTION, 2))),
+        }
+    )
+    after_sub = F.when(bracket, trim(extract(t, rules.SUBPART, 2)))
+    after_question = F.col("_rest")
     after_embedded = trim(extract(after_question, rules.SUBPART, 2))
     null = F.lit(None).cast("string")
     role = (
         F.when(is_boilerplate(t, F.col("y")), "boilerplate")
-        .when(t.rlike(rules.SUBPART), "subpart")
-        .when(t.rlike(rules.SUBSUBPART), "subSubpart")
-        .when(t.rlike(rules.QUESTION) & (F.col("x") <= F.col("left_margin") + MARGIN_TOLERANCE), "questionNumber")
-        .when(t.rlike(rules.INLINE_OPTIONS), "inline")
-        .when(t.rlike(rules.OPTION), "option")
+        .when(F.col("_sub").isNotNull(), "subpart")
+        .when(F.col("_nested").isNotNull(), "subSubpart")
+        .when(after_question.isNotNull() & (F.col("x") <= F.col("left_margin") + MARGIN_TOLERANCE), "questionNumber")
+        .when((first == "A") & t.rlike(rules.INLINE_OPTIONS), "inline")
+        .when(letter & t.rlike(rules.OPTION), "option")
         .otherwise("body")
     )
     told = base.withColumn("_role", role)
@@ -49,14 +60,14 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         .when(r == "option", trim(extract(t, rules.OPTION, 2)))
         .otherwise(t)
     )
-    part = F.when(r == "subpart", extract(t, rules.SUBPART)).when(r == "subSubpart", extract(t, rules.SUBSUBPART)).when(r == "questionNumber", extract(after_question, rules.SUBPART))
+    part = F.when(r == "subpart", F.col("_sub")).when(r == "subSubpart", F.col("_nested")).when(r == "questionNumber", extract(after_question, rules.SUBPART))
     nested = F.when(r == "subpart", extract(after_sub, rules.SUBSUBPART)).when(r == "questionNumber", extract(after_embedded, rules.SUBSUBPART))
     one = F.struct(
         F.lit(0).alias("sub_ord"),
         content.alias("content"),
         F.when(r == "option", extract(t, rules.OPTION)).alias("option_label"),
-        extract_int(t, rules.MARKS).alias("marks"),
-        extract_int(t, rules.TOTAL_MARKS).alias("total_marks"),
+        F.when(ends_in_bracket(t), extract_int(t, rules.MARKS)).alias("marks"),
+        F.when(ends_in_bracket(t), extract_int(t, rules.TOTAL_MARKS)).alias("total_marks"),
     )
     four = F.array(
         *[
@@ -127,8 +138,9 @@ def locate_events(events: DataFrame) -> DataFrame:
 def question_nodes(located: DataFrame) -> DataFrame:
     """One row per question, part and sub-part:
 
-    ``resource_id, q, p, s, level, number, label, text, marks, pages, options, images, drawings, tables``
-    (arrays as comma- or bar-joined strings). The last marks given count; totals go to the question.
+    ``resource_id, q, p, s, level, number, label, text, marks, pages, options, images, drawings, tables``.
+    ``pages`` are an array of numbers, ``options`` of structs of label and text, the rest of element ids;
+    empty, never null. The last marks given count; totals go to the question.
     """
     role, state = F.col("role"), F.col("option_state")
     is_line = role.isNotNull()
@@ -146,17 +158,17 @@ def question_nodes(located: DataFrame) -> DataFrame:
     )
     text_items = F.collect_list(F.when(is_line & here & (F.coalesce(state, F.lit("")) != "option"), F.struct("event_no", own_text.alias("text"))))
     page_items = F.transform(F.array_sort(F.collect_list(F.when(is_line, F.struct("event_no", "page")))), lambda x: x["page"])
-    option_items = F.collect_list(F.when(here & (state == "option"), F.struct("event_no", F.concat("option_label", F.lit("="), "content").alias("text"))))
-    refs = {k: F.collect_list(F.when(here & (F.col("kind") == k), F.struct("event_no", F.col("element_id").alias("text")))) for k in ("image", "drawing", "table")}
+    option_items = F.transform(F.array_sort(F.collect_list(F.when(here & (state == "option"), F.struct("event_no", F.col("option_label").alias("label"), F.col("content").alias("text"))))), lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text")))
+    refs = {k: F.transform(F.array_sort(F.collect_list(F.when(here & (F.col("kind") == k), F.struct("event_no", "element_id")))), lambda x: x["element_id"]) for k in ("image", "drawing", "table")}
     nodes = spread.groupBy("resource_id", "q", at(F.col("p"), 1).alias("p"), at(F.col("s"), 2).alias("s")).agg(
         F.max("_level").alias("_l"),
         F.max(F.when(opener, F.col("question_number"))).alias("number"),
         F.max(label).alias("label"),
-        trim(ordered_join(text_items)).alias("text"),
+        trim(F.array_join(F.transform(F.array_sort(text_items), lambda x: x["text"]), " ")).alias("text"),
         F.max_by(given, F.when(given.isNotNull(), F.col("event_no"))).alias("marks"),
-        F.array_join(F.array_distinct(page_items), ",").alias("pages"),
-        ordered_join(option_items, "|").alias("options"),
-        *[ordered_join(v, ",").alias(f"{k}s") for k, v in refs.items()],
+        F.array_distinct(page_items).alias("pages"),
+        option_items.alias("options"),
+        *[v.alias(f"{k}s") for k, v in refs.items()],
     )
     level = F.when(F.col("_l") == 0, "question").when(F.col("_l") == 1, "part").otherwise("subpart")
     return nodes.select("resource_id", "q", "p", "s", level.alias("level"), "number", "label", "text", "marks", "pages", "options", "images", "drawings", "tables")

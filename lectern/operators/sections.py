@@ -72,6 +72,12 @@ def pick_paper(papers: DataFrame, code: str) -> DataFrame:
     return first.select("resource_id", *[f"p.{c}" for c in rest])
 
 
+def pick_papers(comments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of each report's first part with the code that ``wanted(resource_id, paper, ...)`` names, with what else it names."""
+    first = comments.groupBy("resource_id", "paper").agg(F.min("paper_no").alias("paper_no"))
+    return comments.join(first, ["resource_id", "paper", "paper_no"]).join(wanted, ["resource_id", "paper"])
+
+
 def in_body(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("x").between(*BODY_X))
 
@@ -102,3 +108,12 @@ def objective_weights(lines: DataFrame) -> DataFrame:
 
 def assessment_objectives(lines: DataFrame) -> DataFrame:
     return objective_blocks(lines).join(objective_weights(lines), ["resource_id", "code"], "left")
+
+
+def syllabus_overview(lines: DataFrame) -> DataFrame:
+    """One record a syllabus: ``resource_id, topics, objectives``, arrays of structs in order, empty where there are none."""
+    topics = syllabus_topics(lines).groupBy("resource_id").agg(F.array_sort(F.collect_list(F.struct("ord", "number", "name"))).alias("topics"))
+    objectives = assessment_objectives(lines).groupBy("resource_id").agg(F.array_sort(F.collect_list(F.struct("block", "code", "name", "description", "weight"))).alias("objectives"))
+    all_ = lines.select("resource_id").distinct().join(topics, "resource_id", "left").join(objectives, "resource_id", "left")
+    empty = lambda df, c: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
+    return all_.select("resource_id", empty(topics, "topics"), empty(objectives, "objectives"))

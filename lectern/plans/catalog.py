@@ -203,7 +203,7 @@ QUERIES = {
     "section_links": (
         section_links,
         f"""WITH {LINK_SQL}, lab AS (SELECT *, CASE WHEN ord % 5 IN (0, 4) THEN 'past_papers' WHEN ord % 5 = 1 THEN 'published_resources' WHEN ord % 5 = 2 THEN 'support' END AS label FROM links)
-        SELECT page_id, label, arg_max({ORIGIN} || href, ord) AS target FROM lab WHERE label IS NOT NULL GROUP BY 1, 2""",
+        SELECT page_id, label, arg_max(regexp_replace(url, '/+$', '') || href || '/', ord) AS target FROM lab WHERE label IS NOT NULL AND href <> '' GROUP BY 1, 2""",
     ),
     "embedded_json": (
         embedded_json,

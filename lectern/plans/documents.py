@@ -21,6 +21,16 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return questions.build_questions(ls, a.document_elements(ls))
 
 
+def _talk(spark: SparkSession, d: str) -> DataFrame:
+    return questions.build_questions(a.conversation_lines(table(spark, d, "conversations")))
+
+
+def _flat(nodes: DataFrame) -> DataFrame:
+    """Nodes with arrays written as text, as SQL has them."""
+    options = F.array_join(F.transform("options", lambda o: F.concat(o["label"], F.lit("="), o["text"])), "|")
+    return nodes.withColumns({"pages": F.array_join("pages", ","), "options": options, **{k: F.array_join(k, ",") for k in ("images", "drawings", "tables")}})
+
+
 def sql_trim(x: str) -> str:
     return rf"regexp_replace({x}, '^{S}+|{S}+\z', '', 'g')"
 
@@ -41,7 +51,7 @@ raw AS (
 lines AS (
   SELECT resource_id, CAST(p // 12 + 1 AS INT) AS page, CAST(p AS INT) AS ord,
          CASE p % 6 WHEN 0 THEN CAST(p // 6 % 99 + 1 AS VARCHAR) || ' ' || raw WHEN 1 THEN '(a) ' || raw WHEN 2 THEN raw || ' [3]'
-                    WHEN 3 THEN '(b) ' || raw WHEN 4 THEN '(i) ' || raw || ' [2]' ELSE '[Total: 5]' END AS text,
+                    WHEN 3 THEN '(b) ' || raw WHEN 4 THEN '(i) ' || raw || ' [2]' ELSE raw || ' [Total: 5]' END AS text,
          CASE p % 6 WHEN 0 THEN 50.0 WHEN 1 THEN 72.0 WHEN 2 THEN 95.0 WHEN 3 THEN 72.0 WHEN 4 THEN 96.0 ELSE 504.0 END::DOUBLE AS x,
          (62 + 20 * (p % 12))::DOUBLE AS y, (6 * length(raw))::DOUBLE AS width, 11.0::DOUBLE AS height
   FROM raw WHERE trim(raw) <> '')"""
@@ -202,7 +212,7 @@ def event_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_tree_flat(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d)
+    return _flat(_nodes(spark, d))
 
 
 def question_tree_nested(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +222,7 @@ def question_tree_nested(spark: SparkSession, d: str) -> DataFrame:
 
 
 def option_runs(spark: SparkSession, d: str) -> DataFrame:
-    return questions.build_questions(a.conversation_lines(table(spark, d, "conversations"))).select("resource_id", "q", "number", "text", "options", "marks", "pages")
+    return _flat(_talk(spark, d)).select("resource_id", "q", "number", "text", "options", "marks", "pages")
 
 
 def element_refs(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +230,7 @@ def element_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).select("resource_id", "q", "p", "s", "pages")
+    return _flat(_nodes(spark, d)).select("resource_id", "q", "p", "s", "pages")
 
 
 def doc_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -266,7 +276,7 @@ def ao_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality_options(spark: SparkSession, d: str) -> DataFrame:
-    return knowledge.option_summary(questions.build_questions(a.conversation_lines(table(spark, d, "conversations"))))
+    return knowledge.option_summary(_talk(spark, d))
 
 
 def quality_sequence(spark: SparkSession, d: str) -> DataFrame:
@@ -284,7 +294,7 @@ DOCUMENT_TOPICS = {"first": ["the", "idiot", "nt"], "second": ["les", "une", "ni
 
 REPORT_LINES = """
 rep AS (
-  SELECT conv_id % 16 AS resource_id, conv_id * 100 + turn * 10 + i - 1 AS ord, ls[i] AS text, CASE WHEN turn = 3 AND i = 2 THEN 820.0 ELSE 100.0 + turn END AS y
+  SELECT conv_id // 16 AS resource_id, conv_id * 100 + turn * 10 + i - 1 AS ord, ls[i] AS text, CASE WHEN turn = 3 AND i = 2 THEN 820.0 ELSE 100.0 + turn END AS y
   FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (
     SELECT conv_id, turn, list_concat(CASE turn WHEN 0 THEN ['Paper ' || lpad(CAST(conv_id % 10000 AS VARCHAR), 4, '0') || '/11', 'General comments']
            WHEN 1 THEN ['Comments on specific questions', 'Question 1'] ELSE ['Question ' || turn] END, [replace(text, chr(10), ' ')]) AS ls FROM conversations))),
@@ -304,20 +314,21 @@ comments AS (SELECT resource_id, paper_no, paper, block, max(qn) AS question_num
 )
 
 SYLLABUS = rf"""
-parts AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), '. ') AS s FROM documents),
-syl AS (SELECT doc_id AS resource_id, i - 1 AS ord, ls[i].t AS text, ls[i].x AS x, {sql_trim('ls[i].t')} AS t FROM (SELECT *, unnest(range(1, 21)) AS i FROM (SELECT doc_id, [
-  {{'x': 50, 't': 'Content overview'}}, {{'x': 55, 't': '1 ' || coalesce(s[1], '')}}, {{'x': 17, 't': '2 ' || coalesce(s[2], '')}}, {{'x': 60, 't': '3 ' || coalesce(s[3], '')}}, {{'x': 50, 't': 'Assessment overview'}},
-  {{'x': 55, 't': '4 ' || coalesce(s[4], '')}}, {{'x': 50, 't': 'Assessment objectives'}}, {{'x': 55, 't': 'AO1 ' || coalesce(s[5], '')}}, {{'x': 55, 't': '• ' || coalesce(s[6], '')}}, {{'x': 55, 't': coalesce(s[7], '')}},
-  {{'x': 55, 't': '• ' || coalesce(s[8], '')}}, {{'x': 55, 't': 'AO2 ' || coalesce(s[9], '')}}, {{'x': 55, 't': '• ' || coalesce(s[10], '')}}, {{'x': 50, 't': 'Weighting for assessment objectives'}},
-  {{'x': 50, 't': 'Assessment objective Weighting in IGCSE %'}}, {{'x': 55, 't': 'AO1 ' || coalesce(s[1], '') || ' 50'}}, {{'x': 55, 't': 'AO2 ' || coalesce(s[2], '') || ' ' || (doc_id % 60)}},
-  {{'x': 55, 't': 'AO2 ' || coalesce(s[3], '') || ' 30'}}, {{'x': 50, 't': 'Assessment objectives as a percentage of each component'}}, {{'x': 55, 't': 'AO1 x 99'}}] AS ls FROM parts))),
-top AS (SELECT resource_id, CAST(ord AS INT) AS ord, CAST(regexp_extract(t, '{rules.TOPIC_ROW}', 1) AS INT) AS number, {sql_trim(f"regexp_extract(t, '{rules.TOPIC_ROW}', 2)")} AS name
-        FROM syl WHERE ord BETWEEN 1 AND 3 AND x BETWEEN 50 AND 65 AND regexp_matches(t, '{rules.TOPIC_ROW}')),
-obj AS (SELECT * FROM (SELECT *, {sql_get('t', rules.AO_HEADING)} AS code, count({sql_get('t', rules.AO_HEADING)}) OVER (PARTITION BY resource_id ORDER BY ord) AS block FROM syl WHERE ord BETWEEN 7 AND 12 AND x BETWEEN 50 AND 65) WHERE block > 0),
+parts AS (SELECT doc_id AS resource_id, unnest(string_split(replace(text, chr(10), ' '), '. ')) AS s, generate_subscripts(string_split(replace(text, chr(10), ' '), '. '), 1) - 1 AS i FROM documents),
+syl AS (SELECT *, {sql_trim('text')} AS t FROM (
+  SELECT doc_id AS resource_id, h.ord, h.t AS text, 50 AS x FROM documents CROSS JOIN (SELECT unnest([
+    {{'ord': 0, 't': 'Content overview'}}, {{'ord': 2000000, 't': 'Assessment overview'}}, {{'ord': 3000000, 't': 'Assessment objectives'}}, {{'ord': 5000000, 't': 'Weighting for assessment objectives'}},
+    {{'ord': 5000001, 't': 'Assessment objective Weighting in IGCSE %'}}, {{'ord': 7000000, 't': 'Assessment objectives as a percentage of each component'}}, {{'ord': 7000001, 't': 'AO1 x 99'}}]) AS h)
+  UNION ALL SELECT resource_id, i + 1, (i % 9) || ' ' || s, CASE WHEN i % 3 = 1 THEN 17 ELSE 55 END FROM parts
+  UNION ALL SELECT resource_id, i + 3000001, CASE i % 3 WHEN 0 THEN 'AO' || (i % 9) || ' ' || s WHEN 1 THEN '• ' || s ELSE s END, 55 FROM parts
+  UNION ALL SELECT resource_id, i + 5000002, 'AO' || (i % 9) || ' ' || s || ' ' || (i % 60), 55 FROM parts)),
+top AS (SELECT resource_id, ord, CAST(regexp_extract(t, '{rules.TOPIC_ROW}', 1) AS INT) AS number, {sql_trim(f"regexp_extract(t, '{rules.TOPIC_ROW}', 2)")} AS name
+        FROM syl WHERE ord BETWEEN 1 AND 1999999 AND x BETWEEN 50 AND 65 AND regexp_matches(t, '{rules.TOPIC_ROW}')),
+obj AS (SELECT * FROM (SELECT *, {sql_get('t', rules.AO_HEADING)} AS code, count({sql_get('t', rules.AO_HEADING)}) OVER (PARTITION BY resource_id ORDER BY ord) AS block FROM syl WHERE ord BETWEEN 3000001 AND 4999999 AND x BETWEEN 50 AND 65) WHERE block > 0),
 blocks AS (SELECT resource_id, block, max(code) AS code, max(CASE WHEN code IS NOT NULL THEN {sql_trim(sql_get('t', rules.AO_HEADING, 2))} END) AS name,
            coalesce(string_agg({sql_trim(sql_get('t', rules.AO_BULLET))}, '|' ORDER BY ord) FILTER (WHERE regexp_matches(t, '{rules.AO_BULLET}')), '') AS description FROM obj GROUP BY 1, 2),
 weights AS (SELECT resource_id, regexp_extract(t, '{rules.AO_WEIGHT}', 1) AS code, arg_max(TRY_CAST(regexp_extract(t, '{rules.AO_WEIGHT}', 2) AS INT), ord) AS weight
-            FROM syl WHERE ord BETWEEN 15 AND 17 AND regexp_matches(t, '{rules.AO_WEIGHT}') GROUP BY 1, 2)"""
+            FROM syl WHERE ord BETWEEN 5000002 AND 6999999 AND regexp_matches(t, '{rules.AO_WEIGHT}') GROUP BY 1, 2)"""
 
 RUNS = rf"""
 runs0 AS (
@@ -411,7 +422,9 @@ QUERIES = {
     "quality_options": (
         quality_options,
         f"""{TALK} SELECT resource_id, count(*) AS n_questions, sum(CASE WHEN options <> '' THEN 1 ELSE 0 END) AS n_with_options,
-        sum(CASE WHEN options <> '' AND len(string_split(options, '|')) = 4 THEN 1 ELSE 0 END) AS n_four FROM nodes WHERE level = 'question' GROUP BY 1""",
+        sum(CASE WHEN state4 = 4 THEN 1 ELSE 0 END) AS n_four, sum(CASE WHEN labels = 'A,B,C,D' THEN 0 ELSE 1 END) AS n_bad_labels
+        FROM (SELECT n.*, coalesce(o.k, 0) AS state4, coalesce(o.labels, '') AS labels FROM nodes n LEFT JOIN (
+          SELECT resource_id, q, count(*) AS k, string_agg(option_label, ',' ORDER BY event_no) AS labels FROM located WHERE state = 'option' GROUP BY 1, 2) o USING (resource_id, q)) WHERE level = 'question' GROUP BY 1""",
     ),
     "quality_sequence": (
         quality_sequence,

@@ -212,10 +212,12 @@ def topic_unclassified(spark: SparkSession, d: str) -> DataFrame:
     return topics.assign_topics(p, PART_TOPICS).where("topic is null").select("question", F.size("matched").alias("n_matched"))
 
 
+PHRASES = ["waves and speed", "a star; the MOON's orbit", "e.m.f. of a cell", "magnets", "x-rays, electrons", "the wave speed", "nothing", "half-life of isotopes", "mass and weight", "Sound waves echo"]
+
+
 def physics_topics(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "orders")
-    words = F.array(*[F.lit(w) for w in ("waves and speed", "a star; the MOON's orbit", "e.m.f. of a cell", "magnets", "x-rays, electrons", "the wave speed", "nothing", "half-life of isotopes", "mass and weight", "Sound waves echo")])
-    q = e.select(F.lit(1).alias("resource_id"), F.col("o_orderkey").alias("question"), F.get(words, (F.col("o_orderkey") % 10).cast("int")).alias("text"))
+    words = F.get(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % 10).cast("int"))
+    q = table(spark, d, "documents").select(F.lit(1).alias("resource_id"), F.col("doc_id").alias("question"), F.concat_ws(" ", "text", words).alias("text"))
     return topics.assign_topics(q).select("question", "topic_no", "topic", F.array_join("matched", ",").alias("matched"))
 
 
@@ -286,7 +288,7 @@ SELECT resource_id, '1-table-' || cluster AS element_id, CAST(hh.n AS INT) AS n_
 FROM ext JOIN hh USING (resource_id, cluster) JOIN vv USING (resource_id, cluster) WHERE w >= 20 AND h >= 20 AND hh.n >= 1 AND vv.n >= 1"""
 
 
-PHYSICS_TEXT = "['waves and speed', 'a star; the MOON''s orbit', 'e.m.f. of a cell', 'magnets', 'x-rays, electrons', 'the wave speed', 'nothing', 'half-life of isotopes', 'mass and weight', 'Sound waves echo'][CAST(o_orderkey % 10 + 1 AS INT)]"
+PHYSICS_TEXT = "concat_ws(' ', text, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in PHRASES) + "][CAST(doc_id % 10 + 1 AS INT)])"
 
 QUERIES = {
     "union_bbox": (union_bbox, f"WITH {BOXES} SELECT resource_id, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM boxes GROUP BY 1"),
@@ -341,6 +343,6 @@ QUERIES = {
     "topic_unclassified": (topic_unclassified, f"WITH p AS (SELECT p_partkey AS question, p_name || ' ' || p_type AS t FROM part), {_assign_sql('t', 'p', PART_TOPICS)} SELECT question, 0 AS n_matched FROM p WHERE question NOT IN (SELECT question FROM lead)"),
     "physics_topics": (
         physics_topics,
-        f"WITH p AS (SELECT o_orderkey AS question, {PHYSICS_TEXT} AS t FROM orders), {_assign_sql('t', 'p', topics.PHYSICS_KEYWORDS)} SELECT p.question, topic_no, topic, coalesce(matched, '') AS matched FROM p LEFT JOIN lead USING (question)",
+        f"WITH p AS (SELECT doc_id AS question, {PHYSICS_TEXT} AS t FROM documents), {_assign_sql('t', 'p', topics.PHYSICS_KEYWORDS)} SELECT p.question, topic_no, topic, coalesce(matched, '') AS matched FROM p LEFT JOIN lead USING (question)",
     ),
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import catalog, documents, orders
+from lectern.plans import catalog, documents, orders, records
 
 FLAGSHIP = "knowledge_document"
-_ALL = documents.QUERIES | orders.QUERIES | catalog.QUERIES
+_ALL = documents.QUERIES | orders.QUERIES | catalog.QUERIES | records.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,7 +17,7 @@ def document_lines(documents: DataFrame) -> DataFrame:
     """Sentences as lines of an exam paper: ``resource_id, page, ord, text, x, y, width, height``.
 
     Of each six sentences the first opens a question, then come part (a), a body line with marks, part
-    (b), sub-part (i) with marks, and a total. Blank sentences are left out.
+    (b), sub-part (i) with marks, and a line with the total. Blank sentences are left out.
     """
     parts = documents.select(F.col("doc_id").alias("resource_id"), F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ", -1)).alias("p", "raw"))
     p, raw, k = F.col("p"), F.col("raw"), F.col("p") % 6
@@ -28,7 +28,7 @@ def document_lines(documents: DataFrame) -> DataFrame:
         .when(k == 2, F.concat(raw, F.lit(" [3]")))
         .when(k == 3, F.concat(F.lit("(b) "), raw))
         .when(k == 4, F.concat(F.lit("(i) "), raw, F.lit(" [2]")))
-        .otherwise(F.lit("[Total: 5]"))
+        .otherwise(F.concat(raw, F.lit(" [Total: 5]")))
     )
     x = F.when(k == 0, 50.0).when(k.isin(1, 3), 72.0).when(k == 2, 95.0).when(k == 4, 96.0).otherwise(504.0)
     return parts.where(F.trim(raw) != "").select(
@@ -138,7 +138,7 @@ def scheme_tables(items: DataFrame) -> DataFrame:
 
 
 def report_lines(conversations: DataFrame) -> DataFrame:
-    """All conversations as one report in which each is a paper: general comments, then a comment for each turn."""
+    """Sixteen conversations each as one report in which each is a paper: general comments, then a comment for each turn."""
     kind = F.col("turn")
     flat = F.replace("text", F.lit("\n"), F.lit(" "))
     code = F.concat(F.lit("Paper "), F.lpad((F.col("conv_id") % 10000).cast("string"), 4, "0"), F.lit("/11"))
@@ -147,7 +147,7 @@ def report_lines(conversations: DataFrame) -> DataFrame:
         .when(kind == 1, F.array(F.lit("Comments on specific questions"), F.lit("Question 1")))
         .otherwise(F.array(F.concat(F.lit("Question "), F.col("turn").cast("string"))))
     )
-    rows = conversations.select((F.col("conv_id") % 16).alias("resource_id"), F.col("conv_id"), "turn", F.posexplode(F.concat(head, F.array(flat))).alias("i", "text"))
+    rows = conversations.select(F.floor(F.col("conv_id") / 16).alias("resource_id"), F.col("conv_id"), "turn", F.posexplode(F.concat(head, F.array(flat))).alias("i", "text"))
     return rows.select(
         "resource_id",
         (F.col("conv_id") * 100 + F.col("turn") * 10 + F.col("i")).alias("ord"),
@@ -158,15 +158,18 @@ def report_lines(conversations: DataFrame) -> DataFrame:
 
 
 def syllabus_lines(documents: DataFrame) -> DataFrame:
-    """Each document as a syllabus: its first sentences under the fixed headings of topics, objectives and weights."""
+    """Each document as a syllabus: all its sentences as topics, then as objectives and bullets, then as weights, under the fixed headings."""
     s = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ", -1)
-    part = lambda i: F.coalesce(F.get(s, i), F.lit(""))
-    lines = [
-        (50, F.lit("Content overview")), (55, F.concat(F.lit("1 "), part(0))), (17, F.concat(F.lit("2 "), part(1))), (60, F.concat(F.lit("3 "), part(2))), (50, F.lit("Assessment overview")),
-        (55, F.concat(F.lit("4 "), part(3))), (50, F.lit("Assessment objectives")), (55, F.concat(F.lit("AO1 "), part(4))), (55, F.concat(F.lit("• "), part(5))), (55, part(6)),
-        (55, F.concat(F.lit("• "), part(7))), (55, F.concat(F.lit("AO2 "), part(8))), (55, F.concat(F.lit("• "), part(9))), (50, F.lit("Weighting for assessment objectives")),
-        (50, F.lit("Assessment objective Weighting in IGCSE %")), (55, F.concat(F.lit("AO1 "), part(0), F.lit(" 50"))), (55, F.concat(F.lit("AO2 "), part(1), F.lit(" "), (F.col("doc_id") % 60).cast("string"))),
-        (55, F.concat(F.lit("AO2 "), part(2), F.lit(" 30"))), (50, F.lit("Assessment objectives as a percentage of each component")), (55, F.lit("AO1 x 99")),
-    ]
-    rows = documents.select("doc_id", F.posexplode(F.array(*[F.struct(F.lit(float(x)).alias("x"), t.alias("text")) for x, t in lines])).alias("ord", "l"))
-    return rows.select(F.col("doc_id").alias("resource_id"), "ord", "l.text", "l.x", F.lit(100.0).alias("y"))
+    line = lambda ord_, x, text: F.struct(ord_.cast("long").alias("ord"), x.cast("double").alias("x"), text.alias("text"))
+    fixed = lambda ord_, text: F.array(line(F.lit(ord_), F.lit(50), F.lit(text)))
+    number = lambda i: (i % 9).cast("string")
+    each = lambda make: F.coalesce(F.transform(s, make), F.array())
+    topics = each(lambda t, i: line(i + 1, F.when(i % 3 == 1, 17).otherwise(55), F.concat(number(i), F.lit(" "), t)))
+    aims = each(lambda t, i: line(i + 3000001, F.lit(55), F.when(i % 3 == 0, F.concat(F.lit("AO"), number(i), F.lit(" "), t)).when(i % 3 == 1, F.concat(F.lit("• "), t)).otherwise(t)))
+    weights = each(lambda t, i: line(i + 5000002, F.lit(55), F.concat(F.lit("AO"), number(i), F.lit(" "), t, F.lit(" "), (i % 60).cast("string"))))
+    lines = F.concat(
+        fixed(0, "Content overview"), topics, fixed(2000000, "Assessment overview"), fixed(3000000, "Assessment objectives"), aims, fixed(5000000, "Weighting for assessment objectives"),
+        fixed(5000001, "Assessment objective Weighting in IGCSE %"), weights, fixed(7000000, "Assessment objectives as a percentage of each component"), fixed(7000001, "AO1 x 99"),
+    )
+    rows = documents.select(F.col("doc_id").alias("resource_id"), F.explode(lines).alias("l"))
+    return rows.select("resource_id", "l.ord", "l.text", "l.x", F.lit(100.0).alias("y"))

@@ -56,13 +56,36 @@ def subject_heading(pages: DataFrame) -> DataFrame:
 
 
 def section_links(links_: DataFrame) -> DataFrame:
-    """``page_id, label, target``: the section that a link's text names; of links for one section the last counts."""
+    """``page_id, label, target``: the section that a link's text names; of links for one section the last counts.
+
+    Sections lie below the subject's own page: its address, the link as it is, and a slash.
+    """
     label = _first_match(SECTION_LABELS, F.col("text"), F.lit(None).cast("string"))
-    rows = links_.withColumn("label", label).where("label is not null").select("page_id", "label", "ord", resolve_url(F.col("href"), F.col("url")).alias("target"))
+    target = F.concat(F.regexp_replace("url", r"/+\z", ""), "href", F.lit("/"))
+    rows = links_.where("href is not null and href <> ''").withColumn("label", label).where("label is not null").select("page_id", "label", "ord", target.alias("target"))
     return last_wins(rows, ["page_id", "label"], "ord").select("page_id", "label", "target")
 
 
+def section_map(pages: DataFrame, links_: DataFrame) -> DataFrame:
+    """``page_id, syllabus, past_papers, published_resources, support`` of each page; the syllabus is the page itself."""
+    own = pages.select("page_id", F.concat(F.regexp_replace("url", r"/+\z", ""), F.lit("/")).alias("syllabus"))
+    names = [name for _, name in SECTION_LABELS]
+    wide = section_links(links_).groupBy("page_id").agg(*[F.max(F.when(F.col("label") == n, F.col("target"))).alias(n) for n in names])
+    return own.join(wide, "page_id", "left")
+
+
 def embedded_json(pages: DataFrame) -> DataFrame:
     """``page_id, data, error``: the page's embedded data as a variant; missing or broken data is told in ``error``."""
     raw = F.nullif(F.regexp_extract("html", NEXT_DATA, 1), F.lit(""))
     return pages.select("page_id", F.try_parse_json(raw).alias("data"), F.when(raw.isNull(), "missing").when(F.try_parse_json(raw).isNull(), "broken").alias("error"))
+
+
+def course_papers(pages: DataFrame) -> DataFrame:
+    """``page_id, course, exam_code, papers, error``: a course page's past-paper records, an array of variants.
+
+    ``error`` tells pages without data, with broken data, and those whose records aren't an array.
+    """
+    at = "$.props.pageProps"
+    told = embedded_json(pages).withColumn("papers", F.try_variant_get("data", f"{at}.pastPapers", "array<variant>"))
+    attribute = lambda name: F.try_variant_get("data", f"{at}.course.attributes.{name}", "string").alias({"name": "course"}.get(name, name))
+    return told.select("page_id", attribute("name"), attribute("exam_code"), "papers", F.coalesce("error", F.when(F.col("papers").isNull(), "no past papers")).alias("error"))
