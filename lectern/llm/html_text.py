@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bz2
 import html
 import json
 import re
@@ -9,7 +10,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +40,6 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: A node of every page: it recurs where a host has pages enough to count.
 ROOT = 0
 MAIN, SUSPECT = 1, 2
-#: How hard pages are packed for their way.
-PACKING = 9
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -141,7 +139,7 @@ class Page:
                 texts.append(text)
                 hashes.append(_signed(xxhash.xxh3_64_intdigest(text.encode()) ^ host))
         packed = "\n".join([json.dumps([kinds, of], separators=(",", ":")), *texts]).encode("utf-8", "surrogatepass")
-        return zstandard.compress(packed, PACKING), [len(t) for t in texts], hashes, [_signed(x) for x in known]
+        return bz2.compress(packed), [len(t) for t in texts], hashes, [_signed(x) for x in known]
 
     def _flush(self) -> None:
         if self._text:
@@ -299,7 +297,7 @@ def _kept(page: pd.Series, gone: pd.Series) -> pd.DataFrame:
     """The text that is left of each page, its characters, blocks and template blocks."""
     out = []
     for packed, lost in zip(page, gone):
-        head, *lines = zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+        head, *lines = bz2.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
         kinds, nodes = json.loads(head)
         lost = set() if lost is None else set(lost)
         countable, template, said = 0 in lost, [not lost.isdisjoint(x) for x in nodes], iter(lines)
