@@ -18,6 +18,8 @@ WILD = b"<*>"
 ORDERS = (0, 0xFFFFFFFFFFFFFFF, 0x555555555555555, 0xAAAAAAAAAAAAAAA)
 #: The weight of one family of documents; a document that is one of c counts for UNIT // c.
 UNIT = 27720
+#: Keys of texts that a task remembers.
+SEEN = 1 << 20
 
 _DIGIT = re.compile(rb"[0-9]").search
 LINES = "text_key binary, t long, line int, n int, whole long, leaf long, masked string"
@@ -29,7 +31,7 @@ def _short(key: bytes) -> int:
 
 
 def text_lines(docs: DataFrame, lead: int = 2) -> DataFrame:
-    """``LINES`` of each line that isn't blank; rows with equal texts have equal lines.
+    """``LINES`` of each line that isn't blank. What is counted is counted by texts, so a text that a task has seen is left out.
 
     ``masked`` has single spaces, and each token that holds a digit is generalised to a wildcard. The
     tree's first level is the token count ``n``, the next ``lead`` levels are the leading tokens; these make
@@ -39,11 +41,15 @@ def text_lines(docs: DataFrame, lead: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         names, md5, xxh = [x.split()[0] for x in LINES.split(", ")], hashlib.md5, xxhash.xxh3_64_intdigest
+        seen: set[bytes] = set()
         for batch in batches:
             out: list[tuple] = []
             for text in batch.column(0).to_pylist():
                 raw = text.encode()
                 key = md5(raw).digest()
+                if key in seen:
+                    continue
+                seen.add(key)
                 t = _short(key)
                 for i, line in enumerate(raw.split(b"\n")):
                     tokens = line.split()  # bytes: at ASCII white space alone
@@ -58,6 +64,8 @@ def text_lines(docs: DataFrame, lead: int = 2) -> DataFrame:
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+            if len(seen) > SEEN:
+                seen.clear()
 
     return docs.where("text is not null").select("text").mapInArrow(run, LINES)
 

@@ -31,7 +31,7 @@ def jump_of(key: str | F.Column, shards: int) -> F.Column:
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """One row per document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
-    The doc_id itself is the key, so a document's shard depends on it and on the number of shards alone;
+    The doc_id itself, a whole number, is the key (ids of other types must be hashed to one first), so a document's shard depends on it and on the number of shards alone;
     with one more shard, rows move only into that. ``slot`` numbers a shard's rows from 0 without gaps, by
     doc_id, then digest and size. Numbering is by ranges of doc_id: rows are sorted within small ranges,
     and a range starts at the sum of the ranges before it, so no task sorts a shard. A range is split
