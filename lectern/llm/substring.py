@@ -23,8 +23,8 @@ MIN_WORDS = 20
 RUN = 1 << 20
 #: Hashes that a task remembers, so as to keep one text of each.
 SEEN = 1 << 20
-#: Seeds of a bucket that are compared in one place; more are dealt out.
-CROWD = 8192
+#: Seeds of a bucket that are compared in one place, by the memory of a task; more are dealt out.
+CROWD = 1 << 17
 #: Rounds in which a bucket's passages are held against one leader, before what is still apart is compared in blocks.
 LEADERS = 2
 #: Passages of a bucket that are compared with so many others at once.
