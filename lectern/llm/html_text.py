@@ -78,13 +78,13 @@ class _Open:
 
     ``ruled``: no article text by the name of an element around it; ``suspects``: suspect elements around
     it, itself included; ``region``: 2 in an article, 1 in main, 1.5 for a heading of main before its
-    article; ``wraps``: whether an article or main lies inside.
+    article; ``wraps``: whether an article or main lies inside; ``plain``: no attributes and no block inside.
     """
 
-    __slots__ = ("name", "hash", "digest", "shape", "ruled", "suspects", "region", "wraps", "main")
+    __slots__ = ("name", "hash", "digest", "shape", "ruled", "suspects", "region", "wraps", "main", "plain")
 
     def __init__(self, name: str, attrs: str, labels: list[str], up: _Open | None):
-        self.name, self.digest, self.wraps = name, 0, False
+        self.name, self.digest, self.wraps, self.plain = name, 0, False, not attrs.strip("/ ")
         self.hash = xxhash.xxh3_64(f"{name} {' '.join(attrs.split())}".encode())
         self.shape = xxhash.xxh3_64_intdigest(f"{up.shape if up else ''}/{name} {' '.join(_DIGITS.sub('#', x) for x in labels)}".encode())
         self.ruled, self.suspects, self.region, self.main = (up.ruled, up.suspects, up.region, up.main) if up else (False, (), 0, False)
@@ -124,13 +124,14 @@ class Page:
         for each of its blocks, whose ``sizes`` and ``hashes`` stand apart. Nodes are the subtrees around blocks by
         all they hold. Outside the main region, and for suspect elements, they are also told by their path
         of names and labels, apart from any words, so that furniture whose words change recurs too;
-        elements that wrap the main region aren't. The first node is ROOT, the page itself.
+        elements that wrap the main region aren't. A plain paragraph of an article or main element is text,
+        however often it recurs, and no node. The first node is ROOT, the page itself.
         """
         texts, hashes, kinds, of, known = [], [], [], [], {ROOT ^ host: 0}
         for text, around in self.blocks:
             region = self._region(around)
             main = not self._ruled(around) and (region == self._best or region == 1.5 and self._best > 0)
-            inner = [x for x in around if x.name not in ("html", "body", "article", "main")]
+            inner = [x for x in around if x.name not in ("html", "body", "article", "main") and not (x.plain and x.region)]
             suspects = around[-1].suspects if around else ()
             nodes = [x.digest for x in inner] + [x.shape for x in (suspects if main else inner) if not x.wraps]
             of.append([known.setdefault(x ^ host, len(known)) for x in nodes])
@@ -231,6 +232,9 @@ class Page:
                 continue
             up = stack[-1] if stack else None
             labels = _labels(attrs) if attrs else []
+            if name in BLOCK:
+                for y in stack:
+                    y.plain = False
             x = _Open(name, attrs, labels, up)
             if name in ("article", "main") or "main" in labels and 'role="main"' in attrs:
                 if not self._found:
@@ -313,6 +317,7 @@ def extract_text(pages: DataFrame, min_pages: int = 10) -> DataFrame:
     character references are decoded. Blocks in a subtree that recurs on ``min_pages`` different pages of
     the host are templates (``n_template_blocks`` of all ``n_blocks``, furniture included) and left out.
     Subtrees are told by all they hold, and furniture also by its path of element names and labels alone.
+    Plain paragraphs of an article or main element aren't subtrees in this sense: many pages may say the same.
     What counting can't see, as on hosts with few pages, is left out by the page's own structure: element
     names and the main region (see ``Page``). Words of class, id and role break ties only: an element in
     the main region that they name is furniture if its path recurs, or if the host is too small to tell.

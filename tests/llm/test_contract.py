@@ -130,6 +130,12 @@ def test_html_keeps_article_text_whatever_its_labels(spark):
     assert text_of(spark, *pages) == {0: "Earlier studies", 1: "What was found", 2: "Three months", 3: "Let x=2 here", 9: "T\nText"}
 
 
+def test_html_paragraphs_of_articles_may_recur(spark):
+    page = lambda i: f"<body><article><h1>Story {i}</h1><p>Well.</p><div><p>Share it</p><p>Now</p></div><ul><li>told {i}</li><li>Yes</li></ul></article></body>"
+    got = text_of(spark, *[(i, f"http://h.x/{i}", page(i)) for i in range(30)])
+    assert got == {i: f"Story {i}\nWell.\ntold {i}\nYes" for i in range(30)}
+
+
 def test_html_furniture_with_changing_words_recurs(spark):
     rng = random.Random(4)
     say = lambda n: " ".join(rng.choice(["one", "two", "six", "ten"]) + str(rng.randrange(999)) for _ in range(n))
