@@ -105,16 +105,15 @@ def recurring_lines(lines: DataFrame, stash: Stash, min_docs: int = 10, min_cons
     often = lambda rows, key: rows.select(key, "t").distinct().groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select(key)
     found = leaf_templates(lines, stash, min_docs, min_constant, constant_share)
     slim = lines.select("t", "line", "whole")
-    wholes = slim.join(stash.put(often(slim, "whole")), "whole", "left_semi").select("t", "line", "whole", F.xxhash64(F.lit("whole"), "whole").alias("key"))
-    varied = found.join(stash.put(often(found, "template")), "template", "left_semi").join(slim, ["t", "line"]).select("t", "line", "whole", F.xxhash64(F.lit("template"), "template").alias("key"))
+    wholes = slim.join(stash.put(often(slim, "whole")), "whole", "left_semi").select("t", "line", F.xxhash64(F.lit("whole"), "whole").alias("key"))
+    varied = found.join(stash.put(often(found, "template")), "template", "left_semi").select("t", "line", F.xxhash64(F.lit("template"), "template").alias("key"))
     seen = stash.put(wholes.union(varied))
-    own = seen.groupBy("key", "t").agg(F.min("whole").alias("own"))
-    hashes = slim.join(stash.put(seen.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.collect_set("whole").alias("hashes"))  # of one text's lines
-    least = F.transform(F.array(*[F.lit(x) for x in ORDERS]), lambda o: F.slice(F.array_sort(F.transform("hashes", lambda h: h.bitwiseXOR(o))), 1, 2))
-    orders = own.join(hashes.select("t", least.alias("least")), "t").select("key", "t", "own", F.posexplode("least").alias("i", "two"))
-    mine = F.col("own").bitwiseXOR(F.element_at(F.array(*[F.lit(x) for x in ORDERS]), F.col("i") + 1))
-    other = F.when(F.get("two", F.lit(0)) != mine, F.get("two", F.lit(0))).otherwise(F.coalesce(F.get("two", F.lit(1)), F.lit(-1)))
-    grouped = stash.put(orders.select("key", "t", "i", other.alias("other")))
+    own = seen.groupBy("key", "t").agg(F.collect_set("line").alias("mine"))
+    texts = slim.join(stash.put(seen.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.collect_list(F.struct("line", "whole")).alias("all"))  # one text's lines
+    least = F.array_min(F.transform(F.filter("all", lambda x: F.array_contains("mine", x["line"])), lambda x: x["whole"]))
+    placed = own.join(texts, "t").select("key", "t", F.transform("all", lambda x: x["whole"]).alias("all"), least.alias("own"))
+    others = F.array(*[F.coalesce(F.array_min(F.transform(F.filter("all", lambda h: h != F.col("own")), lambda h: h.bitwiseXOR(o))), F.lit(-1)) for o in ORDERS])  # noqa: B023
+    grouped = stash.put(placed.select("key", "t", F.posexplode(others).alias("i", "other")))
     group = ["key", "i", "other"]
     shares = grouped.join(grouped.groupBy(*group).agg(F.count("*").alias("c")), group).select("key", "t", F.floor(F.lit(UNIT) / F.col("c")).alias("share"))
     per_text = shares.groupBy("key", "t").agg(F.sort_array(F.collect_list("share"))[1].alias("share"))
