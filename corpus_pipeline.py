@@ -15,7 +15,7 @@ from lectern.llm.simhash import drop_near_copies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null texts, texts without a letter) go."""
+    """Each document's ``lang`` is what its text tells; documents without one (null texts, texts without a letter) go."""
     return keep_identified(docs)
 
 
@@ -36,8 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences of 1024 tokens that the documents fill."""
-    return pack(docs, vocabulary())
+    """The pieces of the sequences of 1024 tokens that the documents fill, each sequence of one language."""
+    return pack(docs, vocabulary(), by="lang")
 
 
 STAGES = [

@@ -153,7 +153,8 @@ def identify(docs: DataFrame, model: Model | None, ambiguous_gap: float = 0.02)
 
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    return docs.select(*own, F.pandas_udf(predict, kind)("text").alias("_said")).select(*own, "_said.lang_pred", "_said.score", "_said.ambiguous")
+    said = F.pandas_udf(predict, kind).asNondeterministic()  # or a filter on its result runs it a second time
+    return docs.select(*own, said("text").alias("_said")).select(*own, "_said.lang_pred", "_said.score", "_said.ambiguous")
 
 
 def is_held_out(mod: int = 3, rest: int = 1) -> F.Column:
@@ -172,6 +173,10 @@ def language_id(docs: DataFrame, per_language: int = 500) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, per_language: int = 500, min_score: float = 0.0) -> DataFrame:
-    """Documents whose language is told; those without one (``und``), or scored below ``min_score``, go."""
+    """Documents whose language is told, with what was told as their ``lang``, whether or not they had one.
+
+    Those without one (``und``), or scored below ``min_score``, go. Other columns stay as they are.
+    """
     told = identify(docs, fit(docs, is_held_out(), per_language))
-    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)
+    kept = told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -134,8 +135,8 @@ def _runs(text: str, most: int = 1 << 20) -> Iterator[str]:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, round_rows: int = ROUND) -> DataFrame:
-    """One row per piece of ``docs(doc_id, text)``, as in ``PIECES``.
+def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, round_rows: int = ROUND, by: str | None = None) -> DataFrame:
+    """One row per piece of ``docs(doc_id, text)``, as in ``PIECES``, and ``by`` if it is named.
 
     A document is its ids and ``end_id``. Documents of ``size`` or more are first cut into full windows,
     which are sequences of their own; what remains of each is packed best-fit decreasing with the other
@@ -144,24 +145,32 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, ro
     ``round_rows`` remainders at a time and holds lengths and digests of these alone; later ones go into the
     windows still open. ``sequence_id`` is the task's number, shifted, plus a count. Each task may leave its
     last windows unfilled, so sequences are the fuller the more documents a task has.
+
+    ``by`` names a column, as the language: a sequence then holds documents of one value of it alone (null
+    is one, too), and each value may leave its last windows of a task unfilled. Open windows take some
+    100 KB for each value that a task has.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, context = encoder(vocabulary), TaskContext.get()
-        base, used, free = (context.partitionId() if context else 0) << TASK_SHIFT, 0, OpenWindows(size)
-        rest: list[tuple] = []
+        base, used = (context.partitionId() if context else 0) << TASK_SHIFT, 0
+        free: dict[str | None, OpenWindows] = defaultdict(lambda: OpenWindows(size))
+        rest: dict[str | None, list[tuple]] = defaultdict(list)
         columns = [x.split()[0] for x in PIECES.split(", ")]
 
-        def packed() -> pd.DataFrame:
-            nonlocal used, rest
-            window, offset, used = best_fit_decreasing(np.array([x[2] for x in rest], np.int64), free, used)
-            out, rest = pd.DataFrame(rest, columns=columns[:5]), []
-            out["sequence_id"], out["offset"] = window + base, offset
-            return out
+        def packed() -> Iterator[pd.DataFrame]:
+            nonlocal used
+            for group, rows in rest.items():
+                window, offset, used = best_fit_decreasing(np.array([x[2] for x in rows], np.int64), free[group], used)
+                out = pd.DataFrame(rows, columns=columns[:5])
+                out["sequence_id"], out["offset"] = window + base, offset
+                yield _typed(out if by is None else out.assign(**{by: group}))
+            rest.clear()
 
         for batch in batches:
-            full = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array):
+            full, groups = [], []
+            for doc_id, text, group in zip(batch["doc_id"].array, batch["text"].array, [None] * len(batch) if by is None else batch[by].array):
+                group = group if isinstance(group, str) else None
                 ids = encode(text) if isinstance(text, str) else []
                 ids.append(end_id)
                 raw, n = np.array(ids, "<u4"), len(ids)
@@ -170,17 +179,20 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, ro
                     row = (doc_id, at, len(piece), crc32(piece.tobytes()), n)
                     if len(piece) == size:
                         full.append((*row, base + used, 0))
+                        groups.append(group)
                         used += 1
                     else:
-                        rest.append(row)
+                        rest[group].append(row)
             if full:
-                yield _typed(pd.DataFrame(full, columns=columns))
-            if len(rest) >= round_rows:
-                yield _typed(packed())
-        if rest:
-            yield _typed(packed())
-
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+                out = pd.DataFrame(full, columns=columns)
+                yield _typed(out if by is None else out.assign(**{by: groups}))
+            if sum(map(len, rest.values())) >= round_rows:
+                yield from packed()
+        yield from packed()
+
+    if by is None:
+        return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return docs.select("doc_id", "text", F.col(by).cast("string").alias(by)).mapInPandas(run, f"{PIECES}, `{by}` string")
 
 
 def _typed(rows: pd.DataFrame) -> pd.DataFrame:
